@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from motifmill.llm import decontaminate, quality, quality_rules
+from motifmill.llm import decontaminate, html_text, packing, quality, quality_rules, token_counts
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_html_text": html_text.op2_html_text,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality": quality.op7_quality,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
