@@ -1,6 +1,462 @@
-"""Queries over the driver tables and the SQL that checks them."""
+"""Queries over the driver tables and the SQL that checks them.
+
+The template queries run on the synthetic template table of ``sources.tables``; the
+vector queries on ``embeddings``; the length queries on ``documents``.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from motifmill.functions import tokenizer, vectors
+from motifmill.functions.ec import primary_ec, top_level
+from motifmill.operators import classify, clean, encode, encoder, labels, masking, metrics, similarity, splits, stats, vocab
+from motifmill.sources.tables import TEMPLATE_COLUMNS, table, templates
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- shared SQL ---------------------------------------------------------------
+
+_T = f"WITH t AS (SELECT {TEMPLATE_COLUMNS} FROM lineitem)"
+_BLANK = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_FIRST = f"""{_T}, f AS (SELECT * FROM (
+  SELECT o1, o2, o3, o4, {_BLANK.format("TEMPLATE")} AS smarts, REACTIONS, ECS,
+    row_number() OVER (PARTITION BY {_BLANK.format("TEMPLATE")} ORDER BY o1, o2, o3, o4) AS rn
+  FROM t WHERE upper(VALID) = 'TRUE' AND TEMPLATE IS NOT NULL AND {_BLANK.format("TEMPLATE")} <> '') WHERE rn = 1)"""
+_PATTERN = tokenizer.PATTERN.replace("'", "''")
+_TOKENS = f"""{_FIRST}, k AS (SELECT *, length(smarts) = length(array_to_string(tokens, '')) AS ok
+  FROM (SELECT *, regexp_extract_all(smarts, '{_PATTERN}', 0) AS tokens FROM f))"""
+_EXPLODED = f"{_TOKENS}, e AS (SELECT o1, o2, o3, o4, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos FROM k WHERE ok)"
+_VOCAB = f"""{_EXPLODED}, c AS (SELECT token, count(*) AS freq, min((o1, o2, o3, o4, pos)) AS first FROM e GROUP BY token),
+  v AS (SELECT token, CAST(3 + row_number() OVER (ORDER BY freq DESC, first) AS BIGINT) AS id, CAST(freq AS BIGINT) AS freq FROM c
+    UNION ALL SELECT * FROM (VALUES ('[PAD]', 0, NULL), ('[UNK]', 1, NULL), ('[BOS]', 2, NULL), ('[EOS]', 3, NULL)) AS s(token, id, freq))"""
+_EC = _BLANK.format("split_part(ECS, ';', 1)")
+
+
+def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.filtered(templates(spark, sf_dir)).withColumnRenamed("TEMPLATE", "smarts")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.with_tokens(_first(spark, sf_dir).select("ord", "smarts"), "smarts")
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """A fixed vocabulary of common tokens, so that rarer ones are unknown."""
+    return {t: k for k, t in enumerate(VOCABULARY)}
+
+
+VOCABULARY = ("[PAD]", "[UNK]", "[BOS]", "[EOS]", ">>", "Cl", "-", "=", "#", "C", "%10", ".", "(", ")", "O", "N", "[$(C([OH]))]", "[C;H0:1]", "[C;H1:1]", "[C;H2:1]", "[C,N;H1:1]", "[C,N;H2:1]")
+_LOOKUP = "CASE " + " ".join(f"WHEN x = '{t}' THEN {k}" for k, t in enumerate(VOCABULARY)) + " ELSE 1 END"
+
+# --- templates ----------------------------------------------------------------
+
+
+@query(f"{_FIRST} SELECT smarts FROM f")
+def clean_templates(spark, sf_dir):
+    return _first(spark, sf_dir).select("smarts")
+
+
+@query(f"{_FIRST} SELECT smarts, CASE WHEN REACTIONS IS NOT NULL AND {_BLANK.format('REACTIONS')} <> '' THEN REACTIONS ELSE smarts END AS reaction_group FROM f")
+def reaction_groups(spark, sf_dir):
+    return clean.reaction_groups(templates(spark, sf_dir))
+
+
+@query(f"""{_FIRST}, g AS (SELECT smarts, CASE WHEN REACTIONS IS NOT NULL AND {_BLANK.format('REACTIONS')} <> '' THEN REACTIONS ELSE smarts END AS grp FROM f)
+SELECT TEMPLATE_ID AS template_id, TEMPLATE AS smarts, coalesce(grp, TEMPLATE) AS reaction_group FROM t LEFT JOIN g ON TEMPLATE = smarts""")
+def attach_groups(spark, sf_dir):
+    raw = templates(spark, sf_dir)
+    rows = raw.select(F.col("TEMPLATE_ID").alias("template_id"), F.col("TEMPLATE").alias("smarts"))
+    return clean.attach_groups(rows, clean.reaction_groups(raw)).select("template_id", "smarts", "reaction_group")
+
+
+@query(f"{_T} SELECT upper(VALID) = 'TRUE' AS valid, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1")
+def valid_tally(spark, sf_dir):
+    from motifmill.functions.text import is_true
+
+    return templates(spark, sf_dir).groupBy(is_true(F.col("VALID")).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_T} SELECT 'a' AS part, TEMPLATE_ID AS template_id, TEMPLATE AS smarts FROM t WHERE VALID = 'True' UNION ALL SELECT 'b', TEMPLATE_ID, TEMPLATE FROM t WHERE VALID = 'TRUE'")
+def union_files(spark, sf_dir):
+    raw = templates(spark, sf_dir)
+    part = lambda name, v: raw.where(F.col("VALID") == v).select(F.lit(name).alias("part"), F.col("TEMPLATE_ID").alias("template_id"), F.col("TEMPLATE").alias("smarts"))
+    return part("a", "True").unionByName(part("b", "TRUE"))
+
+
+@query(f"{_TOKENS} SELECT smarts, CASE WHEN ok THEN array_to_string(tokens, ' ') ELSE '' END AS tokens, ok FROM k")
+def tokenize(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("smarts", F.array_join("tokens", " ").alias("tokens"), "ok")
+
+
+@query(f"{_TOKENS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (ok) AS BIGINT) AS n_ok, CAST(count(*) FILTER (ok AND array_to_string(tokens, '') = smarts) AS BIGINT) AS n_round_trip FROM k")
+def token_roundtrip(spark, sf_dir):
+    same = F.col("ok") & (F.array_join("tokens", "") == F.col("smarts"))
+    return _tokens(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"), F.count_if(same).alias("n_round_trip"))
+
+
+@query(f"{_EXPLODED} SELECT token, CAST(count(*) AS BIGINT) AS freq FROM e GROUP BY token")
+def token_frequencies(spark, sf_dir):
+    return vocab.token_frequencies(_tokens(spark, sf_dir)).select("token", "freq")
+
+
+# Special tokens never occur in these templates, so the SQL need not merge them.
+@query(f"{_VOCAB} SELECT token, id, freq FROM v")
+def vocabulary_sql(spark, sf_dir):
+    return vocab.build(_tokens(spark, sf_dir)).select("token", F.col("id").cast("bigint").alias("id"), "freq")
+
+
+QUERIES["vocab"] = QUERIES.pop("vocabulary_sql")
+ORACLE_SQL["vocab"] = ORACLE_SQL.pop("vocabulary_sql")
+
+_IDS = f"""{_TOKENS}, i AS (SELECT smarts, ok, CASE WHEN ok THEN list_concat([2], list_transform(tokens, lambda x: {_LOOKUP}), [3]) ELSE [] END AS ids FROM k),
+  p AS (SELECT smarts, ok, list_slice(ids, 1, 6) AS ids FROM i)"""
+
+
+@query(f"{_IDS} SELECT smarts, ok, array_to_string(list_resize(ids, 6, 0), ' ') AS input_ids FROM p")
+def encode_pad(spark, sf_dir):
+    rows = encode.dataset(_first(spark, sf_dir).select("smarts"), _vocabulary(spark, sf_dir), max_length=6, bos=True, eos=True)
+    return rows.select("smarts", "ok", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
+
+
+@query(f"{_IDS} SELECT smarts, array_to_string(list_resize(list_transform(ids, lambda x: 1), 6, 0), ' ') AS attention_mask, CAST(len(ids) AS BIGINT) AS n_real FROM p")
+def attention_mask(spark, sf_dir):
+    rows = encode.dataset(_first(spark, sf_dir).select("smarts"), _vocabulary(spark, sf_dir), max_length=6, bos=True, eos=True)
+    real = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return rows.select("smarts", F.array_join(F.col("attention_mask").cast("array<string>"), " ").alias("attention_mask"), real.alias("n_real"))
+
+
+@query(f"{_IDS} SELECT CAST(coalesce(max(len(ids)), 1) AS BIGINT) AS max_length, round(avg(len(ids)), 6) AS mean_length FROM i")
+def seq_length_stats(spark, sf_dir):
+    rows = _tokens(spark, sf_dir)
+    ids = F.when(F.col("ok"), encode.frame(encode.lookup(F.col("tokens"), _vocabulary(spark, sf_dir)), True, True)).otherwise(F.array().cast("array<bigint>"))
+    most, mean = encode.sequence_lengths()
+    return rows.withColumn("_ids", ids).agg(most, mean).select(F.col("max_length").cast("bigint").alias("max_length"), F.round("mean_length", 6).alias("mean_length"))
+
+
+_STATS = "CAST(count({0}) AS BIGINT) AS n, CAST(min({0}) AS BIGINT) AS min, round(quantile_cont({0}, 0.5), 6) AS median, round(avg({0}), 6) AS mean, round(quantile_cont({0}, 0.75), 6) AS p75, round(quantile_cont({0}, 0.9), 6) AS p90, round(quantile_cont({0}, 0.95), 6) AS p95, round(quantile_cont({0}, 0.99), 6) AS p99, CAST(max({0}) AS BIGINT) AS max, CAST(count(*) FILTER ({0} <= 256) AS BIGINT) AS n_le_256, round(100.0 * avg(CASE WHEN {0} <= 256 THEN 1.0 ELSE 0.0 END), 6) AS pct_le_256, CAST(count(*) FILTER ({0} <= 512) AS BIGINT) AS n_le_512, round(100.0 * avg(CASE WHEN {0} <= 512 THEN 1.0 ELSE 0.0 END), 6) AS pct_le_512"
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"SELECT {_STATS.format('length(text)')} FROM documents")
+def length_distribution(spark, sf_dir):
+    return _rounded(stats.length_distribution(table(spark, sf_dir, "documents"), F.length("text")))
+
+
+@query(f"{_TOKENS} SELECT {_STATS.format('len(tokens)')} FROM k WHERE ok")
+def token_length_distribution(spark, sf_dir):
+    return _rounded(stats.length_distribution(_tokens(spark, sf_dir).where("ok"), F.size("tokens")))
+
+
+@query(f"""{_TOKENS}, x AS (SELECT *, CASE WHEN ok THEN len(tokens) END AS m FROM k)
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN ok THEN 0.0 ELSE 1.0 END), 6) AS error_rate, round(avg(m), 6) AS mean_tokens, round(quantile_cont(m, 0.5), 6) AS median_tokens,
+  round(stddev_pop(m), 6) AS std_tokens, CAST(min(m) AS BIGINT) AS min_tokens, CAST(max(m) AS BIGINT) AS max_tokens, round(avg(m / length(smarts)), 6) AS fertility,
+  round(avg(m) / avg(CASE WHEN ok THEN length(smarts) END), 6) AS fertility_of_means, round(avg(CASE WHEN ok THEN CASE WHEN array_to_string(tokens, '') = smarts THEN 1.0 ELSE 0.0 END END), 6) AS round_trip,
+  CAST((SELECT count(DISTINCT u) FROM (SELECT unnest(tokens) AS u FROM k WHERE ok)) AS BIGINT) AS unique_tokens FROM x""")
+def fertility(spark, sf_dir):
+    return _rounded(stats.tokenizer_report(_tokens(spark, sf_dir), "smarts", "tokens"))
+
+
+_COUNTS = f"""{_TOKENS}, a AS (SELECT *, list_position(tokens, '>>') AS cut, len(list_filter(tokens, lambda x: x = '>>')) AS arrows FROM k WHERE ok),
+  s AS (SELECT smarts, tokens, arrows, list_slice(tokens, 1, cut - 1) AS l, list_slice(tokens, cut + 1, len(tokens)) AS r FROM a),
+  n AS (SELECT smarts, l, r, {{0}} FROM s)"""
+_ATOMS = "len(list_filter({0}, lambda x: regexp_full_match(x, '\\[.*|Cl|Br|[BCNOPSFIbcnopsAa*]')))"
+_RINGS = "len(list_filter({0}, lambda x: regexp_full_match(x, '%[0-9][0-9]|[0-9]')))"
+_DOTS = "len(list_filter({0}, lambda x: x = '.'))"
+
+
+# Here the only dots inside parentheses are those of '(O.N)', whose side has one outer dot more.
+@query(
+    _COUNTS.replace("{0}", ", ".join(f"{_ATOMS.format(s)} AS {s}a, {_RINGS.format(s)} AS {s}g, {_DOTS.format(s)} AS {s}d" for s in "lr"))
+    + " SELECT smarts, CAST(la + ra AS BIGINT) AS n_atoms, CAST(la - (ld + 1) + lg // 2 + ra - (rd + 1) + rg // 2 AS BIGINT) AS n_bonds,"
+    " CAST(1 + ld AS BIGINT) AS n_reactant_templates, CAST(1 + rd - CASE WHEN smarts LIKE '%(O.N)' THEN 1 ELSE 0 END AS BIGINT) AS n_product_templates,"
+    " array_to_string(l, '') AS reactant_smarts, array_to_string(r, '') AS product_smarts FROM n"
+)
+def structure_counts(spark, sf_dir):
+    rows = clean.validate(_first(spark, sf_dir).select("smarts")).where("valid")
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("n_atoms", "n_bonds", "n_reactant_templates", "n_product_templates")]
+    return rows.select("smarts", *counts, "reactant_smarts", "product_smarts")
+
+
+# --- labels -------------------------------------------------------------------
+
+
+@query(f"""{_T} SELECT TEMPLATE_ID AS template_id, {", ".join(f"array_to_string(list_slice(string_split(nullif({_EC}, ''), '.'), 1, {d}), '.') AS ec{d}" for d in (1, 2, 3))},
+  split_part(split_part(ECS, ';', 1), '.', 1) AS top FROM t""")
+def ec_label(spark, sf_dir):
+    ecs = F.col("ECS")
+    return templates(spark, sf_dir).select(F.col("TEMPLATE_ID").alias("template_id"), *[primary_ec(ecs, d).alias(f"ec{d}") for d in (1, 2, 3)], top_level(ecs).alias("top"))
+
+
+_LABELS = f"""{_T}, x AS (SELECT *, array_to_string(list_slice(string_split(nullif({_EC}, ''), '.'), 1, 1), '.') AS label FROM t WHERE upper(VALID) = 'TRUE' AND TEMPLATE IS NOT NULL),
+  m AS (SELECT TEMPLATE AS smarts, label FROM (SELECT *, row_number() OVER (PARTITION BY TEMPLATE ORDER BY o1, o2, o3, o4) AS rn FROM x WHERE label IS NOT NULL) WHERE rn = 1)"""
+_LABELLED = f"""{_LABELS}, f AS (SELECT * FROM (SELECT TEMPLATE AS smarts, REACTIONS, row_number() OVER (PARTITION BY TEMPLATE ORDER BY o1, o2, o3, o4) AS rn FROM t
+    WHERE upper(VALID) = 'TRUE' AND TEMPLATE IS NOT NULL AND {_BLANK.format("TEMPLATE")} <> '') WHERE rn = 1),
+  l AS (SELECT f.smarts, m.label, CASE WHEN REACTIONS IS NOT NULL AND {_BLANK.format('REACTIONS')} <> '' THEN REACTIONS ELSE f.smarts END AS grp FROM f JOIN m USING (smarts))"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = templates(spark, sf_dir)
+    return labels.join_labels(clean.reaction_groups(raw), labels.label_map(raw))
+
+
+@query(f"{_LABELLED} SELECT smarts, label, grp AS group_id FROM l")
+def labelled_join(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("smarts", "label", F.col("group").alias("group_id"))
+
+
+@query(f"{_LABELLED} SELECT label, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1")
+def label_counts(spark, sf_dir):
+    return labels.class_counts(_labelled(spark, sf_dir))
+
+
+@query(f"""{_LABELLED}, n AS (SELECT label FROM l GROUP BY 1 HAVING count(*) >= greatest(10, CAST(floor(500.0 / (SELECT count(*) FROM l) * 10) AS BIGINT) + 2))
+SELECT smarts, label FROM l WHERE label IN (SELECT label FROM n)""")
+def rare_class_filter(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return labels.drop_rare(rows, labels.min_class_count(rows.count(), 500)).select("smarts", "label")
+
+
+@query(f"""{_LABELLED}, c AS (SELECT label, count(*) AS n FROM l GROUP BY 1), q AS (SELECT label, least(n, greatest(1, floor(500 * n / (SELECT count(*) FROM l)))) AS quota FROM c)
+SELECT smarts, l.label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || smarts), smarts) AS rn FROM l) l JOIN q ON l.label = q.label WHERE rn <= quota""")
+def stratified_sample(spark, sf_dir):
+    return labels.stratified_sample(_labelled(spark, sf_dir), 500, 42).select("smarts", "label")
+
+
+_HOLDOUT = f"""{_LABELLED}, g AS (SELECT grp, row_number() OVER (ORDER BY md5('42:' || grp), grp) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM l)),
+  s AS (SELECT l.smarts, l.grp, CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM l JOIN g ON l.grp = g.grp)"""
+
+
+@query(f"{_HOLDOUT} SELECT smarts, split FROM s")
+def group_holdout(spark, sf_dir):
+    return splits.group_holdout(_labelled(spark, sf_dir), 0.2, 42).select("smarts", "split")
+
+
+@query(f"{_HOLDOUT} SELECT grp AS group_id FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def group_leakage_check(spark, sf_dir):
+    return splits.leaking_groups(splits.group_holdout(_labelled(spark, sf_dir), 0.2, 42)).select(F.col("group").alias("group_id"))
+
+
+@query()
+def stratified_group_holdout(spark, sf_dir):
+    return splits.stratified_group_holdout(_labelled(spark, sf_dir), 0.2, 42).select("smarts", "label", "group", "split")
+
+
+@query("SELECT doc_id, md5('7:' || CAST(doc_id AS VARCHAR)) AS draw FROM documents ORDER BY draw, doc_id LIMIT 100")
+def uniform_sample(spark, sf_dir):
+    rows = splits.uniform_sample(table(spark, sf_dir, "documents").select("doc_id"), 100, 7, "doc_id")
+    return rows.select("doc_id", labels.draw(7, F.col("doc_id")).alias("draw"))
+
+
+@query("""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) <= greatest(1, CAST(floor(0.1 * count(*) OVER ()) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM documents""")
+def random_holdout(spark, sf_dir):
+    return splits.random_holdout(table(spark, sf_dir, "documents").select("doc_id"), 0.1, 7, "doc_id")
+
+
+@query("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'unknown') AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
+def label_default(spark, sf_dir):
+    docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return docs.select("doc_id").join(known.select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("unknown")).alias("label"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def keep_first_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text", "doc_id")
+    return clean.keep_first(docs, "text").select("doc_id")
+
+
+# --- vectors ------------------------------------------------------------------
+
+_V = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_NORM = "sqrt(list_sum(list_transform(e, lambda x: x * x)))"
+_QUERY_ROW = 0
+
+
+@query(f"{_V} SELECT vec_id, round({_NORM}, 6) AS norm FROM v")
+def l2_norms(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"{_V} SELECT CAST(row_number() OVER (ORDER BY s DESC, vec_id) AS BIGINT) AS rank, round(s, 4) AS similarity, vec_id FROM (SELECT vec_id, list_cosine_similarity(e, (SELECT e FROM v WHERE vec_id = 0)) AS s FROM v WHERE vec_id <> 0) ORDER BY rank LIMIT 10")
+def cosine_topk(spark, sf_dir):
+    index = table(spark, sf_dir, "embeddings")
+    probe = index.where(F.col("vec_id") == _QUERY_ROW).first()["embedding"]
+    out = similarity.top_k(index, probe, 10, "vec_id", exclude=_QUERY_ROW)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"""{_V}, q AS (SELECT vec_id AS a, e AS ea FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a, vec_id AS b, list_cosine_similarity(e, ea) AS s FROM v, q WHERE vec_id <> a)
+SELECT a AS query, b AS neighbour, round(s, 6) AS similarity, CAST(rn AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM s) WHERE rn <= 5""")
+def batch_search(spark, sf_dir):
+    index = table(spark, sf_dir, "embeddings")
+    out = similarity.search(index, index.where("vec_id % 50 = 0"), 5)
+    return out.select("query", "neighbour", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"{_V}, p AS (SELECT * FROM v ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 60) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM p a JOIN p b ON a.vec_id < b.vec_id")
+def pairwise_cosine(spark, sf_dir):
+    sample = splits.uniform_sample(table(spark, sf_dir, "embeddings"), 60, 42, "vec_id")
+    return similarity.pairwise_cosine(sample).withColumn("similarity", F.round("similarity", 6))
+
+
+_PAIRS = f"""{_TOKENS}, p AS (SELECT smarts, list_distinct(tokens) AS s FROM (SELECT * FROM k WHERE ok ORDER BY md5('42:' || smarts), smarts LIMIT 60)),
+  w AS (SELECT a.smarts AS a, b.smarts AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS u, length(a.smarts) AS la, length(b.smarts) AS lb FROM p a JOIN p b ON a.smarts < b.smarts),
+  x AS (SELECT *, i * 1.0 / (u - i) AS similarity, abs(la - lb) * 1.0 AS distance FROM w)"""
+
+
+def _tanimoto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = splits.uniform_sample(_tokens(spark, sf_dir).where("ok").select("smarts", "tokens"), 60, 42, "smarts")
+    return similarity.pairwise_tanimoto(sample, "smarts").withColumn("distance", F.abs(F.length("a") - F.length("b")).cast("double"))
+
+
+@query(f"{_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM x")
+def tanimoto_pairs(spark, sf_dir):
+    return _tanimoto(spark, sf_dir).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"{_PAIRS} SELECT round(corr(similarity, distance), 6) AS pearson, round(regr_slope(similarity, distance), 6) AS slope, round(regr_intercept(similarity, distance), 6) AS intercept, CAST(count(*) AS BIGINT) AS n FROM x")
+def pearson_fit(spark, sf_dir):
+    return _rounded(similarity.linear_fit(_tanimoto(spark, sf_dir), "distance", "similarity"))
+
+
+@query(f"""{_PAIRS}, y AS (SELECT rank() OVER (ORDER BY distance) + (count(*) OVER (PARTITION BY distance) - 1) / 2.0 AS rx, rank() OVER (ORDER BY round(similarity, 9)) + (count(*) OVER (PARTITION BY round(similarity, 9)) - 1) / 2.0 AS ry FROM x)
+SELECT round(corr(rx, ry), 6) AS spearman FROM y""")
+def spearman(spark, sf_dir):
+    rows = _tanimoto(spark, sf_dir).withColumn("similarity", F.round("similarity", 9))
+    return _rounded(similarity.spearman(rows, "distance", "similarity"))
+
+
+@query(f"{_V} SELECT CAST(dim AS BIGINT) AS dim, round(var_pop(x), 9) AS variance FROM (SELECT unnest(e) AS x, unnest(range(0, len(e))) AS dim FROM v) GROUP BY 1")
+def dim_variance(spark, sf_dir):
+    out = stats.dimension_variance(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("dim").cast("bigint").alias("dim"), F.round("variance", 9).alias("variance"))
+
+
+@query(f"{_V}, n AS (SELECT {_NORM} AS n FROM v) SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, round(min(n), 6) AS min, round(max(n), 6) AS max FROM n")
+def norm_summary(spark, sf_dir):
+    return _rounded(stats.norm_summary(table(spark, sf_dir, "embeddings")))
+
+
+@query("SELECT least(greatest(CAST(floor((length(text) - 0.0) / (40000.0 / 80)) AS BIGINT), 0), 79) AS bin, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1")
+def similarity_histogram(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.length("text").cast("double").alias("x"))
+    return stats.histogram(rows, "x", 0.0, 40000.0, 80)
+
+
+@query("""SELECT least(greatest(CAST(floor((l_quantity - 0.0) / (50.0 / 50)) AS BIGINT), 0), 49) AS x_bin, least(greatest(CAST(floor((l_extendedprice - 0.0) / (100000.0 / 50)) AS BIGINT), 0), 49) AS y_bin, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2""")
+def histogram_2d(spark, sf_dir):
+    return stats.histogram_2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", (0.0, 50.0, 0.0, 100000.0))
+
+
+# --- metrics ------------------------------------------------------------------
+
+_PREDICTED = "WITH p AS (SELECT CAST(label AS VARCHAR) AS y, CAST((label + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) % 10 AS VARCHAR) AS p FROM embeddings)"
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    guess = (F.col("label") + F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0)) % 10
+    return rows.select(F.col("label").cast("string").alias("label"), guess.cast("string").alias("predicted"))
+
+
+@query(f"{_PREDICTED} SELECT y AS label, p AS predicted, CAST(count(*) AS BIGINT) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY y), 6) AS share FROM p GROUP BY 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return _rounded(metrics.confusion(_predictions(spark, sf_dir)))
+
+
+_PER_CLASS = f"""{_PREDICTED}, c AS (SELECT y AS c FROM p UNION SELECT p FROM p),
+  k AS (SELECT c, (SELECT count(*) FROM p WHERE y = c AND p = c) AS hit, (SELECT count(*) FROM p WHERE y = c) AS support, (SELECT count(*) FROM p WHERE p = c) AS chosen FROM c),
+  r AS (SELECT c, support, coalesce(hit * 1.0 / nullif(chosen, 0), 0.0) AS precision, coalesce(hit * 1.0 / nullif(support, 0), 0.0) AS recall FROM k),
+  s AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM r)"""
+
+
+@query(f"{_PER_CLASS} SELECT c AS label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM s")
+def class_metrics(spark, sf_dir):
+    return _rounded(metrics.class_metrics(_predictions(spark, sf_dir)))
+
+
+@query(f"{_PER_CLASS} SELECT round(avg(f1), 6) AS f1_macro, round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round((SELECT avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) FROM p), 6) AS accuracy FROM s")
+def summary_metrics(spark, sf_dir):
+    return _rounded(metrics.summary_metrics(_predictions(spark, sf_dir)))
+
+
+@query(f"SELECT CAST(step AS BIGINT) AS step, round(CASE WHEN step < 100 THEN step / 100.0 ELSE greatest(0.0, 0.5 * (1 + cos({math.pi!r} * (step - 100) / 900.0))) END, 9) AS factor FROM range(1000) AS r(step)")
+def lr_schedule(spark, sf_dir):
+    return _rounded(metrics.schedule(spark, 1000, 100), 9)
+
+
+# --- without SQL --------------------------------------------------------------
+
+
+@query()
+def span_mask(spark, sf_dir):
+    known = _vocabulary(spark, sf_dir)
+    rows = encode.dataset(_first(spark, sf_dir).select("smarts"), known, max_length=16).drop("ok")
+    return masking.span_mask(rows, masking.SpanMasker(known), "smarts")
+
+
+def _embedder(pooling: str) -> encoder.Embedder:
+    config = encoder.EncoderConfig(len(VOCABULARY), d_model=32, nhead=4, num_encoder_layers=2, dim_feedforward=64, max_seq_len=32)
+    return encoder.Embedder(config, encoder.random_weights(config), {t: k for k, t in enumerate(VOCABULARY)}, pooling)
+
+
+@query()
+def embed_mean(spark, sf_dir):
+    return _embedder("mean").transform(_first(spark, sf_dir).select("smarts"))
+
+
+@query()
+def embed_cls(spark, sf_dir):
+    return _embedder("cls").transform(_first(spark, sf_dir).select("smarts"))
+
+
+@query()
+def masked_accuracy(spark, sf_dir):
+    known = _vocabulary(spark, sf_dir)
+    masker = masking.SpanMasker(known)
+    rows = masking.span_mask(encode.dataset(_first(spark, sf_dir).select("smarts"), known, max_length=16).drop("ok"), masker, "smarts")
+    guesses = F.transform("input_ids", lambda x: F.array(*[((x + k) % len(known)).cast("bigint") for k in range(5)]))
+    return metrics.masked_accuracy(rows.withColumn("guesses", guesses), masker.content_ids)
+
+
+@query()
+def pca2(spark, sf_dir):
+    return classify.pca(table(spark, sf_dir, "embeddings"))[0].select("vec_id", "projection")
+
+
+@query()
+def tfidf_lr(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    rows = classify.label_index(tokenizer.with_tokens(rows, "smarts").where("ok"))
+    rows = splits.group_holdout(classify.tfidf(rows, min_df=1), 0.2, 42)
+    out = classify.linear_classifier(rows.where("split = 'train'"), rows.where("split = 'test'"), max_iter=30)
+    return out.select("smarts", "label_id", "predicted")
+
+
+@query()
+def vector_classifier(spark, sf_dir):
+    rows = classify.vectors(table(spark, sf_dir, "embeddings").withColumn("label_id", F.col("label").cast("double")))
+    out = classify.cross_validate(rows, 3, 42, "vec_id", scale=True, max_iter=30)
+    return out.select("vec_id", "label_id", "predicted", "fold")
+
+
