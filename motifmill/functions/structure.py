@@ -36,21 +36,33 @@ def _templates(parts: Column) -> Column:
     return F.aggregate(parts, start, step, lambda s: F.when(s["bad"] | (s["depth"] != 0), F.lit(-1)).otherwise(s["dots"] + 1))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluates a value once for all its uses in an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _side(parts: Column) -> Column:
-    rings = F.filter(parts, lambda x: x.rlike(RING))
-    odd = F.exists(F.array_distinct(rings), lambda r: F.size(F.filter(rings, lambda x: x == r)) % 2 == 1)
-    atoms = _count(parts, lambda x: x.rlike(ATOM))
-    return F.struct(
-        F.array_join(parts, "").alias("text"),
-        _templates(parts).alias("templates"),
-        atoms.alias("atoms"),
-        (atoms - (_count(parts, lambda x: x == ".") + 1) + F.floor(F.size(rings) / 2)).cast("int").alias("bonds"),
-        odd.alias("odd"),
-    )
+    atoms, dots = _count(parts, lambda x: x.rlike(ATOM)), _count(parts, lambda x: x == ".")
+
+    def fields(rings: Column) -> Column:
+        odd = F.exists(F.array_distinct(rings), lambda r: F.size(F.filter(rings, lambda x: x == r)) % 2 == 1)
+        return F.struct(
+            F.array_join(parts, "").alias("text"),
+            _templates(parts).alias("templates"),
+            atoms.alias("atoms"),
+            (atoms - (dots + 1) + F.floor(F.size(rings) / 2)).cast("int").alias("bonds"),
+            odd.alias("odd"),
+        )
+
+    return _let(F.filter(parts, lambda x: x.rlike(RING)), fields)
 
 
 def structure(tokens: Column, ok: Column) -> Column:
     """A struct of the validation fields; all but ``valid`` are null if it is false."""
+    return _let(F.struct(tokens.alias("t"), ok.alias("ok")), lambda x: _structure(x["t"], x["ok"]))
+
+
+def _structure(tokens: Column, ok: Column) -> Column:
     arrows = _count(tokens, lambda x: x == ">>")
     lone = _count(tokens, lambda x: x == ">")
     n = F.size(tokens)
@@ -75,5 +87,4 @@ def structure(tokens: Column, ok: Column) -> Column:
             only(a["bonds"] + b["bonds"]).alias("n_bonds"),
         )
 
-    sides = F.array(_side(left), _side(right))
-    return F.get(F.transform(F.array(sides), fields), F.lit(0))
+    return _let(F.transform(F.array(left, right), _side), fields)

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEPTH = 5
+DEPTH = 8
 
 # Fixed values of the grammar outside brackets; the first alternative that matches wins.
 PLAIN = (
@@ -30,10 +28,11 @@ PLAIN = (
 
 def pattern(depth: int = DEPTH) -> str:
     """One pattern for all tokens, brackets nested up to ``depth`` times."""
-    inside = r"[^\[\]]"
+    plain = r"[^\[\]]*"
+    inside = plain
     for _ in range(depth - 1):
-        inside = rf"(?:[^\[\]]|\[{inside}*\])"
-    return "|".join([rf"\[{inside}*\]", *PLAIN])
+        inside = rf"{plain}(?:\[{inside}\]{plain})*"
+    return "|".join([rf"\[{inside}\]", *PLAIN])
 
 
 PATTERN = pattern()
@@ -79,28 +78,27 @@ def scan(text: str) -> list[str]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _scan_deep(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[str] | None:
+        try:
+            return None if text is None else scan(text)
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
 def with_tokens(df: DataFrame, col: str, out: str = "tokens", ok: str = "ok") -> DataFrame:
     """Adds the tokens and whether the string tokenizes (else no tokens).
 
-    The column expression does nearly all rows; only those it cannot cover and that
-    nest brackets go to the scanner, in Arrow batches.
+    The column expression does nearly all rows.  Only texts it cannot cover that hold
+    more brackets than its depth reach the scanner; all others go there as nulls.
     """
-    native = df.withColumn(out, tokens(F.col(col)))
-    native = native.withColumn(ok, F.coalesce(covers(F.col(col), F.col(out)), F.lit(False)))
-    deep = ~F.col(ok) & F.col(col).rlike(r"\[[^\]]*\[")
-    schema = native.schema
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            results = []
-            for text in pdf[col]:
-                try:
-                    results.append((scan(text), True))
-                except ValueError:
-                    results.append(([], False))
-            pdf[out], pdf[ok] = [r[0] for r in results], [r[1] for r in results]
-            yield pdf
-
-    shallow = native.where(~deep).withColumn(out, F.when(F.col(ok), F.col(out)).otherwise(F.array().cast("array<string>")))
-    rest = native.where(deep).mapInPandas(exact, T.StructType(schema.fields))
-    return shallow.unionByName(rest)
+    text = F.col(col)
+    native = df.withColumns({"_native": tokens(text)}).withColumn("_full", F.coalesce(covers(text, F.col("_native")), F.lit(False)))
+    deep = ~F.col("_full") & (F.length(text) - F.length(F.replace(text, F.lit("["))) > DEPTH)
+    scanned = native.withColumn("_scanned", _scan_deep(F.when(deep, text)))
+    empty = F.array().cast("array<string>")
+    parts = F.when(F.col("_full"), F.col("_native")).otherwise(F.coalesce("_scanned", empty))
+    return scanned.select(*df.columns, parts.alias(out), (F.col("_full") | F.col("_scanned").isNotNull()).alias(ok))
