@@ -153,10 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_train_wor
 
 
 def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.buckets, model.bias, model.linear, model.factors, model.edges))
 
     def worker():
-        machine = sent.value
+        machine = FactorisationMachine(*sent.value)
 
         def work(texts: list[bytes]) -> list[pa.Array]:
             out = [machine.score(texts[k : k + 256]) for k in range(0, len(texts), 256)]

@@ -167,10 +167,10 @@ SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 
 
 def apply_rules(docs: DataFrame, field: LineField, min_content: float = MIN_CONTENT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = docs.sparkSession.sparkContext.broadcast((field.emission, field.transition))
 
     def worker():
-        model = sent.value
+        model = LineField(*sent.value)
 
         def work(texts: list[bytes]) -> list[pa.Array]:
             out = []
