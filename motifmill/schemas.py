@@ -7,17 +7,30 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+_TEXT, _INT, _LONG, _DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+_LONGS = T.ArrayType(_LONG)
+
 RAW = _strings("TEMPLATE_ID", "TEMPLATE", "VALID", "REACTIONS")
 RAW_LABELS = _strings("TEMPLATE", "ECS", "VALID")
 GROUPS = _strings("smarts", "reaction_group")
-VALIDATED = T.StructType.fromDDL(
-    "valid boolean, reactant_smarts string, product_smarts string, n_reactant_templates int, "
-    "n_product_templates int, n_atoms int, n_bonds int, smarts string, reaction_group string"
+VALIDATED = _fields(
+    valid=T.BooleanType(),
+    reactant_smarts=_TEXT,
+    product_smarts=_TEXT,
+    n_reactant_templates=_INT,
+    n_product_templates=_INT,
+    n_atoms=_INT,
+    n_bonds=_INT,
+    smarts=_TEXT,
+    reaction_group=_TEXT,
 )
-VALIDATED_TEXT = _strings(*VALIDATED.names)
 LABELLED = _strings("smarts", "label", "group")
-VOCABULARY = T.StructType.fromDDL("token string, id int, freq bigint")
-ENCODED = T.StructType.fromDDL("input_ids array<bigint>, attention_mask array<bigint>")
-MASKED = T.StructType.fromDDL("input_ids array<bigint>, attention_mask array<bigint>, labels array<bigint>")
-PREDICTION = T.StructType.fromDDL("smarts string, embedding array<float>")
-HISTORY = T.StructType.fromDDL("epoch int, train_loss double, val_loss double, top1 double, top5 double, content_top1 double, content_top5 double, elapsed double")
+VOCABULARY = _fields(token=_TEXT, id=_INT, freq=_LONG)
+ENCODED = _fields(input_ids=_LONGS, attention_mask=_LONGS)
+MASKED = _fields(input_ids=_LONGS, attention_mask=_LONGS, labels=_LONGS)
+PREDICTION = _fields(smarts=_TEXT, embedding=T.ArrayType(T.FloatType()))
+HISTORY = _fields(epoch=_INT, train_loss=_DOUBLE, val_loss=_DOUBLE, top1=_DOUBLE, top5=_DOUBLE, content_top1=_DOUBLE, content_top5=_DOUBLE, elapsed=_DOUBLE)

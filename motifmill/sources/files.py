@@ -41,7 +41,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType) ->
         cols = [F.when(~F.col(f"`{c}`").isin(*NA_WORDS), F.col(f"`{c}`")).alias(c) for c in schema.names]
         parts.append(df.select(order(rank).alias("ord"), *cols))
     if not parts:
-        return spark.createDataFrame([], T.StructType.fromDDL("ord struct<file: int, block: bigint, row: bigint>").add("x", "string")).select("ord", *[F.lit(None).cast("string").alias(c) for c in schema.names])
+        raise ValueError("no paths were given")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
