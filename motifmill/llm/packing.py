@@ -39,7 +39,8 @@ def best_fit(lengths: list[int], capacities: Mapping[int, float], limit: int) ->
     """Best fit for lengths in descending order; bin of each, and capacity and contents of each bin.
 
     Bins are kept by space left; ``spaces`` is a bit set of the spaces that have a bin,
-    so the tightest bin for a piece is the lowest bit at or above its length.
+    so the tightest bin for a piece is the lowest bit at or above its length; of equal
+    spaces the bin that was filled last is taken.
     """
     sizes = sorted(capacities)
     opens: dict[int, int] = {}

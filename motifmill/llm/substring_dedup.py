@@ -218,11 +218,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; documents that had words and lose all of them go."""
+    """Texts without their repeated passages (what is left joined by single spaces).
+
+    Texts that lose nothing stay as they are; documents that had words and lose all of
+    them go.
+    """
     columns = docs.columns
-    out = substring_dedup(docs, keep=tuple(c for c in columns if c not in ("doc_id", "text", "n_chars")))
+    out = substring_dedup(docs, keep=tuple(c for c in columns if c != "doc_id"))
     out = out.where("n_removed = 0 or n_removed < n_words")
-    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    cut = F.col("n_removed") > 0
+    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in columns])
 
 
