@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 #: Rows handed to Python in one Arrow batch; texts may be long, so it is small.
 BATCH_ROWS = 2000
 BATCH_BYTES = 32 << 20
+#: Bytes of text that an operator works on at a time (one text may be longer).
+SLICE_BYTES = 4 << 20
 #: Spark removes the shuffle files of a finished query when this is set.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -68,6 +70,21 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch whose texts have ``most`` bytes together, or are one text."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first = size = 0
+    for k, n in enumerate(sizes):
+        if size and size + n > most:
+            yield batch.slice(first, k - first)
+            first, size = k, 0
+        size += n
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
 def map_texts(
     df: DataFrame, row: Callable[[], Callable], schema: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -86,13 +103,11 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            work = work or row()
-            texts = [x or b"" for x in batch.column(len(kept)).to_pylist()]
-            new = work(texts)
-            columns = [batch.column(i) for i in range(len(kept))] + new
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in slices(batch, len(kept)):
+                work = work or row()
+                texts = [x or b"" for x in part.column(len(kept)).to_pylist()]
+                columns = [part.column(i) for i in range(len(kept))] + work(texts)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, out)
 
