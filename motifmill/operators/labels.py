@@ -35,7 +35,7 @@ def min_class_count(rows: int, n_samples: int | None) -> int:
 def drop_rare(df: DataFrame, min_count: int, label: str = "label") -> DataFrame:
     """Rows of classes with ``min_count`` rows or more (the class table is small, the rows are not shuffled for it)."""
     common = class_counts(df, label).where(F.col("n") >= min_count).select(label)
-    return df.join(common, label, "left_semi")
+    return df.join(common, label, "left_semi").select(df.columns)
 
 
 def draw(seed: int, *cols: Column | str) -> Column:

@@ -151,3 +151,19 @@ def write_predictions(df: DataFrame, path: str, fmt: str | None = None, dims: in
 def blank_free(values: Sequence[str]) -> list[str]:
     return [v.strip() for v in values if v.strip()]
 
+
+
+# --- embedding index ----------------------------------------------------------
+
+
+def write_index(df: DataFrame, path: str, pooling: str) -> None:
+    """Strings with their vectors and the pooling that made them."""
+    df.select("smarts", "embedding", F.lit(pooling).alias("pooling")).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, pooling: str | None = None) -> DataFrame:
+    """The index; an error if it was made with another pooling than the queries will be."""
+    df = spark.read.parquet(path)
+    if pooling is not None and (other := df.where(F.col("pooling") != pooling).select("pooling").first()):
+        raise ValueError(f"the index was made with {other['pooling']} pooling, not {pooling}")
+    return df.select("smarts", "embedding")

@@ -130,3 +130,46 @@ def test_vocabulary_json(spark, tmp_path):
 def test_formats():
     assert files.infer_format("x.csv", "npy") == "npy" and files.infer_format("x.csv") == "csv"
     assert files.infer_format("x.CSV") == "json" and files.infer_format(None) == "json"
+
+
+def test_stages_from_files_to_labels(spark, tmp_path):
+    from motifmill import stages
+
+    raw = tmp_path / "raw.csv"
+    lines = ["TEMPLATE_ID,TEMPLATE,VALID,REACTIONS,ECS"]
+    lines += [f"{k},[C;H{k % 4}:{k}]>>[N:1],TRUE,RHEA:{k // 2},{1 + k // 12}.1" for k in range(24)]
+    lines += ['90,"[c,n;H1]>>C",TRUE,NA,3.1', "91,C?N,TRUE,r,1.1", "92,CC>>N,FALSE,r,1.1"]
+    raw.write_text("\n".join(lines) + "\n")
+    out = {n: str(tmp_path / n) for n in ("clean", "groups.csv", "validated", "vocab.json", "labelled")}
+    stages.main(["clean", "--raw", str(raw), "-o", out["clean"], "--groups", out["groups.csv"]])
+    tally = {r["valid"]: r["n"] for r in stages.validate_stage(spark, out["clean"], out["validated"], out["groups.csv"]).collect()}
+    assert tally == {True: 25, False: 1}
+    rows = {r["smarts"]: r["reaction_group"] for r in files.read_validated(spark, out["validated"]).collect()}
+    assert rows["[c,n;H1]>>C"] == "[c,n;H1]>>C" and rows["[C;H3:3]>>[N:1]"] == "RHEA:1" and "C?N" not in rows
+    known = stages.vocab_stage(spark, out["validated"], out["vocab.json"])
+    assert known["token_to_id"][">>"] == 4 and known["size"] == 4 + 2 + 24 + 2
+    assert stages.labels_stage(spark, [str(raw)], out["validated"], out["labelled"]) == 24
+    assert spark.read.parquet(out["labelled"]).columns == ["smarts", "label", "group"]
+
+
+def test_index_refuses_another_pooling(spark, tmp_path):
+    df = spark.createDataFrame([("C", [1.0, 2.0])], "smarts string, embedding array<float>")
+    files.write_index(df, str(tmp_path / "i"), "mean")
+    assert files.read_index(spark, str(tmp_path / "i"), "mean").count() == 1
+    with pytest.raises(ValueError):
+        files.read_index(spark, str(tmp_path / "i"), "cls")
+
+
+def test_prediction_sinks(spark, tmp_path):
+    import numpy as np
+
+    df = spark.createDataFrame([(1, "C", [1.0, 2.0]), (0, "N,O", [3.0, 4.0])], "ord int, smarts string, embedding array<float>")
+    files.write_predictions(df, str(tmp_path / "a" / "x.npy"))
+    assert np.load(tmp_path / "a" / "x.npy").tolist() == [[3.0, 4.0], [1.0, 2.0]]
+    files.write_predictions(df, str(tmp_path / "b.csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "b.csv"))
+    assert back.columns == ["smarts", "dim_0", "dim_1"] and {r["smarts"] for r in back.collect()} == {"C", "N,O"}
+    files.write_predictions(df, str(tmp_path / "c"), "json")
+    assert spark.read.json(str(tmp_path / "c")).count() == 2
+    with pytest.raises(ValueError):
+        files.write_predictions(df, str(tmp_path / "d"), "xml")
