@@ -200,3 +200,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {r["smarts"]: r["input_ids"] for r in spark.table("encoded").collect()}
     assert got == {"C>>N": [4, 7, 5, 0], "C?": [0, 0, 0, 0]}
+
+
+def test_token_rate_by_window(spark, tmp_path):
+    rows = [("2024-01-01 00:00:10", "C>>N"), ("2024-01-01 00:00:50", "C?"), ("2024-01-01 00:01:05", "CC")]
+    df = spark.createDataFrame(rows, "at string, smarts string").select(F.to_timestamp("at").alias("at"), "smarts")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = streams.token_rate(stream, "at", "smarts").writeStream.format("memory").queryName("rates").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    got = [(r["rows"], r["tokens"], r["failed"]) for r in spark.table("rates").orderBy("window").collect()]
+    assert got == [(2, 3, 1), (1, 2, 0)]
