@@ -143,7 +143,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, max_words: int, label_
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     cut = F.substring("text", 1, max_words * 8)
-    got = docs.select("doc_id", cut.alias("text")).join(F.broadcast(wanted), "doc_id")
+    got = docs.select("doc_id", cut.alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     return sorted(((r["doc_id"], r["text"] or "", int(r["label"])) for r in got.collect()), key=lambda r: (r[0], r[1]))
 
 
