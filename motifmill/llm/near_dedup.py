@@ -131,7 +131,7 @@ def block_links(rows: list[tuple], band: int, values: int, percent: int, shingle
         equal = ms == qs[q]
         fits = (100 * np.minimum(mn, qn[q]) >= percent * np.maximum(mn, qn[q])) & (equal.mean(axis=1) >= percent / 100 - 0.14)
         at = np.flatnonzero(fits)
-        shared = equal[at].reshape(len(at), -1, values).all(axis=2)
+        shared = equal[at].reshape(len(at), equal.shape[1] // values, values).all(axis=2)
         for k, m in enumerate(at):
             other = against[m]
             if other[2] == row[2] or shared[k].argmax() != band or not shared[k, band]:
