@@ -1,14 +1,15 @@
-"""Blank-aware predicates; ``trim`` alone knows only U+0020."""
+"""Blank-aware predicates; plain ``trim`` knows only U+0020."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# The characters that count as white space at the ends of a string.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 
 
 def strip(col: Column) -> Column:
-    """Without outer white space of any kind."""
-    return F.regexp_replace(col, _OUTER, "")
+    """Without outer white space of any kind (only the ends are looked at, no pattern)."""
+    return F.btrim(col, F.lit(WHITE))
 
 
 def not_blank(col: Column) -> Column:
