@@ -28,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -51,48 +53,74 @@ class CachedEncoder:
 
     A pre-token of this vocabulary starts at a single space or line feed between visible
     characters, so a text without runs of white space can be encoded chunk by chunk.
-    Other texts, and texts with special tokens, go to the library whole.
+    Other texts, and texts with special tokens, go to the library whole.  The first
+    ``limit`` chunks are kept, which are the frequent ones; others are encoded each time.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.split, self.model, self.limit = self.whole.pre_tokenizer, self.whole.model, limit
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {"": b""}
         self.spaced: dict[str, bytes] = {}
+        self.space = self.split.pre_tokenize_str(" ")[0][0]
+        self.marks = {c: self._piece(self.split.pre_tokenize_str(c)[0][0]) for c in ".,"}
         self.feed = self._library("\n")
 
     def _library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, text: str) -> bytes:
-        model = self.model
-        return np.array([t.id for piece, _ in self.split.pre_tokenize_str(text) for t in model.tokenize(piece)], "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, word: str, space: str) -> bytes:
+        if word.isascii():  # ASCII letters are one pre-token, a mark after them another
+            if word.isalpha():
+                return self._piece((self.space if space else "") + word)
+            if word[-1:] in self.marks and word[:-1].isalpha():
+                return self._piece((self.space if space else "") + word[:-1]) + self.marks[word[-1]]
+        return b"".join(self._piece(piece) for piece, _ in self.split.pre_tokenize_str(space + word))
+
+    def _rare(self, words: list[str]) -> list[bytes]:
+        out, spaced = [], self.spaced
+        for w in words:
+            ids = spaced.get(w)
+            if ids is None:
+                ids = self._chunk(w, " ")
+                if len(spaced) < self.limit:
+                    spaced[w] = ids
+            out.append(ids)
+        return out
 
     def __call__(self, text: str) -> bytes:
         if _TWO_SPACES.search(text) or any(s in text for s in self.special):
             return self._library(text)
-        if len(self.first) + len(self.spaced) > self.limit:
-            self.first.clear()
-            self.spaced.clear()
-        out = []
-        first, spaced = self.first, self.spaced
+        out, spaced = [], self.spaced
         for line in text.split("\n"):
             head, *rest = line.split(" ")
-            if head not in first:
-                first[head] = self._chunk(head) if head else b""
+            ids = self.first.get(head)
+            if ids is None:
+                ids = self._chunk(head, "")
+                if len(self.first) < self.limit // 4:
+                    self.first[head] = ids
             try:
-                out.append(first[head] + b"".join(map(spaced.__getitem__, rest)))
+                out.append(ids + b"".join([spaced[w] for w in rest]))
             except KeyError:
-                for w in rest:
-                    if w not in spaced:
-                        spaced[w] = self._chunk(" " + w)
-                out.append(first[head] + b"".join(map(spaced.__getitem__, rest)))
+                out.append(ids + b"".join(self._rare(rest)))
         return self.feed.join(out)
 
 
+def worker_encoder(path: str) -> CachedEncoder:
+    """The encoder of this Python process: tasks that follow each other share what it keeps."""
+    kept = sys.modules["__main__"].__dict__.setdefault("_token_encoders", {})
+    if path not in kept:
+        kept[path] = CachedEncoder(path)
+    return kept[path]
+
+
 def open_fs(uri: str):
     """File system and path of a folder URI (a plain path is a shared mount)."""
     from pyarrow import fs
@@ -205,7 +233,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, scratch: common.Scratch,
                 part = batch.slice(k, 256)
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if writer is None:
-                        encode, sink = CachedEncoder(tokenizer), own.open_output_stream(path)
+                        encode, sink = worker_encoder(tokenizer), own.open_output_stream(path)
                         writer = ShardWriter(sink, dictionary)
                     ids = encode(t) + ending
                     tokens += len(ids) // 4
