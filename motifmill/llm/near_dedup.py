@@ -155,7 +155,11 @@ def block_links(rows: list[tuple], band: int, values: int, percent: int, shingle
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, band_values: int = BAND_VALUES, block: tuple[int, int] = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's key (k1, k2), id, set size, component id, and whether it is the one that stays."""
+    """Each row's key (k1, k2), id, set size, component id, whether it has the component's id, and whether its key leads.
+
+    One key leads in a component, whatever the ids: the least by id (null last), k1, k2.
+    Rows of equal id and text share it.  A row with an empty set leads alone.
+    """
     if 2 * permutations % band_values or 2 * permutations // band_values > 64:
         raise ValueError("the signature is cut into at most 64 whole bands")
     spark = docs.sparkSession
@@ -186,8 +190,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     rows = scratch.write(base.mapInArrow(sketch, f"i {id_type}, k1 bigint, k2 bigint, s1 bigint, s2 bigint, n bigint, sig binary"), "rows")
 
     # Classes of equal sets; one row's text stands for each.
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("i").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = classes.select("s1", "s2", "least", "k.k1", "k.k2", "n", "sig").withColumn("node", F.monotonically_increasing_id())
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("i").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.min(F.struct(F.col("i").isNull().alias("no_id"), "i", "k1", "k2")).alias("lead"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = classes.select("s1", "s2", "least", "lead", "k.k1", "k.k2", "n", "sig").withColumn("node", F.monotonically_increasing_id())
     classes = scratch.write(classes, "classes")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,14 +268,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     two = scratch.write(components(links, scratch, "two").select(F.col("node").alias("root"), F.col("root").alias("top")), "roots2")
 
     # Component of each class, then of each row.
-    placed = classes.select("node", "s1", "s2", "least").join(one, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.join(two, "root", "left").select("s1", "s2", "least", F.coalesce("top", "root").alias("top"))
+    placed = classes.select("node", "s1", "s2", "least", "lead").join(one, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.join(two, "root", "left").select("s1", "s2", "least", "lead", F.coalesce("top", "root").alias("top"))
     placed = scratch.write(placed, "tops")
-    named = placed.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = scratch.write(placed.join(scratch.write(named, "named"), "top").select("s1", "s2", "component_id"), "components")
+    named = placed.groupBy("top").agg(F.min("least").alias("component_id"), F.min("lead").alias("head"))
+    named = scratch.write(placed.join(scratch.write(named, "named"), "top").select("s1", "s2", "component_id", F.col("head.k1").alias("l1"), F.col("head.k2").alias("l2")), "components")
     scratch.drop("classes", "tops", "named", "links1", "links2")
     out = rows.select("k1", "k2", "i", "s1", "s2", "n").join(named, ["s1", "s2"], "left")
-    return out.select("k1", "k2", F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id")).withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
+    leads = F.coalesce((F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), F.lit(True))
+    out = out.select("k1", "k2", F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"), leads.alias("leads"))
+    return out.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,10 +285,20 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; the others go."""
-    gone = near_duplicates(docs).where("not kept").select("k1", "k2")
+    """One row of each group of near copies, also where its rows share an id or have none; the others go.
+
+    Of rows with the leading id and text, the one with the least hash of all columns stays.
+    Texts without words are linked with nothing and stay.
+    """
+    columns = docs.columns
+    scratch = common.Scratch(spark, "near_dedup_stage")
+    marks = near_duplicates(docs).where("n_shingles > 0").groupBy("k1", "k2").agg(F.max("leads").alias("leads"), F.count(F.lit(1)).alias("n")).where("not leads or n > 1")
+    marks = scratch.write(marks.select("k1", "k2", "leads"), "marks")
     keyed = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(7))})
-    return keyed.join(gone, ["k1", "k2"], "left_anti").select(docs.columns)
+    alone = keyed.join(marks.select("k1", "k2"), ["k1", "k2"], "left_anti").select(columns)
+    again = keyed.join(marks.where("leads").select("k1", "k2"), ["k1", "k2"], "left_semi")
+    again = again.groupBy("k1", "k2").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return alone.unionByName(again)
 
 
 # All pairs that share a shingle, with a recursive reach: the plain definition.

@@ -80,6 +80,28 @@ def test_near_duplicates_equal_all_pairs(spark, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (rng.choices(VOCAB, k=90) for _ in range(5))
+    near = lambda words: " ".join(["changed", *words[1:]])
+    rows = [(1, " ".join(a))] * 3  # a repeated row
+    rows += [(None, " ".join(b))] * 3  # the same without an id
+    rows += [(2, " ".join(c)), (2, near(c))]  # near copies under one id
+    rows += [(None, " ".join(d)), (None, near(d))]
+    rows += [(4, " ".join(e)), (3, near(e)), (3, near(e)), (None, " ".join(e))]
+    rows += [(3, " ".join(rng.choices(VOCAB, k=90))), (5, ""), (6, None), (None, "")]  # groups with the id of another, and no words
+    docs = spark.createDataFrame([(i, t, f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, source string, n_chars bigint").repartition(3)
+    out = near_dedup.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    for words, ids in ((a, {1}), (b, {None}), (c, {2}), (d, {None}), (e, {3})):
+        mine = {x: n for x, n in got.items() if x[1] in (" ".join(words), near(words))}
+        assert sum(mine.values()) == 1 and {i for i, _ in mine} == ids
+    assert got[rows[14]] == 1 and sum(got.values()) == 9 and {(5, ""), (6, None), (None, "")} <= set(got)
+    # The next stage finds no copies and so drops no group whole.
+    assert substring_dedup.stage(spark, out, "").count() == 9
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.near_duplicates(_docs(spark, _rows()).limit(0)).count() == 0
 
