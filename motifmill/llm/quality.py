@@ -7,9 +7,9 @@ structure statistics, and metadata of the text itself (its length class).
 Labels, language, source and ids are never inputs of a score.
 
 Scale: training takes a bounded sample of labelled rows (``max_train`` rows, those
-with the smallest hash of their id, each text cut in the sample only at
-``max_train_words`` words); scoring is a map without a shuffle over all rows and
-whole texts, with a broadcast of fixed size (``buckets`` x (1 + rank) floats).
+with the smallest hash of their id), whose whole texts become sparse counts and
+statistics on the executors, as in scoring; only these come to the driver.  Scoring
+is a map without a shuffle over all rows and whole texts, with a broadcast of fixed size (``buckets`` x (1 + rank) floats).
 
 Defined cases: null and empty texts get the score of a text without words; rows
 without a label or an id are scored and never trained on; without both classes in
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,8 +95,11 @@ def forward(bias, linear, factors, index, values, starts):
 
 
 def train(texts: list[bytes], labels: np.ndarray, buckets: int = 1 << 15, rank: int = 6, rate: float = 0.1, l2: float = 1e-5, batch: int = 64, steps: int = 1000, seed: int = 7) -> FactorisationMachine:
+    return train_encoded(*encode(texts or [b""], buckets), labels, buckets, rank, rate, l2, batch, steps, seed)
+
+
+def train_encoded(words: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, stats: np.ndarray, labels: np.ndarray, buckets: int = 1 << 15, rank: int = 6, rate: float = 0.1, l2: float = 1e-5, batch: int = 64, steps: int = 1000, seed: int = 7) -> FactorisationMachine:
     """Log loss by mini-batch AdaGrad; small samples are passed over more often (``steps`` batches at least)."""
-    words, sizes, stats = encode(texts or [b""], buckets)
     edges = np.stack([np.quantile(stats[:, j], np.linspace(0, 1, BINS + 2)[1:-1]) for j in range(stats.shape[1])]).astype(np.float32)
     size = buckets + len(TEXT_STATS) * (BINS + 1)
     rng = np.random.default_rng(seed)
@@ -135,21 +139,36 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(common.crc_text(F.col(id_col)), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int, max_words: int, label_col: str = "quality") -> list:
-    """A bounded sample of labelled training rows: those with the smallest hash of their id."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int, features: Callable[[list[bytes]], list[pa.Array]], schema: str, label_col: str = "quality") -> list:
+    """Features and labels of a bounded sample of labelled training rows: those with the smallest hash of their id.
+
+    ``features`` reads whole texts on the executors; only its columns come to the driver.
+    """
     wanted = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(label_col).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    cut = F.substring("text", 1, max_words * 8)
-    got = docs.select("doc_id", cut.alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    return sorted(((r["doc_id"], r["text"] or "", int(r["label"])) for r in got.collect()), key=lambda r: (r[0], r[1]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_train_words: int = 1500) -> FactorisationMachine:
-    rows = sample(docs, labels, max_train, max_train_words)
-    return train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], np.float64))
+    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return sorted(common.map_texts(got, lambda: features, schema, keep=("label",)).collect(), key=lambda r: r["doc_id"])
+
+
+def packed(texts: list[bytes], buckets: int) -> list[pa.Array]:
+    """Hashed words, their values and the statistics of each text as bytes."""
+    (index, values), sizes, stats = encode(texts, buckets)
+    ends = np.cumsum(sizes)
+    parts = [(index[e - n : e].astype(np.int32).tobytes(), values[e - n : e].tobytes(), x.tobytes()) for e, n, x in zip(ends, sizes, stats)]
+    return [pa.array(list(c), pa.binary()) for c in zip(*parts)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, buckets: int = 1 << 15) -> FactorisationMachine:
+    rows = sample(docs, labels, max_train, lambda texts: packed(texts, buckets), "w binary, v binary, stats binary")
+    if not rows:
+        return train([], np.zeros(0), buckets)
+    index, values = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("w", np.int32), ("v", np.float32)))
+    sizes = np.array([len(r["w"]) // 4 for r in rows])
+    stats = np.stack([np.frombuffer(r["stats"], np.float32) for r in rows])
+    return train_encoded((index.astype(np.int64), values), sizes, stats, np.array([r["label"] for r in rows], np.float64), buckets)
 
 
 def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -158,9 +158,18 @@ def content_lines(text: bytes) -> list[bytes]:
     return [x for x in text.split(b"\n") if x.split()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 1500, max_train_words: int = 1500) -> LineField:
-    rows = sample(docs, labels, max_train, max_train_words)
-    return train_field([line_features(content_lines(t.encode()))[0] for _, t, _ in rows], [1 - y for *_, y in rows])
+def packed(texts: list[bytes]) -> list[pa.Array]:
+    """The binary features of each text's lines as bits."""
+    return [pa.array([np.packbits(line_features(content_lines(t))[0].astype(bool), axis=1).tobytes() for t in texts], pa.binary())]
+
+
+def unpacked(lines: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(lines, np.uint8).reshape(-1, (LINE_FEATURES + 7) // 8), axis=1, count=LINE_FEATURES).astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 1500) -> LineField:
+    rows = sample(docs, labels, max_train, packed, "lines binary")
+    return train_field([unpacked(r["lines"]) for r in rows], [1 - int(r["label"]) for r in rows])
 
 
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_content_words bigint, kept boolean"

@@ -158,6 +158,24 @@ def test_quality_learns_and_scores_all_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_training_reads_whole_texts(spark):
+    rng = random.Random(6)
+    start = "the same beginning " * 700  # over 13,000 characters
+    rows = [(k, start + ("plain words " if k % 2 else "### !!! ") * rng.randint(300, 400), k % 2) for k in range(80)]
+    rows.append((81, None, 1))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    own = sorted(r["doc_id"] for r in labels.where(~quality.held_out()).collect())
+    by = {i: ((t or "").encode(), y) for i, t, y in rows}
+    model, want = quality.fit(docs, labels), quality.train([by[i][0] for i in own], np.array([by[i][1] for i in own], float))
+    assert np.array_equal(model.edges, want.edges) and np.array_equal(model.linear, want.linear) and np.array_equal(model.factors, want.factors)
+    out = {r["doc_id"]: r["score"] for r in quality.score(docs.where("text is not null"), model).collect()}
+    assert all((out[i] >= 0.7) == (y == 1) for i, t, y in rows if t)
+    lines = [t for t, _ in by.values()] + [b"one\n\n  \ntwo!!! ### | | |\none\n"]
+    for t, bits in zip(lines, quality_rules.packed(lines)[0].to_pylist()):
+        assert np.array_equal(quality_rules.unpacked(bits), line_features(quality_rules.content_lines(t))[0])
+
+
 # --- quality rules ------------------------------------------------------------
 
 
