@@ -32,10 +32,17 @@ def top_k(index: DataFrame, query: list[float], k: int = 10, key: str = "smarts"
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", col: str = "embedding", block: int = 512, exclude_self: bool = True) -> DataFrame:
-    """The best ``k`` rows of the index for every query, by blocked matrix products.
+    """The best ``k`` rows of the index for every query."""
+    out = against(index, queries, k, key, col, block, exclude_self)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str = "vec_id", col: str = "embedding", block: int = 512, exclude_self: bool = True) -> DataFrame:
+    """The similarity of every query and every row of the index, by blocked matrix products; with ``k`` at least the best ``k``.
 
     Queries are gathered in blocks of ``block``; a block meets the index in one pass whose
-    tasks each send ``k`` rows a query.
+    tasks each send ``k`` rows a query, or all.
     """
     ids, vectors = [], []
     for r in queries.select(key, col).toLocalIterator():
@@ -60,15 +67,17 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
                 near = pdf[key].to_numpy()
                 if exclude_self:
                     s[np.asarray(names)[:, None] == near[None, :]] = -np.inf
-                most = min(k, s.shape[1])
-                bar = -np.partition(-s, most - 1, axis=1)[:, most - 1]
-                a, b = np.nonzero((s >= bar[:, None]) & np.isfinite(s))  # ties at the bar all go on
+                wanted = np.isfinite(s)
+                if k is not None:
+                    most = min(k, s.shape[1])
+                    bar = -np.partition(-s, most - 1, axis=1)[:, most - 1]
+                    wanted &= s >= bar[:, None]  # ties at the bar all go on
+                a, b = np.nonzero(wanted)
                 yield pd.DataFrame({"query": np.asarray(names)[a], "neighbour": near[b], "similarity": s[a, b]})
 
         part = index.select(key, col).mapInPandas(run, f"query {kind}, neighbour {kind}, similarity double")
         out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out
 
 
 def pairs(sample: DataFrame, key: str, left: Column | None = None) -> DataFrame:
@@ -92,6 +101,13 @@ def pairwise_tanimoto(sample: DataFrame, key: str, tokens: str = "tokens") -> Da
     )
 
 
+def tanimoto_against(index: DataFrame, queries: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """The defined similarities of a stated small set and every other row."""
+    a = F.broadcast(queries.select(F.col(key).alias("a"), F.col(tokens).alias("ta")))
+    b = index.select(F.col(key).alias("b"), F.col(tokens).alias("tb"))
+    return b.join(a, F.col("a") != F.col("b")).select("a", "b", tanimoto(F.col("ta"), F.col("tb")).alias("similarity")).where("similarity is not null")
+
+
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson's r, slope and intercept."""
     return df.agg(F.corr(x, y).alias("pearson"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n"))

@@ -49,3 +49,22 @@ def test_queries_equal_their_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     assert sorted(got.columns) == columns
     assert sorted(str(tuple(r)) for r in got.select(*columns).collect()) == rows
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
+@pytest.mark.parametrize("name", ["cosine_against_all", "tanimoto_against_all", "pearson_fit_1000", "spearman_1000", "encode_longest", "attention_mask_longest"])
+def test_whole_table_queries_equal_their_sql(spark, name):
+    test_queries_equal_their_sql(spark, name)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
+def test_whole_tables_enter(spark):
+    import __spark_entry__ as entry
+
+    q = entry.queries()
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert q["cosine_against_all"](spark, SF).select("b").distinct().count() == vectors
+    assert q["tanimoto_against_all"](spark, SF).select("b").distinct().count() == q["tokenize"](spark, SF).where("ok").count()
+    rows = [r["input_ids"].split() for r in q["encode_longest"](spark, SF).where("ok").collect()]
+    assert len({len(r) for r in rows}) == 1 and all("3" in r for r in rows)  # none loses its end
+    assert max(len(r) for r in rows) == q["seq_length_stats"](spark, SF).first()["max_length"]
