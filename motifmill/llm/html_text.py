@@ -52,8 +52,11 @@ IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
 _SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "template", "html"})
 _CLOSES_P = (PARAGRAPHS | frozenset("div section article header footer main nav aside form address hr center details li dt dd".split())) - {"table"}
 
-_MARKUP = re.compile(r"<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|(?P<bang>[!?][^>]*(?:>|\Z))|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<end>>)?)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# A quote opens a quoted value only directly after "=" (and white space); elsewhere it is an ordinary character.
+_NAME, _EQUALS, _UNQUOTED = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+", r"[ \t\n\r\f]*+=[ \t\n\r\f]*+", r"[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+"
+_ATTRS = rf"(?:[ \t\n\r\f/]++|{_NAME}(?:{_EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{_UNQUOTED}|(?=>))|(?![ \t\n\r\f]*+=)))*+"
+_MARKUP = re.compile(r"<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|(?P<bang>[!?][^>]*(?:>|\Z))|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRS + r")(?P<end>>)?)", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:{_EQUALS}(?:\"([^\"]*+)\"|'([^']*+)'|({_UNQUOTED})|\Z))?")
 _STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 

@@ -262,6 +262,24 @@ def test_html_rendering():
         assert html_text.html_text(page) == want, page
 
 
+def test_html_stray_quotes_are_ordinary_characters():
+    for page, want in {
+        "a<img alt=Bob's>b": "ab",
+        "<p class=it's>one<p>don't<p>two": "one\n\ndon't\n\ntwo",
+        "<p it's \"x>one</p><p a\"hidden>two</p>it's": "one\n\ntwo\n\nit's",
+        "<p title='a>b' \"class=\"x>y\" z>one</p>two": "one\n\ntwo",
+        "a<p title = \"x>'y\">b": "a\n\nb",
+        "a<i title=>b</i><i hidden=>no</i><i =\"x>c</i>": "abc",
+        "a<i x=/b/>c<i title=\"d\"e='>'>f": "acf",
+        "a<i title=\"never ends>b": "a",
+        "a<i title = 'never ends>b": "a",
+        "a<i title=": "a",
+    }.items():
+        assert html_text.html_text(page) == want, page
+    for page in ("<a b= '" * 20_000, "<a " + "b" * 200_000, "<a " + "b= " * 100_000, "<a" + " " * 200_000, "<a b" + " " * 200_000 + "'" * 200_000):
+        html_text.html_text(page)
+
+
 def test_html_survives_hostile_pages(spark):
     for page in ("<div>" * 50_000 + "x", "<table><tr><td>" * 2000 + "x", "<a b='" * 20_000, "</p>" * 2000, "<li>" * 5000, "<!--" * 5000, "<" * 5000):
         html_text.html_text(page)
