@@ -28,8 +28,11 @@ from motifmill.llm import common
 MAX_DEPTH = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist".split())
+# Elements of svg and math that are not shown where they stand.
+HIDDEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+NO_VALUE = frozenset("hidden checkbox radio file image color range password".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp blockquote figure fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body div section article header footer main nav aside form address hgroup details summary li dt dd figcaption legend hr center dir menu tr td th thead tbody tfoot caption".split()
 )
@@ -75,6 +78,16 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _ends_itself(text: str) -> bool:
+    """Whether attributes end with a slash of their own, not one of an unquoted value."""
+    if not text.endswith("/"):
+        return False
+    end = 0
+    for m in _ATTR.finditer(text):
+        end = m.end()
+    return end < len(text)
+
+
 def _is_hidden(tag: str, attrs: dict[str, str]) -> bool:
     return (
         tag in HIDDEN
@@ -156,15 +169,18 @@ def parse(page: str) -> Node:
             row = Node("tr")
             stack[-1].children.append(row)
             push(row)
-        node = Node(tag, attrs, _is_hidden(tag, attrs))
+        foreign = (opened["svg"] or opened["math"]) and not opened["foreignobject"]
+        node = Node(tag, attrs, _is_hidden(tag, attrs) or bool(foreign and tag in HIDDEN_FOREIGN))
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or ((foreign or tag in ("svg", "math")) and _ends_itself(m["attrs"])):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             inner = page[at : stop.start() if stop else size]
             if tag == "textarea":
                 node.children.append(html.unescape(inner))
+            elif tag == "xmp":
+                node.children.append(inner)
             at = stop.end() if stop else size
             continue
         push(node)
@@ -291,13 +307,15 @@ def render(root: Node) -> str:
                 w.end_line()
                 lists.pop()
                 w.blank = not lists
-            elif tag == "pre":
+            elif tag in ("pre", "xmp"):
                 pre -= 1
                 w.paragraph()
             elif tag in PARAGRAPHS:
                 w.paragraph()
             elif tag in BLOCKS:
                 w.end_line()
+            elif tag == "text":
+                w.inline(" ")
             continue
         if node.hidden:
             continue
@@ -310,7 +328,7 @@ def render(root: Node) -> str:
             w.blank = True
             continue
         if tag == "input":
-            if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+            if node.attrs.get("type", "text").lower() not in NO_VALUE:
                 w.inline(f" {node.attrs.get('value', '')} ")
             continue
         if tag in ("td", "th") and tables:
@@ -339,7 +357,7 @@ def render(root: Node) -> str:
         elif tag in ("dd", "blockquote"):
             w.paragraph() if tag == "blockquote" else w.end_line()
             w.prefix.append("  ")
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             w.paragraph()
             pre += 1
         elif tag in PARAGRAPHS:
@@ -348,6 +366,8 @@ def render(root: Node) -> str:
             w.end_line()
         elif tag == "option":
             w.end_line()
+        elif tag == "text":  # of svg, placed on its own
+            w.inline(" ")
         todo.append((node, True))
         children = node.children
         if tag == "details" and "open" not in node.attrs:

@@ -280,6 +280,17 @@ def test_html_stray_quotes_are_ordinary_characters():
         html_text.html_text(page)
 
 
+def test_html_shows_svg_math_xmp_and_inputs():
+    for page, want in {
+        "a<svg><title>no</title><desc>no</desc><defs/><path d=M0/ /><style/><text>b</text><text>c</text></svg>d": "a b c d",
+        "<svg/>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b<desc>c</desc>": "a x=2 bc",
+        "a<xmp> <b>x</b>\n  &amp;</xmp>b": "a\n\n <b>x</b>\n  &amp;\n\nb",
+        "".join(f"<input type={t} value={t}>" for t in ("search", "email", "url", "number", "tel", "date", "odd", "Submit")): "search email url number tel date odd Submit",
+        "".join(f"<input type={t} value={t}>" for t in ("hidden", "checkbox", "radio", "password", "file", "range")) + "a": "a",
+    }.items():
+        assert html_text.html_text(page) == want, page
+
+
 def test_html_survives_hostile_pages(spark):
     for page in ("<div>" * 50_000 + "x", "<table><tr><td>" * 2000 + "x", "<a b='" * 20_000, "</p>" * 2000, "<li>" * 5000, "<!--" * 5000, "<" * 5000):
         html_text.html_text(page)
