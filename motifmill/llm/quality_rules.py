@@ -132,20 +132,33 @@ def gradient(field: LineField, x: np.ndarray, y: np.ndarray, mask: np.ndarray):
     return fit, g_e / max(1, s), g_t / max(1, s)
 
 
-def train_field(sequences: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.15, l2: float = 1e-3, longest: int = 48) -> LineField:
-    """Adam on the regularised likelihood; a training sequence is cut at ``longest`` lines."""
+def _by_length(pairs: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, labels and masks of sequences, together where their lengths round up to one power of two."""
+    alike: dict[int, list] = {}
+    for pair in pairs:
+        alike.setdefault((len(pair[0]) - 1).bit_length(), []).append(pair)
+    out = []
+    for _, own in sorted(alike.items()):
+        n = max(len(rows) for rows, _ in own)
+        x, y, mask = np.zeros((len(own), n, LINE_FEATURES)), np.zeros((len(own), n), np.int64), np.zeros((len(own), n))
+        for k, (rows, label) in enumerate(own):
+            x[k, : len(rows)], mask[k, : len(rows)], y[k, : len(rows)] = rows, 1, label
+        out.append((x, y, mask))
+    return out
+
+
+def train_field(sequences: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> LineField:
+    """Adam on the regularised likelihood of whole sequences, padded among those of like length only."""
     field = LineField(np.zeros((LINE_FEATURES, 2)), np.zeros((2, 2)))
-    pairs = [(x[:longest], y) for x, y in zip(sequences, labels) if len(x)]
+    pairs = [(x, y) for x, y in zip(sequences, labels) if len(x)]
     if len({y for _, y in pairs}) < 2:
         field.emission[0, 0] = 1.0
         return field
-    x, mask = np.zeros((len(pairs), longest, LINE_FEATURES)), np.zeros((len(pairs), longest))
-    y = np.zeros((len(pairs), longest), np.int64)
-    for k, (rows, label) in enumerate(pairs):
-        x[k, : len(rows)], mask[k, : len(rows)], y[k, : len(rows)] = rows, 1, label
+    groups = _by_length(pairs)
     moments = [np.zeros_like(p) for p in (field.emission, field.transition) for _ in range(2)]
     for step in range(1, steps + 1):
-        _, g_e, g_t = gradient(field, x, y, mask)
+        parts = [(len(x), *gradient(field, x, y, mask)[1:]) for x, y, mask in groups]
+        g_e, g_t = (sum(p[0] * p[k] for p in parts) / len(pairs) for k in (1, 2))
         for k, (p, g) in enumerate(((field.emission, g_e), (field.transition, g_t))):
             g = g - l2 * p
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * g

@@ -225,6 +225,25 @@ def test_viterbi_and_gradient_equal_enumeration():
             assert abs((likelihood(moved) - likelihood(field)) / 1e-5 - g[at]) < 1e-3
 
 
+def test_field_learns_from_whole_sequences():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2, size=(12, 70, LINE_FEATURES)).astype(np.float32)
+    x[:, :, 7] = 0
+    x[::2, 60:, 7] = 1  # the only trace of bad texts lies past the 48th line
+    y = [1 - k % 2 for k in range(12)]
+    field = quality_rules.train_field(list(x), y)
+    assert field.emission[7, 1] - field.emission[7, 0] > 1
+    # Sequences of unlike lengths: the gradient is that of one padded batch.
+    pairs = [(rows[:n], label) for rows, label, n in zip(x, y, (1, 2, 3, 5, 9, 17, 33, 48, 49, 64, 65, 70))]
+    full, labels, mask = np.zeros((12, 70, LINE_FEATURES)), np.zeros((12, 70), np.int64), np.zeros((12, 70))
+    for k, (rows, label) in enumerate(pairs):
+        full[k, : len(rows)], labels[k, : len(rows)], mask[k, : len(rows)] = rows, label, 1
+    want, groups = quality_rules.gradient(field, full, labels, mask), quality_rules._by_length(pairs)
+    assert len(groups) > 3 and sum(len(g[0]) for g in groups) == 12 and sum(g[2].sum() for g in groups) == mask.sum()
+    for k in (1, 2):
+        assert np.allclose(sum(len(g[0]) * quality_rules.gradient(field, *g)[k] for g in groups) / 12, want[k], atol=1e-9)
+
+
 def test_rules_keep_clean_and_drop_boilerplate(spark):
     rows = _quality_rows(200)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
