@@ -4,26 +4,34 @@ A text's set holds its distinct ``shingle``-word shingles (A-Z lower-cased).  Un
 permutation both the least and the greatest value are kept, so ``permutations`` hash
 evaluations give twice as many signature values, each equal in two texts with the
 probability of their Jaccard similarity.  The values are banded; texts that share a band
-are candidates, and every link is confirmed on the full sets.  Groups are the connected
-components of the links.
+are candidates, and every link is confirmed on the full sets (64-bit hashes of all shingles).
+Groups are the connected components of the links.
 
 With 144 permutations and 48 bands of 6 values, a pair at a similarity of 0.8 shares no
 band with a probability of 5e-7, and the band of a pair at 0.3 is shared by 3 in 100.
 
 How it scales.  Texts with equal sets are one class (found by a 128-bit hash of the set),
 so groups of exact copies cost one row each.  A crowded bucket never gives all its pairs:
-first each class is compared with one class only, the least of the bucket it shares most
-bands with; the components of these links follow.  Then only buckets that still hold
-several components are looked at, and there the members outside the largest component
-against all, in blocks of bounded size (``block``), a pair in the first band it shares
-only.  Thus a group of n near copies costs about n comparisons, and no link between
-components is lost.  The price: a bucket of many classes that are *not* near copies is
-compared in full, block by block.
+in round one each class is compared with one class only, of the leaders of its buckets the
+one it shares most bands with; the components of these links follow.  Round two looks only at buckets that
+still hold several components.  There the classes outside the bucket's largest component
+ask: they are compared with that component and with each other.  All askers of a component
+meet its members in one place, whatever bands they share, so that a text is sent there
+once for each ``block[0]`` askers and not once for each band; where that would cost more than
+going bucket by bucket (few askers, spread over many buckets), buckets are compared alone.
+A block has about ``block`` rows and ``BLOCK_SHINGLES`` shingles of each side; its members are
+held in memory, its askers pass one by one.
+Within a block the sizes of all intersections are counted exactly, over an index of the
+members' shingles; there is no filter by estimated similarity.  No link between components
+is lost but to the bands, and a group of n near copies sends about n texts.  The price:
+texts that share bands but are not linked are compared with all of the component, which
+takes time (not texts sent) in proportion to their number times its size.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; a
-text of fewer words than a shingle has its whole sequence as the one shingle; a component
-takes the least id of its rows, null if none has an id; rows of equal id and text are the
-same document; an empty table gives an empty result; extra columns are ignored.
+text of fewer words than a shingle has its whole sequence as the one shingle; very long
+texts enter whole, in blocks with fewer others; ties between leaders go to the least class;
+a component takes the least id of its rows, null if none has an id; rows of equal id and
+text are the same document; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +40,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifmill.llm import common
 from motifmill.llm.components import components
 
 PERMUTATIONS, BAND_VALUES, SHINGLE, PERCENT = 144, 6, 2, 80
-BLOCK = (256, 128)
+#: Most askers and members in a block, and about the most shingles of either.
+BLOCK, BLOCK_SHINGLES = (4096, 4096), 1 << 20
+#: Most askers of one class in round one, where a block has one member.
+ASKERS = 256
+#: Comparisons that cost as much as sending a text.
+PAIRS_A_TEXT = 1000
 
 
 # --- sets and signatures ----------------------------------------------------
@@ -49,18 +62,6 @@ def set_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
 
 
-def full_set(text: bytes, shingle: int = SHINGLE) -> set:
-    words = set_words(text)
-    if len(words) < shingle:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(shingle))))
-
-
-def similar(a: set, b: set, percent: int = PERCENT) -> bool:
-    both = len(a & b)
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
-
-
 class MinMax:
     """Hashes of a text's shingles and their min-max signature (16 bits of each value)."""
 
@@ -105,50 +106,111 @@ def band_keys(signatures: np.ndarray, values: int = BAND_VALUES) -> np.ndarray:
 # --- blocks -----------------------------------------------------------------
 
 
-def block_links(rows: list[tuple], band: int, values: int, percent: int, shingle: int) -> list[tuple[int, int]]:
-    """Links between components among the rows of one block.
-
-    A row is (is a query, node, component, set size, signature, text).
-    """
-    queries = [r for r in rows if r[0]]
-    against = [r for r in rows if not r[0]]
-    if not queries or not against:
-        return []
-    query_nodes = {r[1] for r in queries}
-    qs, ms = (np.stack([np.frombuffer(r[4], np.uint16) for r in part]) for part in (queries, against))
-    qn, mn = (np.array([r[3] for r in part]) for part in (queries, against))
-    found = []
-    sets: dict[int, set] = {}
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := parent.get(x, x)) != x:
+def intersections(asked: np.ndarray, shingles: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the intersections of one set with n sets, whose sorted shingles have ``owners``."""
+    out = np.zeros(n, np.int64)
+    step = max(1, (1 << 21) // max(1, n))  # shingles whose owners are listed at a time
+    for k in range(0, len(asked), step):
+        first = np.searchsorted(shingles, asked[k : k + step], "left")
+        sizes = np.searchsorted(shingles, asked[k : k + step], "right") - first
+        ends = np.cumsum(sizes)
+        if len(ends) and ends[-1]:
+            out += np.bincount(owners[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)], minlength=n)
+    return out
+
+
+class Block:
+    """The members (component, set) of one block, indexed by shingle; askers come one by one."""
+
+    def __init__(self, members: list[tuple], percent: int):
+        self.percent, self.parent = percent, {}
+        self.sizes = np.array([len(s) for _, s in members])
+        self.groups = np.array([c for c, _ in members])
+        shingles = np.concatenate([s for _, s in members])
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owners = shingles[order], np.repeat(np.arange(len(members)), self.sizes)[order]
+
+    def root(self, x: int) -> int:
+        while (y := self.parent.get(x, x)) != x:
             x = y
         return x
 
-    todo = []
-    for q, row in enumerate(queries):
-        equal = ms == qs[q]
-        fits = (100 * np.minimum(mn, qn[q]) >= percent * np.maximum(mn, qn[q])) & (equal.mean(axis=1) >= percent / 100 - 0.14)
-        at = np.flatnonzero(fits)
-        shared = equal[at].reshape(len(at), equal.shape[1] // values, values).all(axis=2)
-        for k, m in enumerate(at):
-            other = against[m]
-            if other[2] == row[2] or shared[k].argmax() != band or not shared[k, band]:
-                continue
-            if other[1] in query_nodes and other[1] < row[1]:
-                continue
-            todo.append((float(equal[m].mean()), row, other))
-    for _, a, b in sorted(todo, key=lambda x: -x[0]):
-        if root(a[2]) == root(b[2]):
-            continue
-        for r in (a, b):
-            if r[1] not in sets:
-                sets[r[1]] = full_set(r[5], shingle)
-        if similar(sets[a[1]], sets[b[1]], percent):
-            found.append((a[2], b[2]))
-            parent[root(a[2])] = root(b[2])
-    return found
+    def ask(self, own: int, asked: np.ndarray) -> list[tuple[int, int]]:
+        """Links of the asker's component to others of the block that are not yet linked in it."""
+        found = []
+        both = intersections(asked, self.shingles, self.owners, len(self.sizes))
+        linked = (both > 0) & (100 * both >= self.percent * (self.sizes + len(asked) - both))
+        for other in np.unique(self.groups[linked]).tolist():
+            if (x := self.root(own)) != (y := self.root(other)):
+                self.parent[x] = y
+                found.append((own, other))
+        return found
+
+
+def compare_blocks(blocks: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links (a, b) of components within blocks; a block is (space, p, q), a row asks or is a member."""
+    rows = blocks.join(texts.select("node", "t"), "node").select("space", "p", "q", "asks", "comp", "t")
+    rows = rows.repartition("space", "p", "q").sortWithinPartitions("space", "p", "q", "asks")  # members first
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker, now, members, block = MinMax(1, shingle), None, [], None
+        for batch in batches:
+            out = []
+            for part in common.slices(batch, 5):
+                for space, p, q, asks, comp, text in zip(*(c.to_pylist() for c in part.columns)):
+                    if (space, p, q) != now:
+                        now, members, block = (space, p, q), [], None
+                    if not asks:
+                        members.append((comp, maker.hashes(text)))
+                    elif members:
+                        block = block or Block(members, percent)
+                        out += block.ask(comp, maker.hashes(text))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _parts(rows: Column, shingles: Column, most: int) -> Column:
+    """Parts that a side of so many rows and shingles is cut into."""
+    return F.greatest(F.lit(1), F.ceil(rows / F.lit(most)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("bigint")
+
+
+def ask_blocks(members: DataFrame, sizes: DataFrame, scratch: common.Scratch, block: tuple[int, int]) -> DataFrame:
+    """Blocks (space, p, q, asks, node, comp) in which all members of a bucket meet that are of different components.
+
+    ``members`` has (key, node, comp), ``sizes`` the set size n of each node.
+    """
+    most_q, most_m = block
+    inside = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("x"))
+    mixed = inside.groupBy("key").agg(F.sum("x").alias("m"), F.max(F.struct("x", (-F.col("comp")).alias("c"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("key", (-F.col("main.c")).alias("main"), "m", (F.col("m") - F.col("main.x")).alias("a"))
+    mixed = scratch.write(mixed, "mixed")
+    spread = members.join(mixed.select("key", "main"), "key").select("key", "main", "node", "comp")
+    spread = scratch.write(spread, "spread")
+
+    # A component's askers meet it in one space, unless its buckets are cheaper one by one.
+    cost = lambda a, m: m * F.ceil(a / most_q) + a * F.ceil(m / most_m) + a * m / PAIRS_A_TEXT
+    apart = mixed.groupBy("main").agg(F.sum(cost(F.col("a"), F.col("m"))).alias("apart"))
+    nodes = spread.groupBy("main", "node").agg(F.first("comp").alias("comp"))
+    together = nodes.groupBy("main").agg(F.count_if(F.col("comp") != F.col("main")).alias("a"), F.count(F.lit(1)).alias("m"))
+    chosen = together.join(apart, "main").select("main", (cost(F.col("a"), F.col("m")) <= F.col("apart")).alias("whole"))
+    chosen = scratch.write(chosen, "chosen")
+    whole = nodes.join(chosen.where("whole").select("main"), "main").select(F.col("main").alias("space"), F.lit(True).alias("whole"), "node", "comp", (F.col("comp") != F.col("main")).alias("outside"))
+    single = spread.join(chosen.where("not whole").select("main"), "main").select(F.col("key").alias("space"), F.lit(False).alias("whole"), "node", "comp", (F.col("comp") != F.col("main")).alias("outside"))
+    placed = scratch.write(whole.unionByName(single).join(sizes, "node"), "placed")
+
+    outside = F.col("outside")
+    counts = placed.groupBy("space", "whole").agg(F.count_if(outside).alias("a"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("an"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("mn"))
+    counts = counts.select("space", "whole", _parts(F.col("a"), F.col("an"), most_q).alias("qs"), _parts(F.col("m"), F.col("mn"), most_m).alias("ms"))
+    dealt = placed.join(scratch.write(counts, "counts"), ["space", "whole"])
+    space = F.xxhash64("space", "whole").alias("space")  # components and buckets apart
+    part = lambda seed, c: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    asked = dealt.where(outside).select(space, part(1, "qs").alias("p"), upto("ms").alias("q"), F.lit(True).alias("asks"), "node", "comp")
+    all_ = dealt.select(space, upto("qs").alias("p"), part(2, "ms").alias("q"), F.lit(False).alias("asks"), "node", "comp")
+    blocks = scratch.write(asked.unionByName(all_), "blocks")
+    scratch.drop("mixed", "spread", "chosen", "placed", "counts")
+    return blocks
 
 
 # --- the operator -----------------------------------------------------------
@@ -176,95 +238,58 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                s1, s2, sizes, signatures = [], [], [], []
+                s1, s2, sizes, keys = [], [], [], []
                 for text in part.column(3).to_pylist():
                     h = maker.hashes(text)
                     d = xxhash.xxh3_128_intdigest(h.tobytes())
                     s1.append((d >> 64) - (1 << 63))
                     s2.append((d & (1 << 64) - 1) - (1 << 63))
                     sizes.append(len(h))
-                    signatures.append(maker.signature(h).tobytes() if len(h) else None)
-                new = [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in range(3)] + new, ["i", "k1", "k2", "s1", "s2", "n", "sig"])
+                    keys.append(band_keys(maker.signature(h)[None], band_values)[0] if len(h) else None)
+                new = [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in range(3)] + new, ["i", "k1", "k2", "s1", "s2", "n", "bands"])
 
-    rows = scratch.write(base.mapInArrow(sketch, f"i {id_type}, k1 bigint, k2 bigint, s1 bigint, s2 bigint, n bigint, sig binary"), "rows")
+    rows = scratch.write(base.mapInArrow(sketch, f"i {id_type}, k1 bigint, k2 bigint, s1 bigint, s2 bigint, n bigint, bands array<bigint>"), "rows")
 
     # Classes of equal sets; one row's text stands for each.
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("i").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.min(F.struct(F.col("i").isNull().alias("no_id"), "i", "k1", "k2")).alias("lead"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = classes.select("s1", "s2", "least", "lead", "k.k1", "k.k2", "n", "sig").withColumn("node", F.monotonically_increasing_id())
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("i").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.min(F.struct(F.col("i").isNull().alias("no_id"), "i", "k1", "k2")).alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.select("s1", "s2", "least", "lead", "k.k1", "k.k2", "n", "bands").withColumn("node", F.monotonically_increasing_id())
     classes = scratch.write(classes, "classes")
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signatures = np.stack([np.frombuffer(s, np.uint16) for s in batch.column(1).to_pylist()])
-            keys = band_keys(signatures, band_values)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], ["key", "node"])
-
-    bands = scratch.write(classes.select("node", "sig").mapInArrow(banded, "key bigint, node bigint"), "bands")
-    crowded = bands.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("m")).where("c < m").select("key", "c")
-    members = scratch.write(bands.join(scratch.write(crowded, "crowded"), "key").select("key", "node", "c"), "members")
-    scratch.drop("bands", "crowded")
-
-    # Texts and signatures of the classes that share a band with another.
-    wanted = classes.join(members.select("node").distinct(), "node").select("k1", "k2", "node", "n", "sig")
-    texts = base.select("k1", "k2", "t").join(scratch.write(wanted, "wanted"), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "n", "sig", "t")
-    texts = scratch.write(texts, "texts")
+    rows = scratch.write(rows.select("k1", "k2", "i", "s1", "s2", "n"), "marked")
+    scratch.drop("rows")
+
+    bands = classes.select("node", F.explode("bands").alias("key"))
+    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("x")).where("x > 1")
+    members = scratch.write(bands.join(scratch.write(crowded, "crowded"), "key").select("key", "node", "x"), "members")
+    scratch.drop("crowded")
+
+    # Texts of the classes that share a band with another.
+    wanted = classes.select("k1", "k2", "node", "n").join(members.select("node").distinct(), "node")
+    once = base.groupBy("k1", "k2").agg(F.first("t").alias("t"))
+    texts = scratch.write(once.join(scratch.write(wanted, "wanted"), ["k1", "k2"]).select("node", "n", "t"), "texts")
     scratch.drop("wanted")
 
-    # Round one: one comparison for each class.
-    votes = members.where("node <> c").groupBy("node", "c").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = votes.groupBy("node").agg(F.max(F.struct("shared", (-F.col("c")).alias("c"))).alias("x")).select(F.col("node").alias("a"), (-F.col("x.c")).alias("b"))
-    pairs = scratch.write(pairs, "pairs")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, ta, tb = (batch.column(k) for k in range(4))
-            good = [similar(full_set(x, shingle), full_set(y, shingle), percent) for x, y in zip(ta.to_pylist(), tb.to_pylist())]
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
-
-    side = lambda name, text: texts.select(F.col("node").alias(name), F.col("t").alias(text))
-    links = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(confirm, "a bigint, b bigint")
-    one = scratch.write(components(scratch.write(links, "links1"), scratch, "one"), "roots1")
-
-    # Round two: buckets that hold several components, in blocks.
+    # Round one: each class and the leader it shares most bands with.  A bucket is led by the
+    # member that meets most others in all its buckets: of near copies, one of the least changed.
+    met = members.groupBy("node").agg(F.sum("x").alias("met"))
+    leaders = members.join(scratch.write(met, "met"), "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("c"))).alias("x"))
+    leaders = scratch.write(leaders.select("key", (-F.col("x.c")).alias("c")), "leaders")
+    votes = members.join(leaders, "key").where("node <> c").groupBy("node", "c").agg(F.count(F.lit(1)).alias("shared"))
+    asked = votes.groupBy("node").agg(F.max(F.struct("shared", (-F.col("c")).alias("c"))).alias("x")).select("node", (-F.col("x.c")).alias("space"))
+    asked = scratch.write(asked.join(texts.select("node", "n"), "node"), "asked")
+    parts = asked.groupBy("space").agg(_parts(F.count(F.lit(1)), F.sum("n"), min(ASKERS, block[0])).alias("qs"))
+    parts = scratch.write(parts, "parts")
+    asks = asked.join(parts, "space").select("space", F.pmod(F.xxhash64("node"), F.col("qs")).alias("p"), F.lit(0).cast("bigint").alias("q"), F.lit(True).alias("asks"), "node", F.col("node").alias("comp"))
+    meets = parts.select("space", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qs") - 1)).alias("p"), F.lit(0).cast("bigint").alias("q"), F.lit(False).alias("asks"), F.col("space").alias("node"), F.col("space").alias("comp"))
+    links = scratch.write(compare_blocks(asks.unionByName(meets), texts, percent, shingle), "links1")
+    one = scratch.write(components(links, scratch, "one"), "roots1")
+    scratch.drop("met", "leaders", "asked", "parts", "links1")
+
+    # Round two: buckets that hold several components.
     placed = members.select("key", "node").join(one, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    placed = scratch.write(placed, "placed")
-    most_q, most_m = block
-    mixed = (
-        placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("x"))
-        .groupBy("key").agg(F.sum("x").alias("m"), F.max(F.struct("x", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
-        .select("key", F.col("main.comp").alias("main"), F.ceil((F.col("m") - F.col("main.x")) / most_q).alias("qs"), F.ceil(F.col("m") / most_m).alias("ms"))
-    )
-    spread = placed.join(scratch.write(mixed, "mixed"), "key")
-    q_part, m_part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("qs")), F.pmod(F.xxhash64("node", F.lit(2)), F.col("ms"))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    asked = spread.where("comp <> main").select("key", q_part.alias("p"), upto("ms").alias("q"), F.lit(True).alias("asks"), "node", "comp")
-    all_ = spread.select("key", upto("qs").alias("p"), m_part.alias("q"), F.lit(False).alias("asks"), "node", "comp")
-    blocks = scratch.write(asked.unionByName(all_), "blocks")
-    full = blocks.join(texts, "node").select("key", "p", "q", "asks", "node", "comp", "n", "sig", "t")
-    full = full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> list[tuple[int, int]]:
-            return block_links(held, now[0] & 63, band_values, percent, shingle) if held else []
-
-        for batch in batches:
-            out = []
-            for key, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, p, q) != now:
-                    out += done()
-                    now, held = (key, p, q), []
-                held.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-        out = done()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    links = scratch.write(full.mapInArrow(compare, "a bigint, b bigint"), "links2")
-    scratch.drop("members", "texts", "pairs", "placed", "mixed", "blocks")
+    blocks = ask_blocks(scratch.write(placed, "members2"), texts.select("node", "n"), scratch, block)
+    links = scratch.write(compare_blocks(blocks, texts, percent, shingle), "links2")
+    scratch.drop("members", "members2", "texts", "blocks")
     two = scratch.write(components(links, scratch, "two").select(F.col("node").alias("root"), F.col("root").alias("top")), "roots2")
 
     # Component of each class, then of each row.
@@ -273,8 +298,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     placed = scratch.write(placed, "tops")
     named = placed.groupBy("top").agg(F.min("least").alias("component_id"), F.min("lead").alias("head"))
     named = scratch.write(placed.join(scratch.write(named, "named"), "top").select("s1", "s2", "component_id", F.col("head.k1").alias("l1"), F.col("head.k2").alias("l2")), "components")
-    scratch.drop("classes", "tops", "named", "links1", "links2")
-    out = rows.select("k1", "k2", "i", "s1", "s2", "n").join(named, ["s1", "s2"], "left")
+    scratch.drop("classes", "tops", "named", "links2", "roots1", "roots2")
+    out = rows.join(named, ["s1", "s2"], "left")
     leads = F.coalesce((F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), F.lit(True))
     out = out.select("k1", "k2", F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"), leads.alias("leads"))
     return out.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))

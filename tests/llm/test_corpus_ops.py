@@ -71,7 +71,7 @@ def _groups(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [(256, 128), (3, 2)])
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, (256, 128), (3, 2)])
 def test_near_duplicates_equal_all_pairs(spark, block):
     rows = _rows()
     out = near_dedup.near_duplicates(_docs(spark, rows), block=block).collect()
@@ -102,6 +102,56 @@ def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
     assert substring_dedup.stage(spark, out, "").count() == 9
 
 
+def test_rows_sent_are_linear_in_a_large_group(spark, monkeypatch):
+    """One text sent to a few blocks at most, also where a fifth of the group has no link in it."""
+    sent = {}
+    write = common.Scratch.write
+
+    def counting(self, df, name):
+        out = write(self, df, name)
+        if name in ("asked", "blocks", "members"):
+            sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", counting)
+    rng = random.Random(5)
+    base = rng.choices(VOCAB, k=150)
+    for n in (200, 800, 3200):
+        rows = []
+        for k in range(n):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 24)):
+                copy[at] = rng.choice(VOCAB)
+            rows.append((k, " ".join(copy)))
+        out = near_dedup.near_duplicates(_docs(spark, rows)).collect()
+        assert sent["asked"] <= n and sent["blocks"] <= 6 * n, sent
+        if n == 200:
+            key = lambda r: tuple(-1 if x is None else x for x in r)
+            assert sorted(key((r["doc_id"], r["n_shingles"], r["component_id"])) for r in out) == sorted(map(key, _groups(rows)))
+            assert len({r["component_id"] for r in out}) > 20
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(5000)}" for _ in range(30_000)]
+    far = base[:20_000] + [f"u{rng.randrange(5000)}" for _ in range(10_000)]
+    near = base[:29_000] + ["tail"] * 1000
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "short")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(_docs(spark, rows)).collect()}
+    assert got == {i: (n, c) for i, n, c in _groups(rows)} and got[2][1] == 1 and got[3][1] == 3
+
+
+def test_intersections_are_exact():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 900, rng.integers(1, 300)).astype(np.uint64)) for _ in range(40)]
+    block = near_dedup.Block(list(enumerate(sets)), 30)
+    for own, a in enumerate(sets):
+        both = near_dedup.intersections(a, block.shingles, block.owners, len(sets))
+        assert both.tolist() == [len(np.intersect1d(a, b)) for b in sets]
+        for x, y in block.ask(own, a):
+            assert x == own != y and 100 * both[y] >= 30 * len(np.union1d(a, sets[y]))
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.near_duplicates(_docs(spark, _rows()).limit(0)).count() == 0
 
