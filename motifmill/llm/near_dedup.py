@@ -238,15 +238,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                s1, s2, sizes, keys = [], [], [], []
+                s1, s2, sizes, signatures = [], [], [], []
                 for text in part.column(3).to_pylist():
                     h = maker.hashes(text)
                     d = xxhash.xxh3_128_intdigest(h.tobytes())
                     s1.append((d >> 64) - (1 << 63))
                     s2.append((d & (1 << 64) - 1) - (1 << 63))
                     sizes.append(len(h))
-                    keys.append(band_keys(maker.signature(h)[None], band_values)[0] if len(h) else None)
-                new = [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                    if len(h):
+                        signatures.append(maker.signature(h))
+                keys = iter(band_keys(np.stack(signatures), band_values)) if signatures else iter(())
+                bands = pa.array([next(keys) if n else None for n in sizes], pa.list_(pa.int64()))
+                new = [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sizes, pa.int64()), bands]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in range(3)] + new, ["i", "k1", "k2", "s1", "s2", "n", "bands"])
 
     rows = scratch.write(base.mapInArrow(sketch, f"i {id_type}, k1 bigint, k2 bigint, s1 bigint, s2 bigint, n bigint, bands array<bigint>"), "rows")
