@@ -8,22 +8,26 @@ opening limit.  All permitted sizes are tried as that limit, every bin is at las
 downsized to the cheapest size that holds its contents, and the plan of least total
 cost stays: the sizes are optimised jointly.
 
-Scale: only (row key, length) are shuffled, never texts.  Pieces are dealt by hash into
-shards of about ``shard_pieces``, each packed alone, so a task's memory is bounded and a
-hot source or key has no effect; the loss is at most the partly filled bins of a shard.
-
-Defined cases: null and empty texts have only the end token; ties are broken by id, row
-digest and piece, so the plan does not depend on partitions; repeated rows are separate
-items of one key; an empty table gives no bins; extra columns are ignored.
+Scale: only (id, length) are shuffled, never texts.  Rows of one id and length are counted
+first and numbered from the count, ``RUN`` numbers to a task, so that a key of any size is
+spread.  Pieces are dealt by a hash of id, length, number and piece into shards of about
+``shard_pieces``, each packed alone, so a task's memory is bounded; the loss is at most the
+partly filled bins of a shard (the README has a figure).
+
+Defined cases: null and empty texts have only the end token; very long texts are cut into
+pieces; ids are kept as they are, null ones too; ties are broken by id (null first), row
+number and piece, so the plan does not depend on partitions; repeated rows are separate
+items of one id; an empty table gives no bins; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +37,8 @@ from motifmill.llm import common
 #: Permitted lengths and their costs: the tokens, and a fixed cost of 32 for each sequence.
 CAPACITIES = {c: float(c + 32) for c in (512, 1024, 2048, 4096, 8192)}
 SHARD_PIECES = 8192
+#: Rows of one id and length that a task numbers.
+RUN = 4096
 
 
 def best_fit(lengths: list[int], capacities: Mapping[int, float], limit: int) -> tuple[list[int], list[int], list[int]]:
@@ -86,44 +92,42 @@ def pack_lengths(items: DataFrame, capacities: Mapping[int, float] = CAPACITIES,
     spark = items.sparkSession
     scratch = common.Scratch(spark, "packing")
     base = items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{length_col}`").cast("bigint").alias("n")).where("n > 0")
-    count = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(top))).cast("bigint")
-    base = scratch.write(base.withColumn("pieces", count), "lengths")
-    total = base.agg(F.sum("pieces")).first()[0] or 0
+    base = base.groupBy("i", "n").agg(F.count(F.lit(1)).alias("rows")).withColumn("pieces", F.ceil(F.col("n") / F.lit(top)).cast("bigint"))
+    base = scratch.write(base, "lengths")
+    total = base.agg(F.sum(F.col("pieces") * F.col("rows"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_pieces))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    often = F.col("rows") > RUN
+    runs = base.where(often).select("i", "n", "pieces", "rows", F.explode(F.sequence(zero, F.floor((F.col("rows") - 1) / RUN))).alias("run")).repartition("i", "n", "run")
+    numbers = base.where(~often).select("i", "n", "pieces", F.explode(F.sequence(zero, F.col("rows") - 1)).alias("number"))
+    many = runs.select("i", "n", "pieces", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + one) * RUN, F.col("rows")) - 1)).alias("number"))
     pieces = (
-        base.select("i", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("p"))
-        .select("i", "p", (F.col("p") * top).alias("s"), F.least(F.lit(top).cast("bigint"), F.col("n") - F.col("p") * top).alias("n"))
-        .withColumn("shard", F.pmod(F.xxhash64("i", "p", "n"), F.lit(shards)).cast("bigint"))
+        numbers.unionByName(many)
+        .select("i", "n", "number", F.explode(F.sequence(zero, F.col("pieces") - 1)).alias("p"))
+        .withColumn("shard", F.pmod(F.xxhash64("i", "n", "number", "p"), F.lit(shards)).cast("bigint"))
+        .select("i", "number", "p", (F.col("p") * top).alias("s"), F.least(F.lit(top).cast("bigint"), F.col("n") - F.col("p") * top).alias("n"), "shard")
     )
     id_type = items.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, id_type)] + T.StructType.fromDDL(OUT).fields)
     costs = dict(capacities)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "i", "p"], ascending=[False, True, True], na_position="first", kind="stable")
-        where, final, used = pack(pdf["n"].tolist(), costs)
+    def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys = [("n", "descending"), ("i", "ascending"), ("number", "ascending"), ("p", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+        n = table.column("n").to_numpy()
+        where, final, used = pack(n.tolist(), costs)
         bins = np.array(where, np.int64)
-        n = pdf["n"].to_numpy()
         order = np.argsort(bins, kind="stable")
         ends = np.cumsum(n[order])
         starts = np.concatenate(([True], np.diff(bins[order]) > 0)) if len(bins) else np.zeros(0, bool)
         offset = np.empty(len(n), np.int64)
         before = ends - n[order]
         offset[order] = before - np.repeat(before[starts], np.diff(np.append(np.flatnonzero(starts), len(n))))
-        return pd.DataFrame(
-            {
-                id_col: pdf["i"].to_numpy() if not pdf["i"].isna().any() else pdf["i"].array,
-                "bin_id": (int(key[0]) << 32) + bins,
-                "bin_capacity": np.array(final, np.int64)[bins],
-                "bin_used": np.array(used, np.int64)[bins],
-                "bin_offset": offset,
-                "piece": pdf["p"].to_numpy(),
-                "piece_start": pdf["s"].to_numpy(),
-                "piece_length": n,
-            }
-        )
-
-    return pieces.groupBy("shard").applyInPandas(one, out)
+        new = [(key[0].as_py() << 32) + bins, np.array(final, np.int64)[bins], np.array(used, np.int64)[bins], offset]
+        return pa.Table.from_arrays([table.column("i"), *map(pa.array, new), table.column("p"), table.column("s"), table.column("n")], out.names)
+
+    return pieces.groupBy("shard").applyInArrow(packed, out)
 
 
 def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

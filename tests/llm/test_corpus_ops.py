@@ -306,6 +306,23 @@ def test_packing_places_every_token_once(spark):
     assert [r["n_tokens"] for r in packing.word_lengths(texts).orderBy("doc_id").collect()] == [1, 1, 4]
 
 
+def test_packing_keeps_large_ids_beside_a_null_id(spark):
+    ids = [9007199254740993, 9007199254740995, None, 9223372036854775807, -9007199254740993]
+    items = spark.createDataFrame([(i, 10 + k) for k, i in enumerate(ids)], "doc_id bigint, n_tokens int")
+    got = packing.pack_lengths(items, {64: 66.0}).collect()
+    assert Counter((r["doc_id"], r["piece_length"]) for r in got) == Counter((i, 10 + k) for k, i in enumerate(ids))
+
+
+def test_packing_spreads_one_id_over_shards(spark):
+    one = spark.range(100_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(300).alias("n_tokens"))
+    none = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(40).alias("n_tokens"))
+    got = packing.pack_lengths(one.unionByName(none), {512: 544.0, 1024: 1056.0}, shard_pieces=4096)
+    shards = got.groupBy(F.shiftright("bin_id", 32).alias("shard")).count().collect()
+    assert sum(r["count"] for r in shards) == 120_000 and len(shards) == 30 and max(r["count"] for r in shards) < 2 * 4096
+    bins = got.groupBy("bin_id").agg(F.sum("piece_length").alias("x"), F.first("bin_used").alias("u"), F.first("bin_capacity").alias("c"), F.count_distinct("bin_offset").alias("o"), F.count(F.lit(1)).alias("n"))
+    assert bins.where("x <> u or u > c or o <> n").count() == 0
+
+
 # --- pipeline -----------------------------------------------------------------
 
 
