@@ -2,25 +2,25 @@
 
 Test questions and answers and documents are normalised alike (A-Z lower-cased,
 ASCII punctuation and control characters turned into word breaks).  Every window
-of ten consecutive item words becomes a pattern of one automaton; each text is
-scanned once and every hit is mapped back to words and to code point offsets of
-the original text.
+of ten consecutive item words becomes a pattern of one automaton over word numbers
+(windows share the states of common beginnings); each text is scanned once and every
+hit is mapped back to words and to code point offsets of the original text.
 
 Scale: a map over the documents without a shuffle.  What is broadcast is the
-benchmark text, whose size is checked first (``max_broadcast_bytes``); it is cut
-into blocks of ``block_bytes`` so that an automaton stays small, and each Arrow
-batch is scanned once per block (one block for ordinary benchmarks).
-
-Defined cases: null or word-less text has no words and is never contaminated;
-null or word-less items have no windows; items of 1-9 words are one window; equal
-items each count; an empty benchmark leaves every document clean; repeated rows
-give repeated results; extra columns are ignored.
+benchmark text, whose size is checked first: above ``max_broadcast_bytes`` it is
+refused, at every size below that one automaton is built, once in each Python worker.
+It takes about 90 bytes of memory for a byte of benchmark text.  Only where
+``block_bytes`` is given are the items dealt to several automata, each built once.
+
+Defined cases: null or word-less text has no words and is never contaminated; an
+empty table gives an empty result; very long texts are scanned whole; null or word-less
+items have no windows; items of 1-9 words are one window; items of equal id count
+once; an empty benchmark leaves every document clean; repeated rows give repeated
+results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,34 +40,42 @@ def item_words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def windows(words: list[bytes], window: int) -> set[bytes]:
-    if not words:
-        return set()
-    n = min(window, len(words))
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-
-
-def automaton(items: list[tuple[int, bytes]], window: int):
-    """Patterns are `` w1 ... wn `` with outer blanks, so that only whole words match."""
-    import ahocorasick
-
-    owners: dict[bytes, list[int]] = {}
-    for index, text in items:
-        for w in windows(item_words(text), window):
-            owners.setdefault(w, []).append(index)
-    machine = ahocorasick.Automaton()
-    for w, index in owners.items():
-        machine.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, index))
-    if owners:
-        machine.make_automaton()
-    return machine if owners else None
-
-
-def _blocks(items: list[tuple[int, bytes]], block_bytes: int) -> list[list[tuple[int, bytes]]]:
+class Machine:
+    """An automaton whose letters are numbers of item words; 0 is any other word."""
+
+    def __init__(self, items: list[tuple[int, bytes]], window: int):
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], list[int]] = {}
+        for index, text in items:
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in item_words(text)]
+            n = min(window, len(words))
+            for w in {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else ():
+                owners.setdefault(w, []).append(index)
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        same: dict[tuple, tuple] = {}  # windows of the same items share one value
+        while owners:
+            w, index = owners.popitem()
+            value = (len(w), tuple(index))
+            self.trie.add_word(w, same.setdefault(value, value))
+        if len(self.trie):
+            self.trie.make_automaton()
+
+    def hits(self, words: list[bytes]):
+        """(last word, words, items) of every occurrence of a window."""
+        if not len(self.trie):
+            return
+        number = self.numbers.get
+        for last, (n, owners) in self.trie.iter(tuple([number(w, 0) for w in words])):
+            yield last, n, owners
+
+
+def _blocks(items: list[tuple[int, bytes]], block_bytes: int | None) -> list[list[tuple[int, bytes]]]:
     out: list[list[tuple[int, bytes]]] = [[]]
     size = 0
     for item in items:
-        if out[-1] and size + len(item[1]) > block_bytes:
+        if block_bytes is not None and out[-1] and size + len(item[1]) > block_bytes:
             out.append([])
             size = 0
         out[-1].append(item)
@@ -75,27 +83,24 @@ def _blocks(items: list[tuple[int, bytes]], block_bytes: int) -> list[list[tuple
     return out
 
 
-def scan_text(text: bytes, machines: list) -> tuple[int, int, set[int], list[tuple[int, int]]]:
+def scan_text(text: bytes, machines: list[Machine]) -> tuple[int, int, set[int], list[tuple[int, int]]]:
     """Words, hit words, indexes of occurring items, spans of hit words as code point offsets."""
-    words = text.translate(_TABLE).split()
-    if not words:
-        return 0, 0, set(), []
-    joined = b" " + b" ".join(words) + b" "
-    decoded, found, edges, blanks = joined.decode("latin-1"), set(), None, None
-    for machine in machines:
-        for end, (n, owners) in machine.iter(decoded):
+    flat = text.translate(_TABLE)
+    words = flat.split()
+    found: set[int] = set()
+    edges = None
+    for machine in machines if words else ():
+        for last, n, owners in machine.hits(words):
             if edges is None:
                 edges = np.zeros(len(words) + 1, np.int64)
-                blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-            last = int(np.searchsorted(blanks, end))
-            edges[last - n] += 1
-            edges[last] -= 1
+            edges[last + 1 - n] += 1
+            edges[last + 1] -= 1
             found.update(owners)
     if edges is None:
         return len(words), 0, found, []
     hit = np.cumsum(edges[:-1]) > 0
     raw = np.frombuffer(text, np.uint8)
-    solid = np.concatenate(([0], (np.frombuffer(text.translate(_TABLE), np.uint8) != 32).astype(np.int8), [0]))
+    solid = np.concatenate(([0], (np.frombuffer(flat, np.uint8) != 32).astype(np.int8), [0]))
     step = np.diff(solid)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
@@ -117,8 +122,8 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_bytes: int = 1 << 19,
-    max_broadcast_bytes: int = 64 << 20,
+    block_bytes: int | None = None,
+    max_broadcast_bytes: int = 8 << 20,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Words, hit words, occurring items (ids as sorted strings) and hit spans of each document."""
@@ -129,30 +134,17 @@ def decontaminate(
         raise ValueError(f"the benchmark has {size} bytes; scan it in parts of {max_broadcast_bytes}")
     rows = sorted(((r["id"] or "", bytes(r["t"])) for r in items.collect()))
     names = [r[0] for r in rows]
-    sent = spark.sparkContext.broadcast((names, _blocks([(i, t) for i, (_, t) in enumerate(rows)], block_bytes)))
+    # What a Python worker builds is kept in its copy of the broadcast value.
+    sent = spark.sparkContext.broadcast({"ids": names, "blocks": _blocks([(i, t) for i, (_, t) in enumerate(rows)], block_bytes)})
 
     def worker():
-        ids, blocks = sent.value
-        single = [m for m in [automaton(blocks[0], window)] if m] if len(blocks) == 1 else None
+        kept = sent.value
+        if "machines" not in kept:
+            kept["machines"] = [Machine(block, window) for block in kept["blocks"]]
+        ids, machines = kept["ids"], kept["machines"]
 
         def work(texts: list[bytes]) -> list[pa.Array]:
-            n, hits, found, spans = [0] * len(texts), [0] * len(texts), [set() for _ in texts], [[] for _ in texts]
-            if single is not None:
-                for k, t in enumerate(texts):
-                    n[k], hits[k], found[k], spans[k] = scan_text(t, single)
-            else:
-                # Some block hits a few texts only: those are scanned again with all blocks that hit them.
-                touched: dict[int, list[int]] = {}
-                for b, block in enumerate(blocks):
-                    machine = automaton(block, window)
-                    for k, t in enumerate(texts):
-                        n[k], h, _, _ = scan_text(t, [machine] if machine else [])
-                        if h:
-                            touched.setdefault(k, []).append(b)
-                for k, bs in touched.items():
-                    own = {w for b in bs for w in blocks[b]}
-                    machine = automaton([x for x in own if _shares(x[1], texts[k], window)], window)
-                    n[k], hits[k], found[k], spans[k] = scan_text(texts[k], [machine] if machine else [])
+            n, hits, found, spans = zip(*(scan_text(t, machines) for t in texts))
             listed = [sorted({ids[i] for i in f}) for f in found]
             return [
                 pa.array(n, pa.int64()),
@@ -166,11 +158,6 @@ def decontaminate(
     return common.map_texts(docs, worker, SCHEMA, id_col, text_col, keep)
 
 
-def _shares(item: bytes, text: bytes, window: int) -> bool:
-    joined = b" " + b" ".join(item_words(text)) + b" "
-    return any(b" " + w + b" " in joined for w in windows(item_words(item), window))
-
-
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
