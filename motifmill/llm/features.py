@@ -39,6 +39,9 @@ def text_stats(text: bytes, words: list[bytes], counts: dict[bytes, int]) -> lis
 
 
 LINE_FEATURES = 20
+#: Features of a line that occurred before in its text, and of noisy lines: many symbols,
+#: mostly capitals, few distinct words, many bars or exclamation marks, words repeated at once.
+REPEATED, NOISY = 11, [7, 10, 15, 16, 17, 19]
 
 
 def line_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

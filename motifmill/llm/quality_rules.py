@@ -3,15 +3,19 @@
 Base rules are exact counts.  The method's verdict: every line of a text is marked
 content or boilerplate by a two-state conditional random field, and a document is
 kept if the words of its content lines are at least ``min_content`` of its words.
-The field is trained here (maximum likelihood, forward-backward in numpy) on weak
-labels: all lines of a labelled good document are content; in a bad one, a line is
-boilerplate.  The sample is bounded (``max_train`` labelled rows outside the held-out fold).
+The field is trained here (maximum likelihood, forward-backward in numpy) on weak labels
+of single lines (:func:`weak_labels`): lines that repeat, in their text or across texts of
+the sample, and noisy lines are boilerplate in any document; the other lines of a good
+document are content, and of a bad one too if it has noisy lines that explain its label.
+The sample is bounded (``max_train`` labelled rows outside the held-out fold).
 
 Scale: a map over the documents without a shuffle; the broadcast has a fixed size.
 
 Defined cases: null text has no words; texts without words and texts under 20 words
-fail the base rules; blank lines are skipped by the field; without labelled rows the
-field keeps every line; repeated rows give repeated results; extra columns are ignored.
+fail the base rules; very long texts are decoded whole; blank lines are skipped by the
+field; of equal paths content wins; without labelled rows the field keeps every line;
+repeated rows give repeated results; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from motifmill.llm import common
-from motifmill.llm.features import LINE_FEATURES, SYMBOLS, line_features
+from motifmill.llm.features import LINE_FEATURES, NOISY, REPEATED, SYMBOLS, line_features
 from motifmill.llm.quality import sample
 
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -132,7 +136,7 @@ def gradient(field: LineField, x: np.ndarray, y: np.ndarray, mask: np.ndarray):
     return fit, g_e / max(1, s), g_t / max(1, s)
 
 
-def _by_length(pairs: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _by_length(pairs: list[tuple[np.ndarray, int | np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Features, labels and masks of sequences, together where their lengths round up to one power of two."""
     alike: dict[int, list] = {}
     for pair in pairs:
@@ -142,16 +146,16 @@ def _by_length(pairs: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np
         n = max(len(rows) for rows, _ in own)
         x, y, mask = np.zeros((len(own), n, LINE_FEATURES)), np.zeros((len(own), n), np.int64), np.zeros((len(own), n))
         for k, (rows, label) in enumerate(own):
-            x[k, : len(rows)], mask[k, : len(rows)], y[k, : len(rows)] = rows, 1, label
+            x[k, : len(rows)], mask[k, : len(rows)], y[k, : len(rows)] = rows, 1, label  # of the text or of each line
         out.append((x, y, mask))
     return out
 
 
-def train_field(sequences: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> LineField:
+def train_field(sequences: list[np.ndarray], labels: list[int] | list[np.ndarray], steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> LineField:
     """Adam on the regularised likelihood of whole sequences, padded among those of like length only."""
     field = LineField(np.zeros((LINE_FEATURES, 2)), np.zeros((2, 2)))
     pairs = [(x, y) for x, y in zip(sequences, labels) if len(x)]
-    if len({y for _, y in pairs}) < 2:
+    if len(set().union(*(np.unique(y).tolist() for _, y in pairs))) < 2:
         field.emission[0, 0] = 1.0
         return field
     groups = _by_length(pairs)
@@ -180,12 +184,47 @@ def unpacked(lines: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(lines, np.uint8).reshape(-1, (LINE_FEATURES + 7) // 8), axis=1, count=LINE_FEATURES).astype(np.float32)
 
 
+def line_hashes(texts: list[bytes]) -> pa.Array:
+    """A 64-bit hash of each line of each text, in order."""
+    import xxhash
+
+    return pa.array([np.array([xxhash.xxh3_64_intdigest(x.strip()) for x in content_lines(t)], np.uint64).tobytes() for t in texts], pa.binary())
+
+
+#: Texts of the sample that a line is in before it counts as repeated across texts.
+SHARED = 3
+
+
+def weak_labels(features: list[np.ndarray], hashes: list[np.ndarray], bad: list[int]) -> list[np.ndarray]:
+    """1 for boilerplate lines, 0 for content.
+
+    A line repeats across texts if ``SHARED`` texts of the sample hold it; where half of a
+    text's lines do, the text is a copy of others, and its lines are not marked for that.
+    """
+    seen: dict[int, int] = {}
+    for own in hashes:
+        for h in set(own.tolist()):
+            seen[h] = seen.get(h, 0) + 1
+    out = []
+    for x, own, is_bad in zip(features, hashes, bad):
+        noisy = x[:, NOISY].any(axis=1)
+        shared = np.array([seen[h] >= SHARED for h in own.tolist()], bool)
+        marked = noisy | (x[:, REPEATED] > 0)
+        if 2 * shared.sum() < len(shared):
+            marked |= shared
+        if is_bad and not noisy.any():
+            marked[:] = True
+        out.append(marked.astype(np.int64))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 1500) -> LineField:
-    rows = sample(docs, labels, max_train, packed, "lines binary")
-    return train_field([unpacked(r["lines"]) for r in rows], [1 - int(r["label"]) for r in rows])
+    rows = sample(docs, labels, max_train, lambda texts: [*packed(texts), line_hashes(texts)], "lines binary, hashes binary")
+    features, hashes = [unpacked(r["lines"]) for r in rows], [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+    return train_field(features, weak_labels(features, hashes, [1 - int(r["label"]) for r in rows]))
 
 
-SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_content_words bigint, kept boolean"
+SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_lines bigint, n_content_lines bigint, n_content_words bigint"
 
 
 def apply_rules(docs: DataFrame, field: LineField, min_content: float = MIN_CONTENT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -200,9 +239,10 @@ def apply_rules(docs: DataFrame, field: LineField, min_content: float = MIN_CONT
                 counts = base_counts(text)
                 failed = base_failed(counts[0], counts[4])
                 x, sizes = line_features(content_lines(text))
-                content = int(sizes[model.viterbi(x) == 0].sum())
-                out.append((*counts, failed, content, not failed and content >= min_content * counts[0]))
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.bool_()]
+                is_content = model.viterbi(x) == 0
+                content = int(sizes[is_content].sum())
+                out.append((*counts, failed, not failed and content >= min_content * counts[0], len(x), int(is_content.sum()), content))
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 3
             return [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]
 
         return work

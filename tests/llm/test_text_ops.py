@@ -256,6 +256,45 @@ def test_rules_keep_clean_and_drop_boilerplate(spark):
     assert all(quality_rules.train_field([], []).viterbi(line_features([b"a b", b"###"])[0]) == 0)
 
 
+def test_field_marks_planted_lines_of_mixed_documents(spark):
+    rng = random.Random(11)
+    noise = lambda: rng.choice([" ".join(w + "###" for w in rng.choices(WORDS, k=9)), " | ".join(rng.choices(WORDS, k=8)), " ".join(w.upper() + "!!" for w in rng.choices(WORDS, k=9))])
+    rows, truth = [], {}
+    for k in range(300):
+        good = k % 3 > 0
+        lines = [(" ".join(rng.choices(WORDS, k=rng.randint(8, 25))) + ".", 0) for _ in range(rng.randint(6, 10) if good else 3)]
+        for _ in range(rng.randint(0, 2) if good else rng.randint(7, 12)):
+            lines.insert(rng.randint(0, len(lines)), (noise(), 1))
+        rows.append((k, "\n".join(x for x, _ in lines), int(good)))
+        truth[k] = np.array([y for _, y in lines])
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    field = quality_rules.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int"))
+    marks = {i: field.viterbi(line_features(quality_rules.content_lines(t.encode()))[0]) for i, t, _ in rows}
+    assert np.mean(np.concatenate([marks[i] == truth[i] for i in truth])) > 0.97
+    out = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, field).collect()}
+    mixed = [i for i in truth if 0 < truth[i].sum() < len(truth[i])]
+    assert len(mixed) > 100 and sum(0 < out[i]["n_content_lines"] < out[i]["n_lines"] for i in mixed) > 0.95 * len(mixed)
+    assert all(out[i]["n_content_lines"] == (marks[i] == 0).sum() for i in truth)
+    assert np.mean([out[i]["kept"] == bool(y) for i, _, y in rows if not out[i]["base_failed"]]) > 0.95
+
+
+def test_weak_labels_of_lines():
+    a, b = [np.zeros((n, LINE_FEATURES), np.float32) for n in (4, 3)]
+    a[1, 7] = b[2, 11] = 1
+    ids = lambda *x: np.array(x, np.uint64)
+    others = [np.zeros((3, LINE_FEATURES), np.float32)] * 2
+    got = quality_rules.weak_labels([a, b, *others], [ids(1, 2, 3, 9), ids(4, 5, 5), ids(6, 7, 9), ids(6, 8, 9)], [1, 0, 0, 1])
+    assert [x.tolist() for x in got] == [[0, 1, 0, 1], [0, 0, 1], [0, 0, 1], [1, 1, 1]]
+    copies = quality_rules.weak_labels([others[0]] * 3, [ids(1, 2, 3)] * 3, [0, 0, 0])
+    assert not np.concatenate(copies).any()
+
+
+def test_rules_of_an_empty_table(spark):
+    df, _ = corpus(spark)
+    out = quality_rules.apply_rules(df.limit(0), quality_rules.train_field([], []))
+    assert out.count() == 0 and out.columns[:9] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines"]
+
+
 # --- HTML ---------------------------------------------------------------------
 
 PAGES = {
