@@ -128,10 +128,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept for reuse up to a bound (memory stays bounded)."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 400_000, digest: Callable[[bytes], int] | None = None):
         import xxhash
 
-        self._digest, self._limit, self._seen = xxhash.xxh3_64_intdigest, limit, {}
+        self._digest, self._limit, self._seen = digest or xxhash.xxh3_64_intdigest, limit, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         seen, digest = self._seen, self._digest

@@ -1,35 +1,36 @@
 """Substring dedup by level-wise doubling.
 
 A word goes if a window of ``min_words`` words covers it whose word sequence starts
-somewhere else too, in the same text or another.  Windows are found level by level:
-windows of half the length are counted first, and those that are repeated, and they
-alone, are extended to twice that length (the last step overlaps by a word if the
-length is odd), until the wanted length is reached or no candidate is left.
+somewhere else too, in the same text or another.  Windows are found level by level
+(:func:`levels`): short windows first, then, of the places that are repeated and of them
+alone, windows of twice the length (the last words of both halves may overlap by one), until
+the wanted length is reached or no candidate survives.
 
-The first level need not count every window: each window of the wanted length names
-the half-length window inside it with the least hash (the leftmost of equal ones).
-Equal windows name equal ones at equal places, so counting the named windows, about
-two in ``min_words / 2``, loses nothing.  The last level counts every candidate start
-under a 128-bit hash of its words.
+A level need not count every short window: each window of the wanted length names the
+short window inside it with the least hash (the leftmost of equal ones).  Equal windows
+name equal ones at equal places, so counting the named windows alone loses nothing.  A place
+survives a level if its named window is repeated; at the last level a window names itself,
+and is counted under two independent 64-bit hashes of its words.
 
 Whole texts that are copies are found first, by a 128-bit hash: all their windows are
-repeated.  One copy of each group goes on to the last level, so that other texts still
+repeated.  One copy of each group goes on after the first level, so that other texts still
 meet its windows; groups of copies of any size cost one row per copy.
 
 Scale: every level is a partially aggregated count of hashes, written to shared
 scratch, and a join of the level's positions with the repeated hashes that adaptive
-execution can split where a passage is in very many texts.  Texts are shuffled twice,
-by row key: for the candidates' last level and for the removal.
+execution can split where a passage is in very many texts.  All texts are shuffled twice,
+by row key, for the candidates of the first level and for the removal; each level between
+shuffles the candidates' texts.
 
 Defined cases: null and empty texts have no words; texts shorter than the window keep
-all words; repeated rows (equal id and text) are copies of each other and both lose
+all words; very long texts enter whole; of equal least hashes the leftmost counts; repeated rows (equal id and text) are copies of each other and both lose
 their windows; an empty table gives an empty result; extra columns are ignored or, with
 ``keep``, passed through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,16 @@ from pyspark.sql import functions as F
 from motifmill.llm import common
 
 MIN_WORDS = 35
+#: The first level has at most this many words.
+FIRST_LEVEL = 16
 _BASE, _BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class WindowHashes:
     """Hashes of all windows of a text by differences of prefix sums (modulo 2**64)."""
 
-    def __init__(self) -> None:
-        self.words = common.WordHashes()
+    def __init__(self, digest: Callable[[bytes], int] | None = None) -> None:
+        self.words = common.WordHashes(digest=digest)
         self._grow(1 << 12)
 
     def _grow(self, n: int) -> None:
@@ -71,8 +74,28 @@ def named_windows(half: np.ndarray, spread: int) -> np.ndarray:
     return np.arange(len(view)) + view.argmin(axis=1)
 
 
-def _second(h: np.ndarray) -> np.ndarray:
-    return common.mix(h ^ np.uint64(0xD6E8FEB86659FD93))
+def levels(min_words: int, first: int = FIRST_LEVEL) -> list[int]:
+    """Window lengths, each at most twice the one before."""
+    out = [min_words]
+    while out[0] > first:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def surviving(hashes: WindowHashes, words: list[bytes], min_words: int, lengths: list[int], repeated: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose named windows were repeated at all levels but the last, and their windows' hashes at that one.
+
+    ``lengths`` are the levels so far; returned are the distinct places that the surviving
+    windows name at the last of them, and all window hashes of that length.
+    """
+    prefix = hashes.prefix(words)
+    alive = np.ones(len(prefix) - min_words, bool)
+    for length, at in zip(lengths, [*repeated, None]):
+        own = hashes.windows(prefix, length)
+        named = named_windows(own, min_words - length + 1)
+        if at is not None:
+            alive &= np.isin(named, np.array(at, np.int64))
+    return np.unique(named[alive]), own
 
 
 def _keys(id_col: str, text_col: str) -> dict[str, Column]:
@@ -105,8 +128,6 @@ def repeated_starts(docs: DataFrame, min_words: int, scratch: common.Scratch, id
     """Row keys with the starts of repeated windows, and whether the whole text is a copy."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
-    half = (min_words + 1) // 2
-    spread = min_words - half + 1
     rows = docs.select(*[c.alias(k) for k, c in _keys(id_col, text_col).items()], F.col(f"`{text_col}`").cast("binary").alias("t")).where("t is not null")
 
     # Level 0: whole texts.
@@ -116,56 +137,57 @@ def repeated_starts(docs: DataFrame, min_words: int, scratch: common.Scratch, id
     copies = scratch.write(keys.join(copied, ["t1", "t2"]).select("k1", "k2", (F.struct("k1", "k2") == F.col("first")).alias("leads")).groupBy("k1", "k2").agg(F.max("leads").alias("leads")), "copies")
     scratch.drop("keys")
 
-    # Level 1: named windows of half the length.
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WindowHashes()
-
-        def named() -> Iterator[list[np.ndarray]]:
-            for batch in batches:
-                for k1, k2, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
-                    words = text.split()
-                    if len(words) >= min_words:
-                        own = hashes.windows(hashes.prefix(words), half)
-                        at = np.unique(named_windows(own, spread))
-                        yield [own[at].view(np.int64), np.full(len(at), k1), np.full(len(at), k2), at.astype(np.int32)]
-
-        yield from _emit(named(), ["g", "k1", "k2", "p"])
-
-    level = scratch.write(rows.select("k1", "k2", "t").mapInArrow(first, "g bigint, k1 bigint, k2 bigint, p int"), "level1")
-    again = scratch.write(_repeated(level, ["g"]), "repeated1")
-    found = level.join(again, "g").groupBy("k1", "k2").agg(F.collect_set("p").alias("at"))
-    # Of equal texts only the first goes on.
-    found = found.join(copies, ["k1", "k2"], "left").where("leads is null or leads").select("k1", "k2", "at")
-    found = scratch.write(found, "found1")
-    scratch.drop("level1", "repeated1")
-
-    # Level 2: all starts whose named window is repeated, at the whole length.
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WindowHashes()
-
-        def starts() -> Iterator[list[np.ndarray]]:
-            for batch in batches:
-                for k1, k2, text, at in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3))):
-                    words = text.split()
-                    h = common.mix(hashes.words(words))
-                    prefix = hashes.prefix(h)
-                    named = named_windows(hashes.windows(prefix, half), spread)
-                    p = np.flatnonzero(np.isin(named, np.array(at)))
-                    a = hashes.windows(prefix, min_words)[p]
-                    b = hashes.windows(hashes.prefix(_second(h)), min_words)[p]
-                    yield [a.view(np.int64), b.view(np.int64), np.full(len(p), k1), np.full(len(p), k2), p.astype(np.int32)]
-
-        yield from _emit(starts(), ["a", "b", "k1", "k2", "p"])
-
-    # Equal rows are one candidate: they are copies, and one copy goes on.
-    once = rows.select("k1", "k2", "t").join(found, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    level = scratch.write(once.mapInArrow(second, "a bigint, b bigint, k1 bigint, k2 bigint, p int"), "level2")
-    scratch.drop("found1")
-    again = scratch.write(_repeated(level, ["a", "b"]), "repeated2")
-    starts = level.join(again, ["a", "b"]).groupBy("k1", "k2").agg(F.collect_list("p").alias("starts"))
+    def counted(lengths: list[int], exact: bool) -> Callable:
+        """Hashes and places of the windows named at the last of these levels."""
+        names = ["g", "k1", "k2", "p"] + ["h"] * exact
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            hashes = WindowHashes()
+            second = WindowHashes(xxhash.xxh64_intdigest) if exact else None
+
+            def named() -> Iterator[list[np.ndarray]]:
+                for batch in batches:
+                    for part in common.slices(batch, 2):
+                        for k1, k2, text, *repeated in zip(*(c.to_pylist() for c in part.columns)):
+                            words = text.split()
+                            if len(words) < min_words:
+                                continue
+                            at, own = surviving(hashes, words, min_words, lengths, repeated)
+                            out = [own[at].view(np.int64), np.full(len(at), k1), np.full(len(at), k2), at.astype(np.int32)]
+                            if exact:
+                                out.append(second.windows(second.prefix(words), min_words)[at].view(np.int64))
+                            yield out
+
+            yield from _emit(named(), names)
+
+        return run
+
+    lengths = levels(min_words)
+    place = "g bigint, k1 bigint, k2 bigint, p int"
+    candidates = rows.select("k1", "k2", "t")
+    for k in range(len(lengths) - 1):
+        level = scratch.write(candidates.mapInArrow(counted(lengths[: k + 1], False), place), f"level{k}")
+        again = scratch.write(_repeated(level, ["g"]), f"repeated{k}")
+        found = level.join(again, "g").groupBy("k1", "k2").agg(F.collect_set("p").alias(f"at{k}"))
+        if k == 0:  # of equal texts only the first goes on, of equal rows one
+            found = found.join(copies, ["k1", "k2"], "left").where("leads is null or leads").drop("leads")
+            candidates = candidates.join(scratch.write(found, "found0"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        else:
+            candidates = candidates.join(found, ["k1", "k2"])
+        candidates = scratch.write(candidates, f"candidates{k}")
+        scratch.drop(f"level{k}", f"repeated{k}", f"found{k}", f"candidates{k - 1}")
+        if candidates.isEmpty():
+            break
+    level = scratch.write(candidates.mapInArrow(counted(lengths, True), f"{place}, h bigint"), "last")
+    if len(lengths) == 1:  # there was no level to leave the copies out
+        level = level.join(copies, ["k1", "k2"], "left").where("leads is null or leads").dropDuplicates(["k1", "k2", "p"])
+    again = scratch.write(_repeated(level, ["g", "h"]), "repeated")
+    starts = level.join(again, ["g", "h"]).groupBy("k1", "k2").agg(F.collect_list("p").alias("starts"))
     starts = starts.join(copies.select("k1", "k2", F.lit(True).alias("copy")), ["k1", "k2"], "full")
     out = scratch.write(starts, "starts")
-    scratch.drop("level2", "repeated2", "copies", "copied")
+    scratch.drop(f"candidates{len(lengths) - 2}", "last", "repeated", "copies", "copied")
     return out
 
 

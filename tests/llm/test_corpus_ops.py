@@ -207,6 +207,34 @@ def test_substring_dedup_equals_brute_force(spark, n):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == _cut(rows, n)
 
 
+@pytest.mark.parametrize(("n", "want"), [(35, [9, 18, 35]), (140, [9, 18, 35, 70, 140]), (16, [16]), (2, [2])])
+def test_levels_double(spark, monkeypatch, n, want):
+    assert substring_dedup.levels(n) == want
+    written = []
+    write = common.Scratch.write
+    monkeypatch.setattr(common.Scratch, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    rng = random.Random(n)
+    passage = rng.choices(VOCAB, k=150)
+    rows = [(k, " ".join(rng.choices(VOCAB, k=20) + passage + rng.choices(VOCAB, k=k))) for k in range(6)]
+    rows.append((9, " ".join(passage[:139] + rng.choices(VOCAB, k=30))))  # survives all levels but the last of 140
+    out = substring_dedup.substring_dedup(_docs(spark, rows), n).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == _cut(rows, n)
+    assert [x for x in written if x.startswith("level")] == [f"level{k}" for k in range(len(want) - 1)]
+    # Without candidates the loop ends at once.
+    written.clear()
+    alone = [(k, " ".join(rng.choices([f"{v}{k}" for v in VOCAB], k=300))) for k in range(4)]
+    assert all(r["n_removed"] == 0 for r in substring_dedup.substring_dedup(_docs(spark, alone), max(n, 16)).collect())
+    assert sum(x.startswith("level") for x in written) <= 1
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    rng = random.Random(2)
+    words = rng.choices(VOCAB, k=60_000)
+    rows = [(1, " ".join(words)), (2, " ".join(words[30_000:30_050])), (3, " ".join(words[100:140] + words[:34]))]
+    out = substring_dedup.substring_dedup(_docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == _cut(rows, 35)
+
+
 def test_substring_dedup_passes_columns_and_empty_tables(spark):
     df = _docs(spark, _rows())
     assert substring_dedup.substring_dedup(df, keep=("k1",)).columns == ["doc_id", "k1", "n_words", "n_removed", "kept_text"]
