@@ -3,15 +3,18 @@
 A tokenizer and a tree builder with implied tags make a tree; a renderer writes all
 visible text: blocks on lines of their own (paragraph-like ones set off by a blank
 line), list items with bullets or numbers and indentation, preformatted text as it is,
-and table cells padded into aligned columns.  Elements that browsers do not show (head,
-scripts, styles, templates, hidden ones by attribute or inline style, closed details)
-give no text.
+and table cells padded into aligned columns, spanned rows left blank.  Elements that browsers
+do not show (head, scripts, styles, templates, closed details, elements hidden by an attribute,
+an inline style or the page's style sheets) give no text.  Of style sheets the rules for a
+tag, classes and ids without combinators count, outside conditional blocks; what is visible
+again inside an invisible element is shown.
 
 Scale: a map without a shuffle, one page at a time, without recursion, so that neither
 deep nesting nor long pages break it.
 
-Defined cases: null and empty html give an empty text; markup that never ends is
-dropped as browsers do; repeated rows give repeated results; extra columns are ignored.
+Defined cases: null and empty html give an empty text; very long pages are rendered whole;
+markup that never ends is dropped as browsers do; of equal style rules the last counts; an
+empty table gives an empty result; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +63,11 @@ _NAME, _EQUALS, _UNQUOTED = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+", r"[ \t\n\r\f]*+=
 _ATTRS = rf"(?:[ \t\n\r\f/]++|{_NAME}(?:{_EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{_UNQUOTED}|(?=>))|(?![ \t\n\r\f]*+=)))*+"
 _MARKUP = re.compile(r"<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|(?P<bang>[!?][^>]*(?:>|\Z))|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRS + r")(?P<end>>)?)", re.S)
 _ATTR = re.compile(rf"({_NAME})(?:{_EQUALS}(?:\"([^\"]*+)\"|'([^']*+)'|({_UNQUOTED})|\Z))?")
-_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)[^;]*?(!\s*important)?\s*(?=;|\Z)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_AT_RULE = re.compile(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\})")
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
+_PART = re.compile(r"([.#])([\w-]+)")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -89,17 +96,50 @@ def _ends_itself(text: str) -> bool:
 
 
 def _is_hidden(tag: str, attrs: dict[str, str]) -> bool:
-    return (
-        tag in HIDDEN
-        or "hidden" in attrs
-        or (tag == "dialog" and "open" not in attrs)
-        or ("style" in attrs and _STYLE.search(attrs["style"]) is not None)
-    )
+    return tag in HIDDEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
+
+
+class Styles:
+    """Which elements the inline styles and style sheets of a page hide."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules: list[tuple[str, frozenset, frozenset, tuple, list]] = []
+        for order, rule in enumerate(_AT_RULE.sub(" ", _COMMENT.sub(" ", "\n".join(sheets))).split("}")[:-1]):
+            head, _, body = rule.rpartition("{")
+            selectors, declared = head.rpartition("{")[2], _DECLARED.findall(body)
+            for selector in selectors.split(",") if declared else ():
+                if (m := _SELECTOR.match(selector.strip())) is None or not m[0]:
+                    continue
+                parts = _PART.findall(m[2])
+                ids, classes = (frozenset(x for kind, x in parts if kind == k) for k in "#.")
+                tag = (m[1] or "*").lower()
+                self.rules.append((tag, classes, ids, (len(ids), len(classes), tag != "*", order), declared))
+
+    def of(self, node: Node) -> tuple[bool, str | None]:
+        """Whether the element is not displayed, and its visibility if it has one of its own."""
+        best: dict[str, tuple] = {}
+
+        def declare(declared: list, weight: tuple) -> None:
+            for name, value, important in declared:
+                found = ((bool(important), *weight), value.lower())
+                if found[0] >= best.get(name.lower(), ((),))[0]:
+                    best[name.lower()] = found
+
+        if self.rules:
+            own = set(node.attrs.get("class", "").split())
+            for tag, classes, ids, weight, declared in self.rules:
+                if tag in ("*", node.tag) and classes <= own and ids <= {node.attrs.get("id")}:
+                    declare(declared, weight)
+        if "style" in node.attrs:
+            declare(_DECLARED.findall(node.attrs["style"]), (1 << 30,))
+        visibility = best["visibility"][1] if "visibility" in best else None
+        return "display" in best and best["display"][1] == "none", visibility
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text nodes are plain strings with character references resolved."""
     root = Node("#root")
+    sheets: list[str] = []
     stack = [root]
     opened: Counter = Counter()  # open elements by tag
     at, size = 0, len(page)
@@ -181,9 +221,12 @@ def parse(page: str) -> Node:
                 node.children.append(html.unescape(inner))
             elif tag == "xmp":
                 node.children.append(inner)
+            elif tag == "style":
+                sheets.append(inner)
             at = stop.end() if stop else size
             continue
         push(node)
+    root.attrs["sheets"] = sheets
     return root
 
 
@@ -239,33 +282,49 @@ class _Writer:
         return "\n".join(self.lines).strip("\n")
 
 
-def _layout(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells (text, columns spanned) as lines with aligned columns."""
-    widths: list[int] = []
+def _layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Cells (text, columns spanned, rows spanned) as lines with aligned columns."""
+    widths: dict[int, int] = {}
+    taken: dict[int, int] = {}  # columns that cells above still span, and for how many rows
+    placed = []
     for row in rows:
-        k = 0
-        for cell, span in row:
-            while len(widths) < k + span:
-                widths.append(0)
+        k, own, now = 0, [(c, [""], 1) for c in taken], {}
+        for cell, span, down in row:
+            while k in taken:
+                k += 1
+            lines = cell.split("\n")
+            own.append((k, lines, span))
+            for c in range(k, k + span):
+                widths.setdefault(c, 0)
+                now[c] = max(down, taken.get(c, 0))
             if span == 1:
-                widths[k] = max([widths[k], *map(len, cell.split("\n"))])
+                widths[k] = max(widths[k], *map(len, lines))
             k += span
+        placed.append(sorted(own, key=lambda x: x[0]))
+        taken = {c: n - 1 for c, n in (taken | now).items() if n > 1}
     out = []
-    for row in rows:
-        cells = [cell.split("\n") for cell, _ in row]
-        for line in range(max(map(len, cells), default=0)):
-            parts, k = [], 0
-            for (_, span), lines in zip(row, cells):
-                width = sum(widths[k : k + span]) + 3 * (span - 1)
+    for own in placed:
+        for line in range(max((len(x[1]) for x in own), default=0)):
+            parts = []
+            for k, lines, span in own:
+                width = sum(widths[c] for c in range(k, k + span)) + 3 * (span - 1)
                 parts.append((lines[line] if line < len(lines) else "").ljust(width))
-                k += span
-            out.append(" | ".join(parts).rstrip(" |") if any(p.strip() for p in parts) else "")
+            while parts and not parts[-1].strip():
+                parts.pop()
+            out.append(" | ".join(parts).rstrip(" "))
     return out
 
 
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "1")
+    return min(most, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+
+
 def render(root: Node) -> str:
     writers = [_Writer()]
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[tuple[str, int, int]]]] = []
+    styles = Styles(root.attrs.get("sheets", []))
+    visible = [True]
     lists: list[list] = []
     pre = 0
     todo: list = [(root, False)]
@@ -273,6 +332,8 @@ def render(root: Node) -> str:
         node, leaving = todo.pop()
         w = writers[-1]
         if isinstance(node, str):
+            if not visible[-1]:
+                continue
             if pre:
                 first, *rest = node.split("\n")
                 w.now.append(first)
@@ -284,12 +345,12 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if leaving:
+            visible.pop()
             if tag in ("td", "th") and tables:
                 cell = writers.pop().text()
-                span = node.attrs.get("colspan", "1")
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((cell, min(100, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 5 else 1))
+                tables[-1][-1].append((cell, _span(node, "colspan", 100), _span(node, "rowspan", 65534)))
             elif tag == "table":
                 rows = tables.pop()
                 w.raw(_layout([r for r in rows if r]))
@@ -319,16 +380,20 @@ def render(root: Node) -> str:
             continue
         if node.hidden:
             continue
+        absent, own = styles.of(node) if styles.rules or "style" in node.attrs else (False, None)
+        if absent:
+            continue
+        seen = visible[-1] if own in (None, "inherit") else own not in ("hidden", "collapse")
         if tag == "br":
             w.end_line(keep_empty=True)
             continue
         if tag == "hr":
             w.paragraph()
-            w.raw(["---"])
+            w.raw(["---"] if seen else [])
             w.blank = True
             continue
         if tag == "input":
-            if node.attrs.get("type", "text").lower() not in NO_VALUE:
+            if seen and node.attrs.get("type", "text").lower() not in NO_VALUE:
                 w.inline(f" {node.attrs.get('value', '')} ")
             continue
         if tag in ("td", "th") and tables:
@@ -369,6 +434,7 @@ def render(root: Node) -> str:
         elif tag == "text":  # of svg, placed on its own
             w.inline(" ")
         todo.append((node, True))
+        visible.append(seen)
         children = node.children
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]

@@ -349,6 +349,75 @@ def test_html_shows_svg_math_xmp_and_inputs():
         assert html_text.html_text(page) == want, page
 
 
+def test_html_tables_with_spans_and_bars():
+    for page, want in {
+        "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a | b\n  | c",
+        "<table><tr><td>a<td rowspan=2>bb<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>": "a | bb | c\nd |    | e\nf | g  | h",
+        "<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d</table>": "ab  | c\n |  | d",
+        "<table><tr><td>x<td>y |<tr><td>long<td></table>": "x    | y |\nlong",
+        "<table><tr><td rowspan=0>a<td rowspan=99999999>b</table>c": "a | b\n\nc",
+    }.items():
+        assert html_text.html_text(page) == want, page
+
+
+def test_html_visibility_and_style_sheets():
+    for page, want in {
+        "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>z": "yes\nz",
+        "<p style='visibility:collapse'>no<div>yes<i style='visibility:hidden'>no<hr><input value=no></i></div>": "yes",
+        "<style>.h{display:none} #x , p.q { color:red; display : none }</style><p class='a h'>no<p class=q>no<div id=x>no</div><div class=q>yes</div>": "yes",
+        "<p class=h>no</p>a<style>/* .a{} */ .h{display:none}</style>": "a",
+        "<style>.h{display:none} p.h{display:block}</style><p class=h>yes<div class=h>no</div>": "yes",
+        "<style>.h{display:none}</style><p class=h style='display:block'>yes<style>.k{display:none!important}</style><p class=k style=display:block>no": "yes",
+        "<style>@media print{.h{display:none}} @import 'x'; .k{visibility:hidden}</style><p class=h>yes<p class=k>no": "yes",
+        "<style>div p{display:none} p:hover{display:none} {display:none}</style><div><p>yes</div>": "yes",
+        "<p style='display:none;display:block'>yes": "yes",
+    }.items():
+        assert html_text.html_text(page) == want, page
+    for css in ("@a{" * 50_000, "a{" * 50_000, "/*" * 50_000, ".h{display:none" * 10_000, "}" * 50_000, "display:none;" * 20_000):
+        html_text.html_text(f"<style>{css}</style><p style='{css}'>x")
+
+
+def _random_page(rng, depth=0):
+    """Markup of a random tree, and its visible words in order."""
+    word = f"w{rng.randrange(10**6)}"
+    kind = rng.choice(["text", "p", "div", "ul", "ol", "table", "hide", "invisible", "span", "pre", "quote", "select", "comment"])
+    inside = [_random_page(rng, depth + 1) for _ in range(rng.randint(0, 3))] if depth < 4 else []
+    marks, words = "".join(m for m, _ in inside), [w for _, ws in inside for w in ws]
+    if kind in ("p", "div", "span", "pre"):
+        return f"<{kind}>{word}</{kind}>{marks}", [word, *words]
+    if kind == "quote":
+        return f"<blockquote>{marks}</blockquote>{word} ", [*words, word]
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join(f"<li>{m}" for m, _ in inside) + f"<li>{word}</{kind}>", [*words, word]
+    if kind == "table":
+        cells = [f"w{rng.randrange(10**6)}" for _ in range(6)]
+        rows = "".join(f"<tr>{''.join(f'<td rowspan={rng.randint(1, 2)} colspan={rng.randint(1, 2)}>{c}' for c in cells[k : k + 2])}" for k in (0, 2, 4))
+        return f"<table>{rows}</table>{marks}", [*cells, *words]
+    if kind == "hide":
+        how = rng.choice(["hidden", "style=display:none", "class=gone"])
+        return f"<div {how}>{word}{marks}</div>", []
+    if kind == "invisible":
+        return f"<div style='visibility:hidden'>{word}<b style=visibility:visible>{word}x</b></div>{marks}", [word + "x", *words]
+    if kind == "select":
+        return f"<select><option>{word}<option>{word}y</select>{marks}", [word, word + "y", *words]
+    if kind == "comment":
+        return f"<!-- {word} --><script>{word}</script>{marks}", words
+    return f" {word} {marks}", [word, *words]
+
+
+def test_html_emits_all_visible_words_of_random_trees():
+    rng = random.Random(0)
+    for _ in range(400):
+        parts = [_random_page(rng) for _ in range(4)]
+        page = "<style>.gone{display:none}</style>" + "".join(m for m, _ in parts)
+        assert re.findall(r"w\d+[xy]?", html_text.html_text(page)) == [w for _, ws in parts for w in ws], page
+
+
+def test_html_of_an_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a", "x")], "page_id bigint, url string, html string, page_text string")
+    assert html_text.extract(df).collect() == [(1, "a")] and html_text.extract(df.limit(0)).count() == 0
+
+
 def test_html_survives_hostile_pages(spark):
     for page in ("<div>" * 50_000 + "x", "<table><tr><td>" * 2000 + "x", "<a b='" * 20_000, "</p>" * 2000, "<li>" * 5000, "<!--" * 5000, "<" * 5000):
         html_text.html_text(page)
