@@ -8,18 +8,20 @@ id is appended, and documents are written in ascending id order.  A shard file i
     index offset uint64 | n uint64 | magic 8
 
 (little endian); a frame holds the ids as unsigned 32-bit integers.  The dictionary is
-trained on serialised id arrays of a bounded sample (``sample_docs`` documents with the
-smallest hash of their id) and stored once beside the shards, under its hash; a reader
+trained on serialised id arrays of a bounded sample (the first ``sample_chars`` characters of
+the ``sample_docs`` documents with the smallest hash of their id) and stored once beside the shards, under its hash; a reader
 refuses a shard of another dictionary.  ``ShardReader.get(k)`` reads the index and one
 frame, so that short documents are reached without reading the rest.
 
 Scale: one range shuffle of the texts by id; files are written and read by the executors
 through the file system of the scratch URI, each under a name of its own, and only the
 manifest of the tasks that succeeded counts: lost executors leave at most unused files.
-A shard holds about ``shard_bytes`` of text.
+A shard holds about ``shard_bytes`` of text; a task writes one shard after another, and there
+are at most ``MAX_TASKS`` tasks at any size.  Rows of one id are split by the beginning of
+their text; only rows that agree in both are bound to one task.
 
 Defined cases: null text is empty (the end id alone); null ids come first; equal ids are
-ordered by text; an empty table writes no shard; extra columns are ignored.  Ids must be
+ordered by text; very long texts are one frame; an empty table writes no shard; extra columns are ignored.  Ids must be
 integers.
 """
 
@@ -29,7 +31,6 @@ import hashlib
 import math
 import re
 import struct
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,6 +46,8 @@ from motifmill.llm import common
 
 MAGIC = b"MMIDS\x00\x00\x01"
 END_ID = 2
+#: Tasks that write or read files, and characters of a text that rows of one id are split by.
+MAX_TASKS, BEGINNING = 20_000, 64
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -113,14 +116,6 @@ class CachedEncoder:
         return self.feed.join(out)
 
 
-def worker_encoder(path: str) -> CachedEncoder:
-    """The encoder of this Python process: tasks that follow each other share what it keeps."""
-    kept = sys.modules["__main__"].__dict__.setdefault("_token_encoders", {})
-    if path not in kept:
-        kept[path] = CachedEncoder(path)
-    return kept[path]
-
-
 def open_fs(uri: str):
     """File system and path of a folder URI (a plain path is a shared mount)."""
     from pyarrow import fs
@@ -214,7 +209,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, scratch: common.Scratch,
 
     encoder = CachedEncoder(tokenizer)
     few = rows.select(F.xxhash64("i").alias("h"), "i").orderBy("h", "i").limit(sample_docs).select("i").distinct()
-    texts = rows.join(F.broadcast(few), "i", "left_semi").select(F.substring("t", 1, sample_chars).alias("t")).limit(2 * sample_docs)
+    texts = rows.join(F.broadcast(few), "i", "left_semi").select(F.substring("t", 1, sample_chars).alias("t"))
+    texts = texts.orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs)  # more where ids repeat
     dictionary = train_dictionary(sorted(encoder(r["t"]) + ending for r in texts.collect()))
     folder = scratch.path("ids")
     fs, root = open_fs(folder)
@@ -223,29 +219,40 @@ def write_token_files(docs: DataFrame, tokenizer: str, scratch: common.Scratch,
     with fs.open_output_stream(f"{root}/{name}") as sink:
         sink.write(dictionary)
 
+    # The encoder of a Python worker is kept in its copy of the broadcast value.
+    kept = spark.sparkContext.broadcast({"path": tokenizer})
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, tokens = None, None, 0
-        shard = TaskContext.get().partitionId()
+        state = kept.value
+        task, shard, writer, sink = TaskContext.get().partitionId(), 0, None, None
         own, base = open_fs(folder)
-        path = f"{base}/shard-{shard:08d}-{uuid.uuid4().hex}.ids"
+
+        def finished() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            return pa.RecordBatch.from_pydict({"task": [task], "shard": [shard], "path": [path], "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.sizes)]})
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in common.slices(batch, 1):
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if writer is None:
-                        encode, sink = worker_encoder(tokenizer), own.open_output_stream(path)
+                        if "encoder" not in state:
+                            state["encoder"] = CachedEncoder(state["path"])
+                        path = f"{base}/shard-{task:08d}-{shard:06d}-{uuid.uuid4().hex}.ids"
+                        sink, size = own.open_output_stream(path), 0
                         writer = ShardWriter(sink, dictionary)
-                    ids = encode(t) + ending
-                    tokens += len(ids) // 4
-                    writer.add(i, ids)
+                    writer.add(i, state["encoder"](t) + ending)
+                    size += len(t)
+                    if size >= shard_bytes:
+                        yield finished()
+                        writer, shard = None, shard + 1
         if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(writer.ids)], "n_tokens": [tokens]})
+            yield finished()
 
-    shards = max(1, math.ceil(total / shard_bytes))
-    ordered = rows.repartitionByRange(shards, F.col("i").asc_nulls_first()).sortWithinPartitions(F.col("i").asc_nulls_first(), "t")
-    manifest = scratch.write(ordered.mapInArrow(write, "shard bigint, path string, n_docs bigint, n_tokens bigint"), "manifest")
+    tasks = min(MAX_TASKS, max(1, math.ceil(total / shard_bytes)))
+    first = F.col("i").asc_nulls_first()
+    ordered = rows.repartitionByRange(tasks, first, F.substring("t", 1, BEGINNING)).sortWithinPartitions(first, "t")
+    manifest = scratch.write(ordered.mapInArrow(write, "task bigint, shard bigint, path string, n_docs bigint, n_tokens bigint"), "manifest")
     return manifest, f"{folder}/{name}"
 
 
@@ -269,10 +276,13 @@ def read_token_files(manifest: DataFrame, dictionary_path: str) -> DataFrame:
                     columns = [pa.array(shard.ids, mask=~shard.present), pa.array(starts), pa.array(sizes), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # One row per shard file: the running total needs no partitions.
-    total = F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    shards = manifest.select("path", F.coalesce(total, F.lit(0)).alias("before"))
-    return shards.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # Running totals inside each task's files, and over the tasks, of which there are few.
+    earlier = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tasks = manifest.groupBy("task").agg(F.sum("n_tokens").alias("n_tokens")).select("task", earlier(W.orderBy("task")).alias("tasks_before"))
+    shards = manifest.withColumn("inside", earlier(W.partitionBy("task").orderBy("shard"))).join(F.broadcast(tasks), "task")
+    shards = shards.select("path", (F.col("tasks_before") + F.col("inside")).alias("before"))
+    parts = min(MAX_TASKS, max(1, manifest.count()))
+    return shards.repartition(parts).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
