@@ -67,11 +67,11 @@ def scan(text: str) -> list[str]:
                 if level == 0:
                     break
             if level:
-                raise ValueError(f"Unmatched '[' at {at} in {text!r}")
+                raise ValueError(f"{text!r} opens a bracket at {at} that stays open: Unmatched")
         else:
             m = _PLAIN.match(text, at)
             if m is None:
-                raise ValueError(f"Unexpected character {text[at]!r} at {at} in {text!r}")
+                raise ValueError(f"{text!r} has no token at {at}: Unexpected character {text[at]!r}")
             end = m.end()
         out.append(text[at:end])
         at = end
@@ -93,10 +93,13 @@ def with_tokens(df: DataFrame, col: str, out: str = "tokens", ok: str = "ok") ->
     """Adds the tokens and whether the string tokenizes (else no tokens).
 
     The column expression does nearly all rows.  Only texts it cannot cover that hold
-    more brackets than its depth reach the scanner; all others go there as nulls.
+    more brackets than its depth reach the scanner; all others go there as nulls.  The
+    expression is run once a row: to the optimiser it is random, so that it is not copied
+    into filters on the tokens and these do not sink below what made the rows distinct.
     """
     text = F.col(col)
-    native = df.withColumns({"_native": tokens(text)}).withColumn("_full", F.coalesce(covers(text, F.col("_native")), F.lit(False)))
+    once = F.when(F.rand(0) >= 0, tokens(text))
+    native = df.withColumn("_native", once).withColumn("_full", F.coalesce(covers(text, F.col("_native")), F.lit(False)))
     deep = ~F.col("_full") & (F.length(text) - F.length(F.replace(text, F.lit("["))) > DEPTH)
     scanned = native.withColumn("_scanned", _scan_deep(F.when(deep, text)))
     empty = F.array().cast("array<string>")

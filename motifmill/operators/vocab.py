@@ -23,8 +23,10 @@ def build(df: DataFrame, specials: Sequence[str] = SPECIALS, tokens: str = "toke
     A corpus token named like a special keeps the special's id and its frequency.
     """
     counted = token_frequencies(df, tokens, order)
-    special = df.sparkSession.createDataFrame([(t, k) for k, t in enumerate(specials)], "token string, id int")
-    rest = counted.join(F.broadcast(special), "token", "left_anti")
-    rank = F.row_number().over(W.orderBy(F.col("freq").desc(), "first"))  # one row a token
-    learned = rest.select("token", (rank + len(specials) - 1).cast("int").alias("id"), "freq")
-    return special.join(counted.select("token", "freq"), "token", "left").unionByName(learned)
+    special = df.sparkSession.createDataFrame([(t, k) for k, t in enumerate(specials)], "token string, special int")
+    # One pass over the corpus: the specials are rows of the counted table.
+    both = counted.withColumn("special", F.lit(None).cast("int")).unionByName(special, allowMissingColumns=True)
+    each = both.groupBy("token").agg(F.max("special").alias("special"), F.max("freq").alias("freq"), F.min("first").alias("first"))
+    learned = F.col("special").isNull()
+    rank = F.row_number().over(W.partitionBy(learned).orderBy(F.col("freq").desc(), "first"))  # one row a token
+    return each.select("token", F.coalesce("special", rank + len(specials) - 1).cast("int").alias("id"), "freq")
