@@ -34,9 +34,11 @@ def tfidf(df: DataFrame, tokens: str = "tokens", out: str = "features", vocabula
     return Normalizer(inputCol="_idf", outputCol=out).transform(weighted).drop("_tf", "_idf")
 
 
-def random_features(df: DataFrame, dims: int, seed: int = 42, out: str = "embedding") -> DataFrame:
-    """Gaussian vectors of the same shape, as a baseline."""
-    return df.withColumn(out, F.array(*[F.randn(seed + k) for k in range(dims)]))
+def random_features(df: DataFrame, dims: int, seed: int = 42, out: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """Vectors of normal values drawn by seed, key and dimension: a baseline that does not depend on partitions."""
+    uniform = lambda k, part: (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit(k), F.lit(part)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    normal = lambda k: F.sqrt(-2 * F.log(uniform(k, 0))) * F.cos(2 * F.pi() * uniform(k, 1))
+    return df.withColumn(out, F.array(*[normal(k) for k in range(dims)]))
 
 
 def linear_classifier(train: DataFrame, test: DataFrame, features: str = "features", label: str = "label_id", scale: bool = False, regularisation: float = 1e-4, max_iter: int = 100) -> DataFrame:

@@ -45,24 +45,13 @@ def masked_accuracy(df: DataFrame, content_ids: frozenset[int] | set[int]) -> Da
     return each.agg(share(first, yes).alias("top1"), share(five, yes).alias("top5"), share(first, content).alias("content_top1"), share(five, content).alias("content_top5"))
 
 
-def mean_of_batches(df: DataFrame, loss: str = "loss") -> DataFrame:
-    """The mean of batch means, not weighted by tokens."""
-    return df.agg(F.avg(loss).alias("loss"))
-
-
 def best_epoch(history: DataFrame, loss: str = "val_loss") -> DataFrame:
     """The first epoch with the least loss."""
     return history.agg(F.min(F.struct(loss, "epoch")).alias("x")).select("x.epoch", F.col(f"x.{loss}"))
 
 
-def learning_rate(step: int, warmup: int, total: int) -> float:
-    """Factor of the rate: linear warm-up, then a cosine to 0."""
-    if step < warmup:
-        return step / max(warmup, 1)
-    return max(0.0, 0.5 * (1 + math.cos(math.pi * (step - warmup) / max(total - warmup, 1))))
-
-
 def schedule(spark: SparkSession, total: int, warmup: int) -> DataFrame:
+    """The rate's factor at each step: it rises in a line for ``warmup`` steps, then falls to 0 along half a cosine."""
     step = F.col("step")
     cosine = F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.lit(math.pi) * (step - warmup) / max(total - warmup, 1))))
     return spark.range(total).select(F.col("id").alias("step")).select("step", F.when(step < warmup, step / max(warmup, 1)).otherwise(cosine).alias("factor"))

@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from motifmill.functions.vectors import EPSILON, dot, normalise, tanimoto
+from motifmill.scratch import written
+
+#: Bytes of query vectors that are broadcast at a time.
+BLOCK_BYTES = 64 << 20
 
 
 def normalised(df: DataFrame, col: str = "embedding") -> DataFrame:
@@ -38,42 +42,51 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str = "vec_id", col: str = "embedding", block: int = 512, exclude_self: bool = True) -> DataFrame:
+def _query_blocks(queries: DataFrame, key: str, col: str, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Keys and unit vectors of the queries, ``block_bytes`` of vectors at a time (one row at least)."""
+    ids, rows, size = [], [], 0
+    for r in queries.select(key, col).toLocalIterator():
+        v = np.asarray(r[col], np.float64)
+        if rows and size + v.nbytes > block_bytes:
+            yield ids, np.stack(rows)
+            ids, rows, size = [], [], 0
+        ids.append(r[key])
+        rows.append(v / max(float(np.linalg.norm(v)), EPSILON))
+        size += v.nbytes
+    yield ids, np.stack(rows) if rows else np.zeros((0, 0))
+
+
+def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str = "vec_id", col: str = "embedding", block: int = 512, exclude_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The similarity of every query and every row of the index, by blocked matrix products; with ``k`` at least the best ``k``.
 
-    Queries are gathered in blocks of ``block``; a block meets the index in one pass whose
-    tasks each send ``k`` rows a query, or all.
+    The driver holds one block of queries at a time; a block meets the index in one pass,
+    ``block`` queries to a product, whose tasks each send ``k`` rows a query, or all.
     """
-    ids, vectors = [], []
-    for r in queries.select(key, col).toLocalIterator():
-        ids.append(r[key])
-        vectors.append(r[col])
     kind = index.schema[key].dataType.simpleString()
     out = None
-    for at in range(0, max(1, len(ids)), block):
-        own, q = ids[at : at + block], np.asarray(vectors[at : at + block], np.float64)
-        if len(own):
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), EPSILON)
-        sent = index.sparkSession.sparkContext.broadcast((own, q))
+    for ids, vectors in _query_blocks(queries, key, col, block_bytes):
+        sent = index.sparkSession.sparkContext.broadcast((ids, vectors))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            names, q = sent.value
+            names, every = np.asarray(sent.value[0]), sent.value[1]
             for pdf in batches:
                 if not len(names) or not len(pdf):
                     continue
                 m = np.stack(pdf[col].to_list()).astype(np.float64)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPSILON)
-                s = q @ m.T
                 near = pdf[key].to_numpy()
-                if exclude_self:
-                    s[np.asarray(names)[:, None] == near[None, :]] = -np.inf
-                wanted = np.isfinite(s)
-                if k is not None:
-                    most = min(k, s.shape[1])
-                    bar = -np.partition(-s, most - 1, axis=1)[:, most - 1]
-                    wanted &= s >= bar[:, None]  # ties at the bar all go on
-                a, b = np.nonzero(wanted)
-                yield pd.DataFrame({"query": np.asarray(names)[a], "neighbour": near[b], "similarity": s[a, b]})
+                for at in range(0, len(names), block):
+                    own = names[at : at + block]
+                    s = every[at : at + block] @ m.T
+                    if exclude_self:
+                        s[own[:, None] == near[None, :]] = -np.inf
+                    wanted = np.isfinite(s)
+                    if k is not None:
+                        most = min(k, s.shape[1])
+                        bar = -np.partition(-s, most - 1, axis=1)[:, most - 1]
+                        wanted &= s >= bar[:, None]  # ties at the bar all go on
+                    a, b = np.nonzero(wanted)
+                    yield pd.DataFrame({"query": own[a], "neighbour": near[b], "similarity": s[a, b]})
 
         part = index.select(key, col).mapInPandas(run, f"query {kind}, neighbour {kind}, similarity double")
         out = part if out is None else out.unionByName(part)
@@ -120,7 +133,7 @@ def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     task sorts the whole column.
     """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(col).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = written(counts.repartitionByRange(col).withColumn("_part", F.spark_partition_id()), "ranks")
     totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"))
     before = totals.select("_part", F.coalesce(F.sum("_t").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("_n").over(W.partitionBy("_part").orderBy(col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

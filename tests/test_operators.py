@@ -1,5 +1,6 @@
 """Labels, splits, masking, encoder, similarity, statistics, metrics, streams."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -167,7 +168,7 @@ def test_metrics(spark):
     history = spark.createDataFrame([(1, 0.5), (2, 0.3), (3, 0.3)], "epoch int, val_loss double")
     assert metrics.best_epoch(history).first()["epoch"] == 2
     steps = [r["factor"] for r in metrics.schedule(spark, 20, 5).orderBy("step").collect()]
-    assert np.allclose(steps, [metrics.learning_rate(k, 5, 20) for k in range(20)])
+    assert np.allclose(steps[:6], [0, 0.2, 0.4, 0.6, 0.8, 1]) and np.allclose(steps[5:], (1 + np.cos(np.arange(15) / 15 * np.pi)) / 2)
 
 
 def test_projection_and_classifier(spark):
@@ -212,3 +213,50 @@ def test_token_rate_by_window(spark, tmp_path):
     q.stop()
     got = [(r["rows"], r["tokens"], r["failed"]) for r in spark.table("rates").orderBy("window").collect()]
     assert got == [(2, 3, 1), (1, 2, 0)]
+
+
+def test_stratified_groups_are_dealt_as_by_one_window(spark):
+    rows = [(f"g{k % 60}", str(k % 7 % 3)) for k in range(900)]
+    df = spark.createDataFrame(rows, "group string, label string").repartition(6)
+    got = {r["group"]: r["split"] for r in splits.stratified_group_holdout(df, 0.25, 3).distinct().collect()}
+    by = {}
+    for g, y in rows:
+        by.setdefault(g, []).append(y)
+    mains = {}
+    for g, ys in by.items():
+        mains.setdefault(max((ys.count(y), y) for y in set(ys))[1], []).append(g)
+    want = {}
+    for own in mains.values():
+        own.sort(key=lambda g: (-len(by[g]), hashlib.md5(f"3:{g}".encode()).hexdigest(), g))
+        for k, g in enumerate(own):
+            want[g] = "test" if (k % 4 if k // 4 % 2 == 0 else 3 - k % 4) == 0 else "train"
+    assert got == want
+
+
+def test_holdout_is_exact_at_every_count(spark):
+    df = spark.range(300).withColumnRenamed("id", "k").repartition(5)
+    for share in (0.001, 0.1, 0.5, 0.999):
+        got = splits.random_holdout(df, share, 1, "k")
+        first = sorted(range(300), key=lambda k: hashlib.md5(f"1:{k}".encode()).hexdigest())[: max(1, int(300 * share))]
+        assert {r["k"] for r in got.where("split = 'val'").collect()} == set(first)
+    assert splits.group_holdout(df.limit(0), 0.2, 1, "k").count() == 0
+
+
+def test_search_by_blocks_of_bytes(spark):
+    df = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k)]) for k in range(40)], "vec_id bigint, embedding array<double>").repartition(3)
+    pairs = lambda out: sorted((r["query"], r["neighbour"], round(r["similarity"], 9)) for r in out.collect())
+    whole = pairs(similarity.against(df, df.where("vec_id % 3 = 0")))
+    assert whole == pairs(similarity.against(df, df.where("vec_id % 3 = 0"), block=2, block_bytes=100)) and len(whole) == 14 * 39
+    assert similarity.against(df, df.limit(0)).count() == 0
+
+
+def test_random_features_do_not_depend_on_partitions(spark):
+    df = spark.range(2000).withColumnRenamed("id", "vec_id")
+    a, b = (np.array([r["embedding"] for r in classify.random_features(x, 3).orderBy("vec_id").collect()]) for x in (df.repartition(2), df.repartition(7)))
+    assert np.array_equal(a, b) and abs(a.mean()) < 0.05 and abs(a.std() - 1) < 0.05
+
+
+def test_lookup_default(spark):
+    df = spark.createDataFrame([("1",), ("2",), (None,)], "label string")
+    assert [r["x"] for r in labels.lookup(df, {"1": "one"}, "label", "x", "?").collect()] == ["one", "?", "?"]
+    assert [r["x"] for r in labels.lookup(df, {}, "label", "x").collect()] == ["", "", ""]
