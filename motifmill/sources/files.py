@@ -83,6 +83,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def resolve(candidates: Sequence[str | None], least_bytes: int = 1) -> str:
+    """The first of the given files that is there and has at least so many bytes (none is downloaded)."""
+    said = []
+    for path in filter(None, candidates):
+        size = os.path.getsize(path) if os.path.isfile(path) else None
+        if size is not None and size >= least_bytes:
+            return path
+        said.append(f"{path}: {'missing' if size is None else f'{size} bytes'}")
+    raise FileNotFoundError(f"no file of {least_bytes} bytes or more ({'; '.join(said) or 'none given'})")
+
+
 def read_vocabulary(path: str) -> dict[str, int]:
     return json.loads(Path(path).read_text())["token_to_id"]
 
@@ -96,7 +107,9 @@ def write_lines(df: DataFrame, path: str, col: str = "TEMPLATE") -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Fields as they are: outer white space is kept, which Spark's writer drops by default."""
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**kept).csv(path)
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> dict:
