@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,22 @@ def drop_rare(df: DataFrame, min_count: int, label: str = "label") -> DataFrame:
     return df.join(common, label, "left_semi").select(df.columns)
 
 
+def dropped_classes(before: DataFrame, after: DataFrame, label: str = "label") -> DataFrame:
+    """Classes that a filter left without rows, and how many they had."""
+    return class_counts(before, label).join(after.select(label).distinct(), label, "left_anti")
+
+
+def whitelist(df: DataFrame, wanted: Sequence[str], label: str = "label") -> DataFrame:
+    """Rows of the wanted classes."""
+    return df.where(F.col(label).isin(*wanted))
+
+
+def lookup(df: DataFrame, names: Mapping[str, str], col: str, out: str, default: str = "") -> DataFrame:
+    """Adds a display value of a column from a small map; others get the default."""
+    found = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.lit(None).cast("map<string,string>")
+    return df.withColumn(out, F.coalesce(F.try_element_at(found, F.col(col)), F.lit(default)))
+
+
 def draw(seed: int, *cols: Column | str) -> Column:
     """A hash that orders rows at random, the same for any partitioning and in other engines."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *cols).cast("binary"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,18 @@ def tokenizer_report(df: DataFrame, text: str, tokens: str, ok: str = "ok") -> D
     return main.crossJoin(F.broadcast(distinct))  # one row each
 
 
+def compare_tokenizers(reports: Mapping[str, tuple[DataFrame, int]], text: str, tokens: str, ok: str = "ok") -> DataFrame:
+    """A report of each tokenizer's rows, and the share of its vocabulary (of the given size) that they use."""
+    parts = []
+    for name, (rows, size) in reports.items():
+        use = F.col("unique_tokens") / F.lit(max(1, size))
+        parts.append(tokenizer_report(rows, text, tokens, ok).select(F.lit(name).alias("tokenizer"), "*", use.alias("vocabulary_use")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def dimension_variance(df: DataFrame, col: str = "embedding") -> DataFrame:
     """Population variance of each dimension."""
     each = df.select(F.posexplode(col).alias("dim", "x"))

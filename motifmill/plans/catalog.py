@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from motifmill.functions import tokenizer, vectors
 from motifmill.functions.ec import primary_ec, top_level
-from motifmill.operators import classify, clean, encode, encoder, labels, masking, metrics, similarity, splits, stats, vocab
+from motifmill.functions.vectors import cosine
+from motifmill.operators import classify, clean, encode, encoder, labels, masking, metrics, similarity, splits, stats, subword, vocab
+from motifmill.scratch import shared_folder, written
+from motifmill.sources import files
 from motifmill.sources.tables import TEMPLATE_COLUMNS, table, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,7 +275,10 @@ def group_leakage_check(spark, sf_dir):
     return splits.leaking_groups(splits.group_holdout(_labelled(spark, sf_dir), 0.2, 42)).select(F.col("group").alias("group_id"))
 
 
-@query()
+@query(f"""{_LABELLED}, c AS (SELECT grp, label, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT grp, sum(n) AS size, arg_max(label, (n, label)) AS main FROM c GROUP BY 1),
+  r AS (SELECT grp, row_number() OVER (PARTITION BY main ORDER BY size DESC, md5('42:' || grp), grp) - 1 AS rank FROM g),
+  d AS (SELECT grp, CASE WHEN (CASE WHEN (rank // 5) % 2 = 0 THEN rank % 5 ELSE 4 - rank % 5 END) = 0 THEN 'test' ELSE 'train' END AS split FROM r)
+SELECT smarts, label, l.grp AS "group", split FROM l JOIN d ON l.grp = d.grp""")
 def stratified_group_holdout(spark, sf_dir):
     return splits.stratified_group_holdout(_labelled(spark, sf_dir), 0.2, 42).select("smarts", "label", "group", "split")
 
@@ -494,8 +500,8 @@ def pca2(spark, sf_dir):
 
 @query()
 def tfidf_lr(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    rows = classify.label_index(tokenizer.with_tokens(rows, "smarts").where("ok"))
+    rows = written(tokenizer.with_tokens(_labelled(spark, sf_dir), "smarts").where("ok"), "labelled_tokens")
+    rows = classify.label_index(rows)
     rows = splits.group_holdout(classify.tfidf(rows, min_df=1), 0.2, 42)
     out = classify.linear_classifier(rows.where("split = 'train'"), rows.where("split = 'test'"), max_iter=30)
     return out.select("smarts", "label_id", "predicted")
@@ -508,3 +514,224 @@ def vector_classifier(spark, sf_dir):
     return out.select("vec_id", "label_id", "predicted", "fold")
 
 
+# --- labels, splits and lookups, continued -------------------------------------
+
+_EC3 = _LABELLED.replace(", 1, 1), '.') AS label FROM t", ", 1, 3), '.') AS label FROM t")
+
+
+def _labelled3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = templates(spark, sf_dir)
+    return labels.join_labels(clean.reaction_groups(raw), labels.label_map(raw, 3))
+
+
+@query(f"{_EC3} SELECT label, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1 HAVING count(*) < 10")
+def dropped_classes(spark, sf_dir):
+    rows = _labelled3(spark, sf_dir)
+    return labels.dropped_classes(rows, labels.drop_rare(rows, labels.min_class_count(0, None)))
+
+
+@query(f"{_LABELLED} SELECT smarts, label FROM l WHERE label IN ('1', '3', '6')")
+def label_whitelist(spark, sf_dir):
+    return labels.whitelist(_labelled(spark, sf_dir), ("1", "3", "6")).select("smarts", "label")
+
+
+@query(f"""{_LABELLED}, n AS (SELECT label FROM l GROUP BY 1 HAVING count(*) >= greatest(10, CAST(floor(500.0 / (SELECT count(*) FROM l) * 10) AS BIGINT) + 2)),
+  k AS (SELECT * FROM l WHERE label IN (SELECT label FROM n)), c AS (SELECT label, count(*) AS n FROM k GROUP BY 1), q AS (SELECT label, least(n, greatest(1, floor(500 * n / (SELECT count(*) FROM k)))) AS quota FROM c)
+SELECT smarts, k.label, grp AS group_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || smarts), smarts) AS rn FROM k) k JOIN q ON k.label = q.label
+WHERE rn <= quota OR 500 >= (SELECT count(*) FROM k)""")
+def label_loader(spark, sf_dir):
+    raw = templates(spark, sf_dir)
+    rows, _ = labels.load_labelled(raw, clean.reaction_groups(raw), n_samples=500)
+    return rows.select("smarts", "label", F.col("group").alias("group_id"))
+
+
+@query(f"""{_LABELLED}, b AS (SELECT smarts, label FROM l) SELECT smarts, label, smarts AS group_id FROM b""")
+def labelled_without_groups(spark, sf_dir):
+    raw = templates(spark, sf_dir)
+    validated = clean.reaction_groups(raw).drop("reaction_group")
+    return labels.join_labels(validated, labels.label_map(raw)).select("smarts", "label", F.col("group").alias("group_id"))
+
+
+_NAMES = {"1": "oxidoreductase", "2": "transferase", "3": "hydrolase", "4": "lyase", "5": "isomerase"}
+
+
+@query(f"{_LABELLED} SELECT smarts, label, CASE {' '.join(f"WHEN label = '{k}' THEN '{v}'" for k, v in _NAMES.items())} ELSE '' END AS display FROM l")
+def display_names(spark, sf_dir):
+    return labels.lookup(_labelled(spark, sf_dir), _NAMES, "label", "display").select("smarts", "label", "display")
+
+
+@query(f"{_LABELLED} SELECT smarts, CAST(dense_rank() OVER (ORDER BY label) - 1 AS DOUBLE) AS label_id FROM l")
+def label_encoding(spark, sf_dir):
+    return classify.label_index(written(_labelled(spark, sf_dir).select("smarts", "label"), "labels")).select("smarts", "label_id")
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT doc_id, CAST(quality AS BIGINT) AS quality, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm
+FROM labels JOIN v ON doc_id = vec_id WHERE quality IS NOT NULL""")
+def labelled_vectors(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").where("quality is not null")
+    rows = known.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    return rows.select("doc_id", F.col("quality").cast("bigint").alias("quality"), F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"{_LABELLED} SELECT smarts, CAST(CAST('0x' || substr(md5('42:' || grp), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM l")
+def group_folds(spark, sf_dir):
+    return splits.group_folds(_labelled(spark, sf_dir), 5, 42).select("smarts", "fold")
+
+
+@query("SELECT doc_id, md5('7:3:' || CAST(doc_id AS VARCHAR)) AS draw FROM documents ORDER BY draw, doc_id")
+def epoch_order(spark, sf_dir):
+    rows = splits.epoch_order(table(spark, sf_dir, "documents").select("doc_id"), 7, 3, "doc_id")
+    return rows.select("doc_id", labels.draw(7, F.lit("3"), F.col("doc_id")).alias("draw"))
+
+
+@query("""WITH h AS (SELECT CAST(l_linenumber AS BIGINT) AS epoch, round(avg(l_discount), 9) AS val_loss FROM lineitem GROUP BY 1) SELECT epoch, val_loss FROM h ORDER BY val_loss, epoch LIMIT 1""")
+def best_epoch(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    history = rows.groupBy(F.col("l_linenumber").cast("bigint").alias("epoch")).agg(F.round(F.avg(F.col("l_discount").cast("double")), 9).alias("val_loss"))
+    return metrics.best_epoch(history)
+
+
+# --- encoding and masks, continued ---------------------------------------------
+
+
+@query(f"{_FIRST}, i AS (SELECT smarts, list_transform(string_split(smarts, ''), lambda x: {_LOOKUP}) AS ids FROM f) SELECT smarts, array_to_string(list_resize(ids, 24, 0), ' ') AS input_ids, CAST(least(len(ids), 24) AS BIGINT) AS n_real FROM i")
+def encode_characters(spark, sf_dir):
+    characters = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    rows = encode.dataset(_first(spark, sf_dir).select("smarts"), _vocabulary(spark, sf_dir), max_length=24, tokenize=characters)
+    real = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return rows.select("smarts", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"), real.alias("n_real"))
+
+
+@query(f"{_TOKENS} SELECT smarts, array_to_string(list_transform(tokens, lambda x: {_LOOKUP}), ' ') AS ids FROM k WHERE ok AND len(tokens) > 0")
+def lookup_join(spark, sf_dir):
+    known = spark.createDataFrame(list(_vocabulary(spark, sf_dir).items()), "token string, id int")
+    rows = written(_tokens(spark, sf_dir).where("ok").select("smarts", "tokens"), "tokens")
+    return encode.lookup_join(rows, known, "smarts").select("smarts", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query(f"{_TOKENS} SELECT CAST(count(*) AS BIGINT) AS n FROM k")
+def dataset_length(spark, sf_dir):
+    return encode.dataset(_first(spark, sf_dir).select("smarts"), _vocabulary(spark, sf_dir), max_length=8).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Labels and guesses by a rule that both engines can follow.
+@query(f"""{_IDS}, x AS (SELECT unnest(ids) AS id, unnest(range(0, len(ids))) AS pos, len(ids) AS n FROM p),
+  y AS (SELECT id, list_transform([0, 1, 2, 3, 4], lambda j: (id + j * (1 + pos % 2) * (pos % 3)) % {len(VOCABULARY)}) AS guesses FROM x WHERE (pos + n) % 3 = 0)
+SELECT round(coalesce(avg(CASE WHEN guesses[2] = id THEN 1.0 ELSE 0.0 END), 0.0), 6) AS top1, round(coalesce(avg(CASE WHEN list_contains(list_slice(guesses, 2, 5), id) THEN 1.0 ELSE 0.0 END), 0.0), 6) AS top5,
+  round(coalesce(avg(CASE WHEN guesses[2] = id THEN 1.0 ELSE 0.0 END) FILTER (id >= 9), 0.0), 6) AS content_top1,
+  round(coalesce(avg(CASE WHEN list_contains(list_slice(guesses, 2, 5), id) THEN 1.0 ELSE 0.0 END) FILTER (id >= 9), 0.0), 6) AS content_top5 FROM y""")
+def masked_topk(spark, sf_dir):
+    rows = encode.dataset(_first(spark, sf_dir).select("smarts"), _vocabulary(spark, sf_dir), max_length=6, bos=True, eos=True)
+    n = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    guess = lambda x, i: F.array(*[(x + j * (1 + i % 2) * (i % 3)) % len(VOCABULARY) for j in range(1, 5)])
+    chosen = F.transform("input_ids", lambda x, i: F.when(((i + F.col("n")) % 3 == 0) & (i < F.col("n")), x).otherwise(F.lit(-100)))
+    rows = rows.withColumn("n", n).withColumn("labels", chosen).withColumn("guesses", F.transform("input_ids", guess))
+    return _rounded(metrics.masked_accuracy(rows, set(range(9, len(VOCABULARY)))))
+
+
+# --- vectors, continued --------------------------------------------------------
+
+
+@query(f"{_V}, q AS (SELECT e AS x FROM v WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(e, x), 6) AS similarity FROM v, q")
+def cosine_to_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    probe = F.array(*[F.lit(float(x)) for x in rows.where("vec_id = 0").first()["embedding"]])
+    return rows.select("vec_id", F.round(cosine(F.col("embedding"), probe), 6).alias("similarity"))
+
+
+# --- files: written to the shared folder and read back --------------------------
+
+
+@query(f"{_T} SELECT TEMPLATE_ID AS template_id, TEMPLATE AS smarts, VALID AS valid, REACTIONS AS reactions FROM t")
+def csv_files(spark, sf_dir):
+    folder = shared_folder(spark, "csv")
+    raw = templates(spark, sf_dir).drop("ord", "ECS")
+    paths = [f"{folder}/{k}" for k in range(2)]
+    for k, path in enumerate(paths):
+        files.write_csv(raw.where(F.pmod(F.crc32("TEMPLATE_ID"), F.lit(2)) == k), path)
+    back = files.read_raw(spark, paths)
+    return back.select(F.col("TEMPLATE_ID").alias("template_id"), F.col("TEMPLATE").alias("smarts"), F.col("VALID").alias("valid"), F.col("REACTIONS").alias("reactions"))
+
+
+@query(f"{_FIRST} SELECT smarts FROM f")
+def text_lines(spark, sf_dir):
+    path = shared_folder(spark, "lines")
+    files.write_lines(clean.clean(templates(spark, sf_dir)), path)
+    return files.read_lines(spark, path).select("smarts")
+
+
+@query(f"{_FIRST} SELECT smarts, CASE WHEN REACTIONS IS NOT NULL AND {_BLANK.format('REACTIONS')} <> '' THEN REACTIONS ELSE smarts END AS reaction_group FROM f")
+def group_file(spark, sf_dir):
+    path = shared_folder(spark, "groups")
+    files.write_csv(clean.reaction_groups(templates(spark, sf_dir)), path)
+    return files.read_groups(spark, path).select("smarts", "reaction_group")
+
+
+@query(f"{_TOKENS} SELECT smarts FROM k WHERE ok AND tokens <> [] AND list_contains(tokens, '>>')")
+def validated_file(spark, sf_dir):
+    path = shared_folder(spark, "validated_csv")
+    files.write_csv(clean.validate(_first(spark, sf_dir).select("smarts")), path)
+    return files.read_validated(spark, path).select("smarts")
+
+
+@query("SELECT 'v' || CAST(vec_id AS VARCHAR) AS smarts, CAST(len(embedding) AS BIGINT) AS dims, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings")
+def index_file(spark, sf_dir):
+    path = shared_folder(spark, "index")
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("smarts"), "embedding")
+    files.write_index(rows, path, "mean")
+    back = files.read_index(spark, path, "mean")
+    return back.select("smarts", F.size("embedding").cast("bigint").alias("dims"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+@query("SELECT 'v' || CAST(vec_id AS VARCHAR) AS smarts, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(CAST(embedding[len(embedding)] AS DOUBLE), 5) AS last FROM embeddings")
+def prediction_files(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("smarts"), "embedding")
+    path = shared_folder(spark, "predictions")
+    files.write_predictions(rows, f"{path}/json", "json")
+    back = spark.read.schema("smarts string, embedding array<float>").json(f"{path}/json")
+    return back.select("smarts", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"), F.round(F.element_at("embedding", -1).cast("double"), 5).alias("last"))
+
+
+@query(f"{_FIRST} SELECT smarts, smarts AS decoded FROM f")
+def subword_round_trip(spark, sf_dir):
+    import public_tokenizers
+
+    model = subword.Subwords(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = _first(spark, sf_dir).select("smarts").withColumn("ids", model.ids(F.col("smarts")))
+    return rows.select("smarts", model.text(F.col("ids")).alias("decoded"))
+
+
+_REPORT = """SELECT '{0}' AS tokenizer, CAST(count(*) AS BIGINT) AS n, round(avg(len(u)), 6) AS mean_tokens, round(avg(len(u) / length(smarts)), 6) AS fertility,
+  CAST((SELECT count(DISTINCT t) FROM (SELECT unnest(u) AS t FROM {1})) AS BIGINT) AS unique_tokens, round((SELECT count(DISTINCT t) FROM (SELECT unnest(u) AS t FROM {1})) * 1.0 / {2}, 6) AS vocabulary_use FROM {1}"""
+
+
+@query(f"""{_TOKENS}, a AS (SELECT smarts, tokens AS u FROM k WHERE ok), b AS (SELECT smarts, string_split(smarts, '') AS u FROM k)
+{_REPORT.format("grammar", "a", 1000)} UNION ALL {_REPORT.format("characters", "b", 256)}""")
+def tokenizer_comparison(spark, sf_dir):
+    rows = written(_tokens(spark, sf_dir).select("smarts", "tokens", "ok"), "tokens")
+    characters = rows.select("smarts", F.regexp_extract_all("smarts", F.lit("(?s)."), F.lit(0)).alias("tokens"), F.lit(True).alias("ok"))
+    out = stats.compare_tokenizers({"grammar": (rows.where("ok"), 1000), "characters": (characters, 256)}, "smarts", "tokens")
+    return _rounded(out.select("tokenizer", "n", "mean_tokens", "fertility", "unique_tokens", "vocabulary_use"))
+
+
+# --- reports without SQL ---------------------------------------------------------
+
+
+@query()
+def subword_comparison(spark, sf_dir):
+    """The report of the grammar beside that of a public subword model."""
+    import public_tokenizers
+
+    model = subword.Subwords(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = written(_tokens(spark, sf_dir).select("smarts", "tokens", "ok"), "tokens")
+    pieces = rows.select("smarts", model.pieces(F.col("smarts")).alias("tokens"), F.lit(True).alias("ok"))
+    return stats.compare_tokenizers({"grammar": (rows, rows.select(F.explode("tokens")).distinct().count()), "subword": (pieces, model.vocab_size)}, "smarts", "tokens")
+
+
+@query()
+def holdout_report(spark, sf_dir):
+    """Precision, recall and F1 of a classifier of vectors, fitted on the larger part of a random split."""
+    rows = splits.random_holdout(table(spark, sf_dir, "embeddings"), 0.2, 42, "vec_id")
+    rows = classify.vectors(rows.withColumn("label_id", F.col("label").cast("double")))
+    out = classify.linear_classifier(rows.where("split = 'train'"), rows.where("split = 'val'"), scale=True, max_iter=30)
+    return metrics.class_metrics(out.select(F.col("label_id").cast("int").cast("string").alias("label"), F.col("predicted").cast("int").cast("string").alias("predicted")))

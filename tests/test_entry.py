@@ -57,6 +57,15 @@ def test_whole_table_queries_equal_their_sql(spark, name):
     test_queries_equal_their_sql(spark, name)
 
 
+MORE = "stratified_group_holdout dropped_classes label_whitelist label_loader label_encoding labelled_vectors group_folds best_epoch encode_characters lookup_join masked_topk cosine_to_first csv_files text_lines group_file validated_file index_file prediction_files subword_round_trip tokenizer_comparison"
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
+@pytest.mark.parametrize("name", MORE.split())
+def test_further_queries_equal_their_sql(spark, name):
+    test_queries_equal_their_sql(spark, name)
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
 def test_whole_tables_enter(spark):
     import __spark_entry__ as entry
