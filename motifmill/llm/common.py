@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from motifmill.scratch import shared_folder
+
 #: Rows handed to Python in one Arrow batch; texts may be long, so it is small.
 BATCH_ROWS = 2000
 BATCH_BYTES = 32 << 20
@@ -41,14 +40,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-            if not local:
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="motifmill-")
-        self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base = spark, shared_folder(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -70,6 +62,11 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: never broadcast, so that the plan is alike at all sizes."""
+    return df.hint("merge")
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose texts have ``most`` bytes together, or are one text."""
     import pyarrow.compute as pc

@@ -149,7 +149,7 @@ class Block:
 
 def compare_blocks(blocks: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links (a, b) of components within blocks; a block is (space, p, q), a row asks or is a member."""
-    rows = blocks.join(texts.select("node", "t"), "node").select("space", "p", "q", "asks", "comp", "t")
+    rows = blocks.join(common.shuffled(texts.select("node", "t")), "node").select("space", "p", "q", "asks", "comp", "t")
     rows = rows.repartition("space", "p", "q").sortWithinPartitions("space", "p", "q", "asks")  # members first
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     # Texts of the classes that share a band with another.
     wanted = classes.select("k1", "k2", "node", "n").join(members.select("node").distinct(), "node")
     once = base.groupBy("k1", "k2").agg(F.first("t").alias("t"))
-    texts = scratch.write(once.join(scratch.write(wanted, "wanted"), ["k1", "k2"]).select("node", "n", "t"), "texts")
+    texts = scratch.write(once.join(common.shuffled(scratch.write(wanted, "wanted")), ["k1", "k2"]).select("node", "n", "t"), "texts")
     scratch.drop("wanted")
 
     # Round one: each class and the leader it shares most bands with.  A bucket is led by the
@@ -323,8 +323,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = near_duplicates(docs).where("n_shingles > 0").groupBy("k1", "k2").agg(F.max("leads").alias("leads"), F.count(F.lit(1)).alias("n")).where("not leads or n > 1")
     marks = scratch.write(marks.select("k1", "k2", "leads"), "marks")
     keyed = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(7))})
-    alone = keyed.join(marks.select("k1", "k2"), ["k1", "k2"], "left_anti").select(columns)
-    again = keyed.join(marks.where("leads").select("k1", "k2"), ["k1", "k2"], "left_semi")
+    alone = keyed.join(common.shuffled(marks.select("k1", "k2")), ["k1", "k2"], "left_anti").select(columns)
+    again = keyed.join(common.shuffled(marks.where("leads").select("k1", "k2")), ["k1", "k2"], "left_semi")
     again = again.groupBy("k1", "k2").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
     return alone.unionByName(again)
 

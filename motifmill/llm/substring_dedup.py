@@ -173,9 +173,9 @@ def repeated_starts(docs: DataFrame, min_words: int, scratch: common.Scratch, id
         found = level.join(again, "g").groupBy("k1", "k2").agg(F.collect_set("p").alias(f"at{k}"))
         if k == 0:  # of equal texts only the first goes on, of equal rows one
             found = found.join(copies, ["k1", "k2"], "left").where("leads is null or leads").drop("leads")
-            candidates = candidates.join(scratch.write(found, "found0"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+            candidates = candidates.join(common.shuffled(scratch.write(found, "found0")), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
         else:
-            candidates = candidates.join(found, ["k1", "k2"])
+            candidates = candidates.join(common.shuffled(found), ["k1", "k2"])
         candidates = scratch.write(candidates, f"candidates{k}")
         scratch.drop(f"level{k}", f"repeated{k}", f"found{k}", f"candidates{k - 1}")
         if candidates.isEmpty():
@@ -214,7 +214,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     kept = [id_col, *keep]
     keys = _keys(id_col, text_col)
     left = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.col(f"`{text_col}`").cast("binary").alias("t"), keys["k1"].alias("k1"), keys["k2"].alias("k2"))
-    joined = left.join(starts, ["k1", "k2"], "left")
+    joined = left.join(common.shuffled(starts), ["k1", "k2"], "left")
     schema = "n_words bigint, n_removed bigint, kept_text string"
     out = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), schema])
     width = len(kept)
