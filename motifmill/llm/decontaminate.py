@@ -21,6 +21,8 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,8 +68,7 @@ class Machine:
         """(last word, words, items) of every occurrence of a window."""
         if not len(self.trie):
             return
-        number = self.numbers.get
-        for last, (n, owners) in self.trie.iter(tuple([number(w, 0) for w in words])):
+        for last, (n, owners) in self.trie.iter(tuple(map(self.numbers.get, words, repeat(0)))):
             yield last, n, owners
 
 
