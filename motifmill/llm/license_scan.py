@@ -14,9 +14,13 @@ shingle; only their shingles, written to scratch, are windowed.  Templates are p
 of at most ``MAX_TEMPLATES``; ids and counts alone are joined back to all documents.  No
 Python runs on the executors.
 
-Defined cases: null and empty texts, and texts under five words, match nothing; templates
-under five words are refused; equal rows get equal results; an empty table gives an empty
-result; extra columns are ignored.
+Templates are parameters, one branch of the plan for each distinct number of their shingles:
+sets of some dozens of templates are meant, not whole collections of license texts.
+
+Defined cases: null and empty texts, and texts under five words, match nothing; very long
+texts are windowed whole; of equally good windows the first counts; templates under five
+words are refused; equal rows get equal results; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,22 +101,25 @@ def window_sizes(m: int) -> tuple[int, int]:
     return m + (m + 1) // 2, (m + 1) // 2
 
 
-def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, common.Scratch]:
-    """Row keys (k1, k2) with each matching template: best containment and the words of the window."""
+def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", screen: bool = True) -> tuple[DataFrame, common.Scratch]:
+    """Row keys (k1, k2) with each matching template: best containment and the words of the window.
+
+    Without ``screen`` all windows of all texts are retrieved by their MinHash values alone.
+    """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "license_scan")
     known = template_table(spark, templates)
     every = _longs(sorted({s for r in known for s in r["s"]}))
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.where(t.isNotNull()).select(F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(7)).alias("k2"), shingles(t).alias("s"))
-    held = scratch.write(rows.where(F.arrays_overlap("s", every)), "held").dropDuplicates(["k1", "k2"])
+    held = scratch.write(rows.where(F.arrays_overlap("s", every) if screen else F.size("s") > 0), "held").dropDuplicates(["k1", "k2"])
     found = None
     for m in sorted({len(r["s"]) for r in known}):
         own = [r for r in known if len(r["s"]) == m]
         size, stride = window_sizes(m)
         starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(stride))
         windows = F.transform(starts, lambda p: F.struct(p.alias("first"), F.array_distinct(F.slice(F.col("s"), p + 1, size)).alias("w")))
-        hit = F.filter(windows, lambda x: F.arrays_overlap(x["w"], _longs(sorted({s for r in own for s in r["s"]}))))
+        hit = F.filter(windows, lambda x: F.arrays_overlap(x["w"], _longs(sorted({s for r in own for s in r["s"]})))) if screen else windows
         banded = held.select("k1", "k2", F.explode(hit).alias("x")).select("k1", "k2", "x.first", "x.w", F.posexplode(min_hashes(F.col("x.w"))).alias("band", "value"))
         struct = [F.struct(F.lit(r["name"]).alias("name"), _longs(r["s"]).alias("ts"), _longs(r["bands"]).alias("values")) for r in own]
         known_bands = spark.range(1).select(F.inline(F.array(*struct))).select("name", "ts", F.posexplode("values").alias("band", "value"))
@@ -126,9 +133,9 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     return best.select("k1", "k2", "name", "x.containment", (-F.col("x.f")).alias("first_word"), "x.past_word"), scratch
 
 
-def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", screen: bool = True) -> DataFrame:
     """Each row's matching templates: their sorted names, and a record of each."""
-    matches, scratch = license_matches(docs, templates, percent, id_col, text_col)
+    matches, scratch = license_matches(docs, templates, percent, id_col, text_col, screen)
     record = F.struct("name", "containment", "first_word", "past_word")
     by_row = scratch.write(matches.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(record)).alias("matches")), "matches")
     scratch.drop("held")

@@ -14,7 +14,9 @@ is a map without a shuffle over all rows and whole texts, with a broadcast of fi
 Defined cases: null and empty texts get the score of a text without words; rows
 without a label or an id are scored and never trained on; without both classes in
 the sample every score is the smoothed share of good labels; equal texts get equal
-scores; extra columns are ignored or, with ``keep``, passed through.
+scores; of rows that share a labelled id the least text is trained on, all are scored; very
+long texts are read whole; an empty table gives an empty result; extra columns are ignored
+or, with ``keep``, passed through.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ Scale: a map without a shuffle; every task counts the distinct pre-tokens of one
 batch and keeps counts of frequent ones in a bounded table.
 
 Defined cases: null, empty and blank texts have no pre-tokens and no tokens; a word of
-any length is one pre-token; repeated rows give repeated results; extra columns are ignored.
+any length is one pre-token; of equally good segmentations the one whose last piece is the
+shortest counts; an empty table gives an empty result; repeated rows give repeated results;
+extra columns are ignored.
 """
 
 from __future__ import annotations

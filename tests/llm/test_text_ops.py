@@ -114,6 +114,21 @@ def test_trie_scores_shared_prefixes_once_and_long_words():
     assert again[b"aaab"] == 4 and again[b"aab"] == 3
 
 
+def test_token_counts_are_near_those_of_the_model():
+    """The scores by rank stand in for trained ones: whole texts get nearly the model's number of tokens."""
+    public = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = public.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    counter = token_counts.TrieCounter(token_counts.vocabulary(path))
+    rng = random.Random(4)
+    words = [bytes(rng.choices(b"etaoinshrdlu", k=rng.randint(2, 9))).decode() for _ in range(3000)]
+    texts = [" ".join(rng.choices(WORDS + words, k=200)) for _ in range(20)]
+    mine = sum(counter.count(set(t.encode().split()))[w] for t in texts for w in t.encode().split())
+    assert abs(mine / sum(len(model.encode(t)) for t in texts) - 1) < 0.05
+
+
 # --- quality classifier -------------------------------------------------------
 
 
