@@ -94,14 +94,14 @@ def with_tokens(df: DataFrame, col: str, out: str = "tokens", ok: str = "ok") ->
 
     The column expression does nearly all rows.  Only texts it cannot cover that hold
     more brackets than its depth reach the scanner; all others go there as nulls.  The
-    expression is run once a row: to the optimiser it is random, so that it is not copied
+    expression is run once a row: it names the partition, so that the optimiser does not copy it
     into filters on the tokens and these do not sink below what made the rows distinct.
     """
     text = F.col(col)
-    once = F.when(F.rand(0) >= 0, tokens(text))
-    native = df.withColumn("_native", once).withColumn("_full", F.coalesce(covers(text, F.col("_native")), F.lit(False)))
+    once = lambda c: F.when(F.spark_partition_id() >= 0, c)
+    native = df.withColumn("_native", once(tokens(text))).withColumn("_full", F.coalesce(covers(text, F.col("_native")), F.lit(False)))
     deep = ~F.col("_full") & (F.length(text) - F.length(F.replace(text, F.lit("["))) > DEPTH)
     scanned = native.withColumn("_scanned", _scan_deep(F.when(deep, text)))
     empty = F.array().cast("array<string>")
     parts = F.when(F.col("_full"), F.col("_native")).otherwise(F.coalesce("_scanned", empty))
-    return scanned.select(*df.columns, parts.alias(out), (F.col("_full") | F.col("_scanned").isNotNull()).alias(ok))
+    return scanned.select(*df.columns, once(parts).alias(out), (F.col("_full") | F.col("_scanned").isNotNull()).alias(ok))
