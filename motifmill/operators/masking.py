@@ -35,10 +35,12 @@ class SpanMasker:
 
     def __post_init__(self) -> None:
         known = self.token_to_id
-        self.mask_id = known.get(MASK, len(known))
-        self.extended_size = len(known) + (MASK not in known)
-        self.random_ids = np.array([i for t, i in known.items() if t not in SPECIALS and t != MASK], np.int64)
-        self.content_ids = frozenset(i for t, i in known.items() if t not in SPECIALS and t != MASK and t not in STRUCTURAL)
+        kinds = {t: "mask" if t == MASK else "special" if t in SPECIALS else "structural" if t in STRUCTURAL else "content" for t in known}
+        of = lambda *wanted: [i for t, i in known.items() if kinds[t] in wanted]
+        self.content_ids = frozenset(of("content"))
+        self.random_ids = np.array(of("content", "structural"), np.int64)
+        own = of("mask")
+        self.mask_id, self.extended_size = (own[0], len(known)) if own else (len(known), len(known) + 1)
 
     def budget(self, real: int) -> int:
         return max(1, round(self.share * real))

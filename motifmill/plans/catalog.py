@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from motifmill.functions import tokenizer, vectors
 from motifmill.functions.ec import primary_ec, top_level
 from motifmill.functions.vectors import cosine
-from motifmill.operators import classify, clean, encode, encoder, labels, masking, metrics, similarity, splits, stats, subword, vocab
+from motifmill.operators import classify, clean, encode, encoder, labels, masking, metrics, similarity, splits, stats, subword, train, vocab
 from motifmill.scratch import shared_folder, written
 from motifmill.sources import files
 from motifmill.sources.tables import TEMPLATE_COLUMNS, table, templates
@@ -728,6 +728,17 @@ def subword_comparison(spark, sf_dir):
     return stats.compare_tokenizers({"grammar": (rows, rows.select(F.explode("tokens")).distinct().count()), "subword": (pieces, model.vocab_size)}, "smarts", "tokens")
 
 
+@query()
+def masked_evaluation(spark, sf_dir):
+    """Hits of a small model, trained on a bounded sample, at the masked places of all templates."""
+    known = _vocabulary(spark, sf_dir)
+    masker = masking.SpanMasker(known)
+    rows = written(encode.dataset(_first(spark, sf_dir).select("smarts"), known, max_length=16).where("ok").drop("ok"), "encoded")
+    config = encoder.EncoderConfig(masker.extended_size, d_model=32, nhead=4, num_encoder_layers=2, dim_feedforward=64, max_seq_len=16)
+    weights = train.train(rows, train.Trainer(config, masker, epochs=3), max_rows=1000)
+    return metrics.masked_accuracy(train.guesses(masking.span_mask(rows, masker, "smarts", epoch=0), config, weights), masker.content_ids)
+
+
 @query()
 def holdout_report(spark, sf_dir):
     """Precision, recall and F1 of a classifier of vectors, fitted on the larger part of a random split."""

@@ -1,4 +1,4 @@
-"""Schemas of the tables that stages exchange."""
+"""Schemas of the text files that sources read."""
 
 from pyspark.sql import types as T
 
@@ -7,30 +7,6 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _fields(**kinds: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
-
-
-_TEXT, _INT, _LONG, _DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
-_LONGS = T.ArrayType(_LONG)
-
 RAW = _strings("TEMPLATE_ID", "TEMPLATE", "VALID", "REACTIONS")
 RAW_LABELS = _strings("TEMPLATE", "ECS", "VALID")
 GROUPS = _strings("smarts", "reaction_group")
-VALIDATED = _fields(
-    valid=T.BooleanType(),
-    reactant_smarts=_TEXT,
-    product_smarts=_TEXT,
-    n_reactant_templates=_INT,
-    n_product_templates=_INT,
-    n_atoms=_INT,
-    n_bonds=_INT,
-    smarts=_TEXT,
-    reaction_group=_TEXT,
-)
-LABELLED = _strings("smarts", "label", "group")
-VOCABULARY = _fields(token=_TEXT, id=_INT, freq=_LONG)
-ENCODED = _fields(input_ids=_LONGS, attention_mask=_LONGS)
-MASKED = _fields(input_ids=_LONGS, attention_mask=_LONGS, labels=_LONGS)
-PREDICTION = _fields(smarts=_TEXT, embedding=T.ArrayType(T.FloatType()))
-HISTORY = _fields(epoch=_INT, train_loss=_DOUBLE, val_loss=_DOUBLE, top1=_DOUBLE, top5=_DOUBLE, content_top1=_DOUBLE, content_top5=_DOUBLE, elapsed=_DOUBLE)

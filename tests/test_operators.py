@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifmill import cli
-from motifmill.operators import classify, encoder, labels, masking, metrics, similarity, splits, stats, subword
+from motifmill.operators import classify, encoder, labels, masking, metrics, similarity, splits, stats, subword, train
 from motifmill.streaming import templates as streams
 
 KNOWN = {t: k for k, t in enumerate(["[PAD]", "[UNK]", "[BOS]", "[EOS]", "C", "N", "O", ">>", "(", ")", "=", "."])}
@@ -260,3 +260,46 @@ def test_lookup_default(spark):
     df = spark.createDataFrame([("1",), ("2",), (None,)], "label string")
     assert [r["x"] for r in labels.lookup(df, {"1": "one"}, "label", "x", "?").collect()] == ["one", "?", "?"]
     assert [r["x"] for r in labels.lookup(df, {}, "label", "x").collect()] == ["", "", ""]
+
+
+def _tiny():
+    masker = masking.SpanMasker(KNOWN)
+    config = encoder.EncoderConfig(masker.extended_size, d_model=8, nhead=2, num_encoder_layers=2, dim_feedforward=12, max_seq_len=8)
+    return masker, config, {k: v.astype(np.float64) for k, v in encoder.random_weights(config, 3).items()}
+
+
+def test_training_gradients_equal_differences():
+    _, config, w = _tiny()
+    rng = np.random.default_rng(0)
+    ids, mask = rng.integers(1, 13, (3, 6)), np.ones((3, 6), np.int64)
+    mask[1, 4:], ids[1, 4:] = 0, 0
+    labels = np.where((rng.random((3, 6)) < 0.4) & (mask == 1), rng.integers(4, 12, (3, 6)), masking.IGNORE)
+    labels[0, 0] = 5
+    loss, scores, g = train.loss_and_gradients(config, w, ids, mask, labels)
+    hidden = encoder.forward(config, w, ids, mask)[labels != masking.IGNORE]
+    assert np.allclose(scores, encoder.head(w, hidden), atol=1e-4) and set(g) == set(w)
+    for name in w:
+        at = tuple(rng.integers(0, n) for n in w[name].shape) if name != "token" else (int(ids[0, 0]), 1)
+        moved = [dict(w, **{name: w[name].copy()}) for _ in range(2)]
+        for m, step in zip(moved, (1e-5, -1e-5)):
+            m[name][at] += step
+        plus, minus = (train.loss_and_gradients(config, m, ids, mask, labels)[0] for m in moved)
+        assert abs((plus - minus) / 2e-5 - g[name][at]) < 1e-5, name
+
+
+def test_trainer_learns_and_model_is_evaluated(spark):
+    masker, config, w = _tiny()
+    rows = [(f"{k}", (ids := [KNOWN[c] for c in ["C", "N", ">>", "O"][: 3 + k % 2]]) + [0] * (8 - len(ids)), [1] * len(ids) + [0] * (8 - len(ids))) for k in range(120)]
+    runs = []
+    for _ in range(2):
+        trainer = train.Trainer(config, masker, epochs=8, batch=16, rate=5e-3)
+        runs.append((trainer.fit(rows), trainer.history))
+    (weights, history), (again, _) = runs
+    assert all(np.array_equal(weights[k], again[k]) for k in weights)
+    assert history[-1]["val_loss"] < 0.5 * history[0]["train_loss"] and history[-1]["top1"] > 0.7
+    df = spark.createDataFrame(rows, "smarts string, input_ids array<bigint>, attention_mask array<bigint>").repartition(3)
+    out = metrics.masked_accuracy(train.guesses(masking.span_mask(df, masker, "smarts"), config, weights), masker.content_ids).first()
+    assert out["top1"] > 0.7 and out["top5"] >= out["top1"]
+    assert train.train(df, train.Trainer(config, masker, epochs=1), max_rows=30).keys() == weights.keys()
+    assert train.Trainer(config, masker, epochs=1).fit([])["token"].shape == w["token"].shape
+    assert np.allclose(train.rate_factors(20, 5), [r["factor"] for r in metrics.schedule(spark, 20, 5).orderBy("step").collect()])
