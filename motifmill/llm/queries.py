@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motifmill.llm import decontaminate, html_text, license_scan, near_dedup, packing, quality, quality_rules, substring_dedup, token_counts, token_files
+from motifmill.llm import decontaminate, html_text, license_scan, merkle, near_dedup, packing, quality, quality_rules, substring_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 #: Queries without SQL here (models, packing, HTML, tokenizers) are tested against brute force.
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op4_near_dedup": near_dedup.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op10_license_scan": license_scan.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
