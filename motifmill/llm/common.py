@@ -146,3 +146,10 @@ class WordHashes:
 def crc_text(col) -> "F.Column":
     """crc32 of an id written as text."""
     return F.crc32(col.cast("string").cast("binary"))
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text in DuckDB, which has no such function."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {bits}), 4294967295)"

@@ -191,11 +191,11 @@ def _sql(depth: int = 8, high: int = 4) -> str:
     """The same in SQL: ``depth`` levels of 16 for a source, ``high`` for the subroots."""
     field = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
     row = "sha256(" + " || ".join(field.format(c) for c in COLUMNS[:-1]) + " || {0})"
-    crc = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))"
+    crc = common.crc_sql("CAST(doc_id AS VARCHAR)")
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     parts = [
         f"""d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {row.format(field.format('text'))} AS h,
-  CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {row.format(field.format(low))} ELSE {row.format(field.format('text'))} END AS a FROM documents)""",
+  CASE WHEN {crc} % 5 = 0 THEN {row.format(field.format(low))} ELSE {row.format(field.format('text'))} END AS a FROM documents)""",
         "l0 AS (SELECT doc_id, g, h AS leaf, a AS f, h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h, a) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, '' AS p FROM d)",
     ]
 

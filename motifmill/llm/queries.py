@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motifmill.llm import decontaminate, html_text, license_scan, merkle, near_dedup, packing, quality, quality_rules, substring_dedup, token_counts, token_files
+from motifmill.llm import conversation_repair, decontaminate, exact_topk, html_text, license_scan, merkle, near_dedup, packing, quality, quality_rules, substring_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_exact_topk": exact_topk.op13_exact_topk,
 }
 
 #: Queries without SQL here (models, packing, HTML, tokenizers) are tested against brute force.
@@ -24,5 +26,7 @@ ORACLE_SQL = {
     "op4_near_dedup": near_dedup.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op10_license_scan": license_scan.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
     "op12_merkle_manifest": merkle.SQL,
+    "op13_exact_topk": exact_topk.SQL,
 }
