@@ -26,9 +26,10 @@ texts of any length; an empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterator, Sequence
+from functools import cache, lru_cache
 from hashlib import sha256
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +55,23 @@ WHITE = " \t\n\x0b\f\r"
 Layer = list[tuple[int, int, int, int]]
 
 
+class Turn(NamedTuple):
+    """What the edits of a turn depend on: its role's first letter (if it is one of s, u, a), whether it must be deleted, whether it is truncated."""
+
+    initial: str
+    gone: bool
+    truncated: bool
+
+
+def turn(role: str, gone: bool, truncated: bool) -> Turn:
+    initial = role[:1]
+    return Turn(initial if initial in ("s", "u", "a") and not gone else "", gone, truncated and not gone)
+
+
 @cache
-def turn_layer(initial: str, gone: bool, truncated: bool) -> Layer:
-    """(state before, state after, cost, code) of the edits of a turn; ``gone`` turns must be deleted."""
+def turn_layer(t: Turn) -> Layer:
+    """(state before, state after, cost, code) of the edits of a turn."""
+    initial, gone, truncated = t
     out = []
     for before in range(4):
         for code, text in enumerate(CODES):
@@ -81,6 +96,23 @@ def turn_layer(initial: str, gone: bool, truncated: bool) -> Layer:
     return out
 
 
+def _step(layer: Layer, costs: Sequence[int | None], ranks: Sequence[int]) -> tuple[list, list, list]:
+    """Costs and ranks of the states after a layer, and (code, state before) of the best way to each."""
+    best: list[tuple | None] = [None] * 4
+    for before, after, cost, code in layer:
+        if (so_far := costs[before]) is not None:
+            way = (so_far + cost, ranks[before], code, before)
+            if best[after] is None or way < best[after]:
+                best[after] = way
+    order = {x: k for k, x in enumerate(sorted({b[1:3] for b in best if b}))}
+    return [b[0] if b else None for b in best], [order[b[1:3]] if b else 0 for b in best], [b[2:] if b else None for b in best]
+
+
+@lru_cache(maxsize=1 << 16)
+def _turn_step(t: Turn, costs: tuple, ranks: tuple) -> tuple[list, list, list]:
+    return _step(turn_layer(t), costs, ranks)
+
+
 class Forward:
     """The best way to each state, layer by layer: cost, rank of the audit string, and where it came from."""
 
@@ -89,17 +121,17 @@ class Forward:
         self.rank, self.trace = [0] * 4, []
 
     def add(self, layer: Layer, trace: bool = True) -> None:
-        best: list[tuple | None] = [None] * 4
-        for before, after, cost, code in layer:
-            if (so_far := self.cost[before]) is not None:
-                way = (so_far + cost, self.rank[before], code, before)
-                if best[after] is None or way < best[after]:
-                    best[after] = way
-        ranks = {x: k for k, x in enumerate(sorted({b[1:3] for b in best if b}))}
-        self.cost = [b[0] if b else None for b in best]
-        self.rank = [ranks[b[1:3]] if b else 0 for b in best]
+        self._take(_step(layer, self.cost, self.rank), 0, trace)
+
+    def add_turn(self, t: Turn, trace: bool = True) -> None:
+        """The same for a turn: costs count from the least, so that the same few steps come again and again."""
+        least = min(c for c in self.cost if c is not None)
+        self._take(_turn_step(t, tuple(None if c is None else c - least for c in self.cost), tuple(self.rank)), least, trace)
+
+    def _take(self, step: tuple[list, list, list], more: int, trace: bool) -> None:
+        self.cost, self.rank = [None if c is None else c + more for c in step[0]], step[1]
         if trace:
-            self.trace.append([b[2:] if b else None for b in best])
+            self.trace.append(step[2])
 
     def back(self, state: int) -> list[tuple[int, int, int]]:
         """(state before, code, state after) of every layer on the best way to a state."""
@@ -111,13 +143,13 @@ class Forward:
         return out[::-1]
 
 
-def segment_layer(layers: list[Layer]) -> Layer:
-    """Many layers as one: for each pair of states the least cost and the rank of its audit string."""
+def segment_layer(turns: list[Turn]) -> Layer:
+    """The layers of many turns as one: for each pair of states the least cost and the rank of its audit string."""
     out = []
     for before in range(4):
         way = Forward(before)
-        for layer in layers:
-            way.add(layer, trace=False)
+        for t in turns:
+            way.add_turn(t, trace=False)
         out += [(before, after, way.cost[after], way.rank[after]) for after in range(4) if way.cost[after] is not None]
     return out
 
@@ -135,7 +167,7 @@ def edited(turns: list[tuple[str, str, bool, bool]], before: int, after: int) ->
     """Audit string and repaired lines of turns (role, text, gone, truncated) between two states."""
     way = Forward(before)
     for role, _, gone, truncated in turns:
-        way.add(turn_layer(role[:1], gone, truncated))
+        way.add_turn(turn(role, gone, truncated))
     audit, lines = [], []
     for (role, text, *_), (state, code, _) in zip(turns, way.back(after), strict=True):
         audit.append(CODES[code])
@@ -212,7 +244,7 @@ class _Segment:
         self.size += len(text)
 
     def row(self, at: int) -> dict:
-        layer = segment_layer([turn_layer(role[:1], gone, truncated) for role, _, gone, truncated in self.turns])
+        layer = segment_layer([turn(role, gone, truncated) for role, _, gone, truncated in self.turns])
         turns = [dict(zip(("role", "text", "gone", "truncated"), t, strict=True)) for t in self.turns]
         return {"c": self.c, "at": at, "turns": turns, "layer": [list(e) for e in layer]} | dict(zip(_COUNTS, self.counts, strict=True)) | {"head": self.head, "tail": self.tail, "low": self.low, "high": self.high, "distinct": self.distinct}
 
@@ -252,10 +284,11 @@ def segments(turns: DataFrame) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows one at a time, so that one batch of long texts is the most that is held."""
+    """Rows one by one; of a large batch only one is made a Python object at a time."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
+        some = batch.num_rows if batch.nbytes < SEGMENT_BYTES else 1
+        for k in range(0, batch.num_rows, some):
+            yield from batch.slice(k, some).to_pylist()
 
 
 def _choices(parts: DataFrame) -> DataFrame:
@@ -293,11 +326,17 @@ def _choices(parts: DataFrame) -> DataFrame:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done, size = [], 0
     for r in _runs(batches):
         audit, lines = edited([(t["role"], t["text"], t["gone"], t["truncated"]) for t in r["turns"]], r["before"], r["after"])
         lines += end_lines(r["inserts"])
         out = {"audit": audit + "I" * r["inserts"], "lines": len(lines), "piece": "\n".join(lines)}
-        yield pa.RecordBatch.from_pylist([{k: r[k] for k in _PIECE.names if k in r} | out], schema=_PIECE)
+        done.append({k: r[k] for k in _PIECE.names if k in r} | out)
+        size += len(out["piece"])
+        if len(done) >= 256 or size >= SEGMENT_BYTES:
+            yield from _emit(done, _PIECE)
+            done, size = [], 0
+    yield from _emit(done, _PIECE)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +395,7 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     edges = []
     for initial in "sua-":
-        for before, after, cost, code in turn_layer(initial, False, False):
+        for before, after, cost, code in turn_layer(Turn(initial, False, False)):
             text, state, lines = CODES[code], before, []
             for _ in text[:-1]:
                 state = NEXT[state]
