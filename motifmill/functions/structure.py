@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from motifmill.functions.fold import let
+
 ATOM = r"^(?:\[.*|Cl|Br|[BCNOPSFIbcnopsAa*])$"
 RING = r"^(?:%[0-9]{2}|[0-9])$"
 
@@ -36,11 +38,6 @@ def _templates(parts: Column) -> Column:
     return F.aggregate(parts, start, step, lambda s: F.when(s["bad"] | (s["depth"] != 0), F.lit(-1)).otherwise(s["dots"] + 1))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluates a value once for all its uses in an expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _side(parts: Column) -> Column:
     atoms, dots = _count(parts, lambda x: x.rlike(ATOM)), _count(parts, lambda x: x == ".")
 
@@ -54,12 +51,12 @@ def _side(parts: Column) -> Column:
             odd.alias("odd"),
         )
 
-    return _let(F.filter(parts, lambda x: x.rlike(RING)), fields)
+    return let(F.filter(parts, lambda x: x.rlike(RING)), fields)
 
 
 def structure(tokens: Column, ok: Column) -> Column:
     """A struct of the validation fields; all but ``valid`` are null if it is false."""
-    return _let(F.struct(tokens.alias("t"), ok.alias("ok")), lambda x: _structure(x["t"], x["ok"]))
+    return let(F.struct(tokens.alias("t"), ok.alias("ok")), lambda x: _structure(x["t"], x["ok"]))
 
 
 def _structure(tokens: Column, ok: Column) -> Column:
@@ -87,4 +84,4 @@ def _structure(tokens: Column, ok: Column) -> Column:
             only(a["bonds"] + b["bonds"]).alias("n_bonds"),
         )
 
-    return _let(F.transform(F.array(left, right), _side), fields)
+    return let(F.transform(F.array(left, right), _side), fields)

@@ -1,14 +1,17 @@
-"""Grammar tokenizer as a column expression, with an exact scanner for deep nesting."""
+"""Grammar tokenizer as a column expression, brackets matched at any depth."""
 
 from __future__ import annotations
 
 import re
-import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from motifmill.functions.fold import text_fold
 
 DEPTH = 8
+#: Characters of a text that the nested pattern takes at most.
+LONG = 1000
 
 # Fixed values of the grammar outside brackets; the first alternative that matches wins.
 PLAIN = (
@@ -78,30 +81,54 @@ def scan(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _scan_deep(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> list[str] | None:
-        try:
-            return None if text is None else scan(text)
-        except ValueError:
-            return None
+# Stand for brackets inside brackets while a string is cut; the mark itself is escaped alike.
+MARK = "\ue000"
+_INNER = ((MARK, MARK + "0"), ("[", MARK + "1"), ("]", MARK + "2"))
+FLAT = pattern(1)
+
+
+def _flat(text: Column) -> Column:
+    """The string with the brackets inside brackets marked; null if they do not match."""
+    escaped = F.replace(text, F.lit(MARK), F.lit(_INNER[0][1]))
+    pieces = F.regexp_extract_all(escaped, F.lit(r"[\[\]]|[^\[\]]+"), F.lit(0))
+
+    def step(depth: Column, piece: Column) -> tuple[Column, Column]:
+        # A depth below 0 stays there: the string closes what was never open.
+        after = F.when(depth < 0, depth).when(piece == "[", depth + 1).when(piece == "]", depth - 1).otherwise(depth)
+        inner = F.when((piece == "[") & (depth > 0), _INNER[1][1]).when((piece == "]") & (depth > 1), _INNER[2][1]).otherwise(piece)
+        return after, inner
+
+    depth, flat = text_fold(pieces, step)
+    return F.when(depth == 0, flat)
+
+
+def deep_tokens(text: Column) -> Column:
+    """The tokens at any nesting depth: brackets are matched by their running depth."""
+
+    def unmarked(token: Column) -> Column:
+        for plain, marked in reversed(_INNER):
+            token = F.replace(token, F.lit(marked), F.lit(plain))
+        return token
 
-    return texts.map(one)
+    return F.transform(F.regexp_extract_all(_flat(text), F.lit(FLAT), F.lit(0)), unmarked)
 
 
 def with_tokens(df: DataFrame, col: str, out: str = "tokens", ok: str = "ok") -> DataFrame:
     """Adds the tokens and whether the string tokenizes (else no tokens).
 
-    The column expression does nearly all rows.  Only texts it cannot cover that hold
-    more brackets than its depth reach the scanner; all others go there as nulls.  The
-    expression is run once a row: it names the partition, so that the optimiser does not copy it
-    into filters on the tokens and these do not sink below what made the rows distinct.
+    One pattern does nearly all rows; only long texts, whose brackets it would match by
+    recursion, and texts it cannot cover that hold more brackets than its depth are cut by running
+    depth, in the same expression.  It is run once a row: it names the partition, so that the
+    optimiser does not copy it into filters on the tokens and these do not sink below what made
+    the rows distinct.
     """
     text = F.col(col)
     once = lambda c: F.when(F.spark_partition_id() >= 0, c)
-    native = df.withColumn("_native", once(tokens(text))).withColumn("_full", F.coalesce(covers(text, F.col("_native")), F.lit(False)))
-    deep = ~F.col("_full") & (F.length(text) - F.length(F.replace(text, F.lit("["))) > DEPTH)
-    scanned = native.withColumn("_scanned", _scan_deep(F.when(deep, text)))
-    empty = F.array().cast("array<string>")
-    parts = F.when(F.col("_full"), F.col("_native")).otherwise(F.coalesce("_scanned", empty))
-    return scanned.select(*df.columns, once(parts).alias(out), (F.col("_full") | F.col("_scanned").isNotNull()).alias(ok))
+    long = F.length(text) > LONG
+    deep = long | (F.length(text) - F.length(F.replace(text, F.lit("["))) > DEPTH)
+    shallow = df.withColumn("_t", once(F.when(~long, tokens(text))))
+    full = F.coalesce(covers(text, F.col("_t")), F.lit(False))
+    parts = F.when(full, F.col("_t")).when(deep, deep_tokens(text))
+    tried = shallow.withColumn("_t", once(parts))
+    good = F.coalesce(covers(text, F.col("_t")), F.lit(False))
+    return tried.withColumn(ok, good).withColumn(out, F.when(F.col(ok), F.col("_t")).otherwise(F.array().cast("array<string>"))).select(*[c for c in df.columns if c not in (out, ok)], out, ok)

@@ -13,13 +13,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from motifmill.operators import encoder
 from motifmill.operators.encoder import EncoderConfig
 from motifmill.operators.labels import draw
-from motifmill.operators.masking import IGNORE, SpanMasker
+from motifmill.operators.masking import IGNORE, SpanMasker, span_mask
+from motifmill.operators.metrics import schedule
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -112,13 +113,6 @@ def loss_and_gradients(config: EncoderConfig, w: Mapping[str, np.ndarray], ids:
 # --- training ------------------------------------------------------------------
 
 
-def rate_factors(total: int, warmup: int) -> np.ndarray:
-    """The factors of :func:`motifmill.operators.metrics.schedule` for all steps, as squares of a quarter cosine."""
-    steps = np.arange(total)
-    fall = np.clip((steps - warmup) / max(1, total - warmup), 0, 1)
-    return np.where(steps < warmup, steps / max(1, warmup), np.cos(fall * math.pi / 2) ** 2)
-
-
 @dataclass
 class Trainer:
     """Adam on spans masked anew in each epoch; the weights of the best epoch stay."""
@@ -134,20 +128,33 @@ class Trainer:
     seed: int = 42
     history: list[dict] = field(default_factory=list)
 
-    def masked(self, rows: list[tuple], epoch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids with masks, attention and labels of rows (key, ids, attention)."""
-        parts = [(*self.masker.apply(np.asarray(i), np.asarray(m), self.masker.generator(self.seed, epoch, key)), m) for key, i, m in rows]
-        labels, ids, mask = (np.stack([np.asarray(p[k]) for p in parts]) for k in (0, 1, 2))
-        return ids, mask, labels
+    def prepared(self, rows: list[tuple]) -> list[tuple]:
+        """Rows (key, ids, attention) as (attention, {epoch: (masked ids, labels)}), masked by Spark."""
+        if not rows:
+            return []
+        spark = SparkSession.active()
+        plain = [(k, str(key), [int(x) for x in ids], [int(x) for x in mask]) for k, (key, ids, mask) in enumerate(rows)]
+        sample = spark.createDataFrame(plain, "place bigint, key string, input_ids array<bigint>, attention_mask array<bigint>")
+        out = [(mask, {}) for *_, mask in plain]
+        for epoch in range(self.epochs + 1):
+            for r in span_mask(sample, self.masker, "key", self.seed, epoch).collect():
+                out[r["place"]][1][epoch] = (r["input_ids"], r["labels"])
+        return out
+
+    @staticmethod
+    def masked(rows: list[tuple], epoch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids with masks, attention and labels of prepared rows."""
+        return tuple(np.stack([np.asarray(x) for x in parts]) for parts in zip(*[(r[1][epoch][0], r[0], r[1][epoch][1]) for r in rows]))
 
     def fit(self, rows: list[tuple], weights: Mapping[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+        rows = self.prepared(rows)
         w = {k: np.asarray(v, np.float64).copy() for k, v in (weights or encoder.random_weights(self.config, self.seed)).items()}
         rng = np.random.default_rng(self.seed)
         order = rng.permutation(len(rows))
         kept_out = int(len(rows) * self.held_out)
         held, own = [rows[k] for k in order[:kept_out]], [rows[k] for k in order[kept_out:]]
-        per_epoch = math.ceil(len(own) / self.batch)
-        factors = rate_factors(self.epochs * per_epoch + 2, self.warmup)
+        steps = self.epochs * math.ceil(len(own) / self.batch) + 2
+        factors = [r["factor"] for r in schedule(SparkSession.active(), steps, self.warmup).orderBy("step").collect()]
         first, second, step, best = {}, {}, 0, None
         for epoch in range(1, self.epochs + 1):
             losses, turn = [], rng.permutation(len(own))

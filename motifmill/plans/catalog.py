@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifmill.functions import tokenizer, vectors
+from motifmill.functions import graph, tokenizer, vectors
 from motifmill.functions.ec import primary_ec, top_level
 from motifmill.functions.vectors import cosine
-from motifmill.operators import classify, clean, encode, encoder, labels, masking, metrics, similarity, splits, stats, subword, train, vocab
+from motifmill.operators import classify, clean, encode, encoder, graphs, labels, masking, metrics, similarity, splits, stats, subword, train, vocab
 from motifmill.scratch import shared_folder, written
 from motifmill.sources import files
 from motifmill.sources.tables import TEMPLATE_COLUMNS, table, templates
@@ -462,11 +462,70 @@ def lr_schedule(spark, sf_dir):
 # --- without SQL --------------------------------------------------------------
 
 
-@query()
+# Two draws of 32 bits choose a span's beginning and length, a third its kind; the digest is that of seed, epoch, row and turn.
+_LONGER = ", ".join(str(b) for b in masking.SpanMasker({}).longer())
+_HASHED = "CAST(CAST('0x' || substr({0}, {1}, 8) AS BIGINT) AS BIGINT)"
+_RANDOM_IDS = [k for k, t in enumerate(VOCABULARY) if t not in masking.SPECIALS]
+
+
+@query(f"""{_TOKENS.replace("WITH t AS", "WITH RECURSIVE t AS", 1)}, i AS (SELECT smarts, CASE WHEN ok THEN list_transform(tokens, lambda x: {_LOOKUP}) ELSE [] END AS ids FROM k),
+  m AS (SELECT greatest(1, max(len(ids))) AS m FROM i),
+  r AS (SELECT smarts, 1 AS turn, list_transform(range(m), lambda p: CASE WHEN p < len(ids) THEN 0 ELSE -1 END) AS kinds, CASE WHEN len(ids) > 0 THEN greatest(1, CAST(round_even(0.25 * len(ids), 0) AS BIGINT)) ELSE 0 END AS budget FROM i, m
+    UNION ALL SELECT smarts, turn + 1, list_transform(kinds, lambda x, p: CASE WHEN list_contains(own, p - 1) THEN kind ELSE x END), budget - len(own) FROM (
+      SELECT *, list_slice(list_filter(free, lambda p: p >= at AND p < at + span), 1, budget) AS own FROM (
+        SELECT *, free[1 + {_HASHED.format("h", 1)} % len(free)] AS at, 1 + len(list_filter([{_LONGER}], lambda x: {_HASHED.format("h", 9)} < x)) AS span,
+          CASE WHEN {_HASHED.format("h", 17)} < {int(2**32 * 0.8)} THEN 1 WHEN {_HASHED.format("h", 17)} < {int(2**32 * 0.9)} THEN 2 ELSE 3 END AS kind FROM (
+          SELECT *, list_filter(range(len(kinds)), lambda p: kinds[p + 1] = 0) AS free, md5('42:0:' || smarts || ':' || CAST(turn - 1 AS VARCHAR)) AS h FROM r WHERE budget > 0) WHERE len(free) > 0))),
+  z AS (SELECT smarts, arg_max(kinds, turn) AS kinds FROM r GROUP BY 1), y AS (SELECT i.smarts, list_resize(ids, m, 0) AS ids, kinds FROM i JOIN z ON i.smarts = z.smarts, m)
+SELECT smarts, array_to_string(list_transform(ids, lambda x, p: CASE kinds[p] WHEN 1 THEN {len(VOCABULARY)} WHEN 2 THEN {_RANDOM_IDS}[1 + {_HASHED.format("md5('42:0:' || smarts || ':at:' || CAST(p - 1 AS VARCHAR))", 1)} % {len(_RANDOM_IDS)}] ELSE x END), ' ') AS input_ids,
+  array_to_string(list_transform(ids, lambda x, p: CASE WHEN kinds[p] > 0 THEN x ELSE -100 END), ' ') AS labels FROM y""")
 def span_mask(spark, sf_dir):
     known = _vocabulary(spark, sf_dir)
-    rows = encode.dataset(_first(spark, sf_dir).select("smarts"), known, max_length=16).drop("ok")
-    return masking.span_mask(rows, masking.SpanMasker(known), "smarts")
+    rows = encode.dataset(_first(spark, sf_dir).select("smarts"), known).drop("ok")
+    out = masking.span_mask(rows, masking.SpanMasker(known), "smarts")
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return out.select("smarts", joined("input_ids"), joined("labels"))
+
+
+# --- graphs ---------------------------------------------------------------------
+
+_GRAPH = f"""{_TOKENS.replace("WITH t AS", "WITH RECURSIVE t AS", 1)}, c AS (SELECT smarts, tokens, list_position(tokens, '>>') AS cut FROM k WHERE ok AND list_contains(tokens, '>>')),
+  sides AS (SELECT smarts, 0 AS side, list_slice(tokens, 1, cut - 1) AS toks FROM c UNION ALL SELECT smarts, 1, list_slice(tokens, cut + 1, len(tokens)) FROM c),
+  d AS (SELECT DISTINCT toks FROM sides),
+  g AS (SELECT toks, 0 AS pos, []::VARCHAR[] AS atoms, []::STRUCT(a INT, b INT, kind VARCHAR, ring BOOLEAN)[] AS bonds, -1 AS last, []::INT[] AS stack, []::STRUCT(label VARCHAR, atom INT, kind VARCHAR)[] AS rings, '' AS kind FROM d
+    UNION ALL SELECT toks, pos + 1, CASE WHEN k = 'atom' THEN list_append(atoms, regexp_replace(x, ':[0-9]+\\]$', ']')) ELSE atoms END,
+      CASE WHEN k = 'atom' AND last >= 0 THEN list_append(bonds, {{{{'a': last, 'b': CAST(len(atoms) AS INT), 'kind': kind, 'ring': false}}}}) WHEN k = 'ring' AND last >= 0 AND len(same) > 0 THEN list_append(bonds, {{{{'a': same[1].atom, 'b': last, 'kind': coalesce(nullif(kind, ''), same[1].kind), 'ring': true}}}}) ELSE bonds END,
+      CASE WHEN k = 'atom' THEN CAST(len(atoms) AS INT) WHEN k = '.' THEN -1 WHEN k = ')' THEN coalesce(stack[len(stack)], -1) ELSE last END,
+      CASE WHEN k = '(' THEN list_append(stack, last) WHEN k = ')' THEN list_slice(stack, 1, len(stack) - 1) ELSE stack END,
+      CASE WHEN k = 'ring' AND last >= 0 AND len(same) = 0 THEN list_append(rings, {{{{'label': x, 'atom': last, 'kind': kind}}}}) WHEN k = 'ring' THEN list_filter(rings, lambda r: r.label <> x) ELSE rings END,
+      CASE WHEN k = 'bond' THEN kind || x ELSE '' END
+    FROM (SELECT *, toks[pos + 1] AS x, list_filter(rings, lambda r: r.label = toks[pos + 1]) AS same,
+      CASE WHEN regexp_full_match(toks[pos + 1], '\\[.*|Cl|Br|[BCNOPSFIbcnopsAa*]') THEN 'atom' WHEN regexp_full_match(toks[pos + 1], '%[0-9][0-9]|[0-9]') THEN 'ring' WHEN toks[pos + 1] IN ('(', ')', '.') THEN toks[pos + 1] ELSE 'bond' END AS k FROM g WHERE pos < len(toks))),
+  h AS (SELECT toks, atoms, bonds FROM g WHERE pos = len(toks))""".replace("{{", "{").replace("}}", "}").replace("\\\\", "\\")
+_BOTH = "SELECT l.smarts, a.atoms AS la, a.bonds AS lb, b.atoms AS ra, b.bonds AS rb FROM sides l JOIN sides r ON l.smarts = r.smarts AND l.side = 0 AND r.side = 1 JOIN h a ON a.toks = l.toks JOIN h b ON b.toks = r.toks"
+_BOND_TEXT = "array_to_string(list_transform({0}, lambda b: CAST(b.a AS VARCHAR) || CASE WHEN b.ring THEN 'o' ELSE '' END || coalesce(nullif(b.kind, ''), '_') || CAST(b.b AS VARCHAR)), ' ')"
+_DEGREE_TEXT = "array_to_string(list_transform(range(len({0})), lambda i: len(list_filter({1}, lambda b: b.a = i OR b.b = i))), ' ')"
+
+
+@query(f"""{_GRAPH}, x AS ({_BOTH}) SELECT smarts, {_BOND_TEXT.format("lb")} || ' > ' || {_BOND_TEXT.format("rb")} AS bonds, {_DEGREE_TEXT.format("la", "lb")} || ' > ' || {_DEGREE_TEXT.format("ra", "rb")} AS degrees,
+  CAST(len(lb) + len(rb) AS BIGINT) AS n_bonds, CAST(len(list_filter(lb, lambda b: b.ring)) + len(list_filter(rb, lambda b: b.ring)) AS BIGINT) AS n_rings FROM x""")
+def template_graph(spark, sf_dir):
+    rows = graphs.template_graph(_first(spark, sf_dir).select("smarts"))
+    bond = lambda b: F.concat(b["a"].cast("string"), F.when(b["ring"], "o").otherwise(""), F.coalesce(F.nullif(b["kind"], F.lit("")), F.lit("_")), b["b"].cast("string"))
+    bonds = F.transform("sides", lambda g: F.array_join(F.transform(g["bonds"], bond), " "))
+    places = F.transform("degrees", lambda d: F.array_join(d.cast("array<string>"), " "))
+    return rows.select("smarts", F.array_join(bonds, " > ").alias("bonds"), F.array_join(places, " > ").alias("degrees"), *[F.col(c).cast("bigint").alias(c) for c in ("n_bonds", "n_rings")])
+
+
+@query(f"""{_GRAPH}, e AS (SELECT toks, atoms, unnest(list_concat(list_transform(bonds, lambda b: [b.a, b.b]), list_transform(bonds, lambda b: [b.b, b.a]))) AS ab, unnest(list_concat(list_transform(bonds, lambda b: b.kind), list_transform(bonds, lambda b: b.kind))) AS kind FROM h),
+  p AS (SELECT toks, [i]::BIGINT[] AS p, atoms[i + 1] AS f, atoms[i + 1] AS b FROM (SELECT toks, atoms, unnest(range(len(atoms))) AS i FROM h)
+    UNION ALL SELECT p.toks, list_append(p.p, e.ab[2]), f || kind || atoms[e.ab[2] + 1], atoms[e.ab[2] + 1] || kind || b FROM p JOIN e ON p.toks = e.toks AND e.ab[1] = p.p[len(p.p)] WHERE NOT list_contains(p.p, e.ab[2]) AND len(p.p) <= 7),
+  n AS (SELECT DISTINCT toks, least(f, b) AS name FROM p), q AS (SELECT DISTINCT smarts, {_HASHED.format("md5(CAST(side AS VARCHAR) || ':' || name)", 1)} % 4096 AS bit FROM sides JOIN n ON sides.toks = n.toks)
+SELECT smarts, CAST(count(*) AS BIGINT) AS n_bits, string_agg(CAST(bit AS VARCHAR), ' ' ORDER BY bit) AS bits FROM q GROUP BY 1""")
+def path_fingerprint(spark, sf_dir):
+    rows = graphs.path_fingerprint(_first(spark, sf_dir).select("smarts"))
+    bits = rows.select("smarts", graph.set_bits(F.col("fingerprint")).alias("bits"))
+    return bits.select("smarts", F.size("bits").cast("bigint").alias("n_bits"), F.array_join(F.col("bits").cast("array<string>"), " ").alias("bits"))
 
 
 def _embedder(pooling: str) -> encoder.Embedder:
@@ -488,7 +547,7 @@ def embed_cls(spark, sf_dir):
 def masked_accuracy(spark, sf_dir):
     known = _vocabulary(spark, sf_dir)
     masker = masking.SpanMasker(known)
-    rows = masking.span_mask(encode.dataset(_first(spark, sf_dir).select("smarts"), known, max_length=16).drop("ok"), masker, "smarts")
+    rows = masking.span_mask(encode.dataset(_first(spark, sf_dir).select("smarts"), known).drop("ok"), masker, "smarts")
     guesses = F.transform("input_ids", lambda x: F.array(*[((x + k) % len(known)).cast("bigint") for k in range(5)]))
     return metrics.masked_accuracy(rows.withColumn("guesses", guesses), masker.content_ids)
 

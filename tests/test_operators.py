@@ -76,10 +76,11 @@ def test_span_masks(spark):
             kinds["mask" if x == 12 else "same" if x == ids[p] else "other"] += 1
     assert 0.72 < kinds["mask"] / 800 < 0.88 and kinds["other"] and kinds["same"]
     every = masking.SpanMasker(KNOWN, share=1.0, mean_span=16, max_span=16)
-    labels_, _ = every.apply(np.array(ids), np.array(mask), every.generator(1, 0, 1))
+    labels_ = np.array(masking.span_mask(df.limit(1), every, "k", 1).first()["labels"])
     assert (labels_[:16] != -100).all() and (labels_[16:] == -100).all()
-    untouched, same = masker.apply(np.array(ids), np.zeros(20), masker.generator(1, 0, 1))
-    assert (untouched == -100).all() and (same == ids).all()
+    none = spark.createDataFrame([(1, ids, [0] * 20)], df.schema)
+    row = masking.span_mask(none, masker, "k", 1).first()
+    assert set(row["labels"]) == {-100} and row["input_ids"] == ids
 
 
 def _embedder(pooling="mean"):
@@ -302,4 +303,3 @@ def test_trainer_learns_and_model_is_evaluated(spark):
     assert out["top1"] > 0.7 and out["top5"] >= out["top1"]
     assert train.train(df, train.Trainer(config, masker, epochs=1), max_rows=30).keys() == weights.keys()
     assert train.Trainer(config, masker, epochs=1).fit([])["token"].shape == w["token"].shape
-    assert np.allclose(train.rate_factors(20, 5), [r["factor"] for r in metrics.schedule(spark, 20, 5).orderBy("step").collect()])
