@@ -472,8 +472,8 @@ _RANDOM_IDS = [k for k, t in enumerate(VOCABULARY) if t not in masking.SPECIALS]
   m AS (SELECT greatest(1, max(len(ids))) AS m FROM i),
   r AS (SELECT smarts, 1 AS turn, list_transform(range(m), lambda p: CASE WHEN p < len(ids) THEN 0 ELSE -1 END) AS kinds, CASE WHEN len(ids) > 0 THEN greatest(1, CAST(round_even(0.25 * len(ids), 0) AS BIGINT)) ELSE 0 END AS budget FROM i, m
     UNION ALL SELECT smarts, turn + 1, list_transform(kinds, lambda x, p: CASE WHEN list_contains(own, p - 1) THEN kind ELSE x END), budget - len(own) FROM (
-      SELECT *, list_slice(list_filter(free, lambda p: p >= at AND p < at + span), 1, budget) AS own FROM (
-        SELECT *, free[1 + {_HASHED.format("h", 1)} % len(free)] AS at, 1 + len(list_filter([{_LONGER}], lambda x: {_HASHED.format("h", 9)} < x)) AS span,
+      SELECT *, list_slice(list_filter(free, lambda p: p >= st AND p < st + span), 1, budget) AS own FROM (
+        SELECT *, free[1 + {_HASHED.format("h", 1)} % len(free)] AS st, 1 + len(list_filter([{_LONGER}], lambda x: {_HASHED.format("h", 9)} < x)) AS span,
           CASE WHEN {_HASHED.format("h", 17)} < {int(2**32 * 0.8)} THEN 1 WHEN {_HASHED.format("h", 17)} < {int(2**32 * 0.9)} THEN 2 ELSE 3 END AS kind FROM (
           SELECT *, list_filter(range(len(kinds)), lambda p: kinds[p + 1] = 0) AS free, md5('42:0:' || smarts || ':' || CAST(turn - 1 AS VARCHAR)) AS h FROM r WHERE budget > 0) WHERE len(free) > 0))),
   z AS (SELECT smarts, arg_max(kinds, turn) AS kinds FROM r GROUP BY 1), y AS (SELECT i.smarts, list_resize(ids, m, 0) AS ids, kinds FROM i JOIN z ON i.smarts = z.smarts, m)
@@ -494,14 +494,14 @@ _GRAPH = f"""{_TOKENS.replace("WITH t AS", "WITH RECURSIVE t AS", 1)}, c AS (SEL
   d AS (SELECT DISTINCT toks FROM sides),
   g AS (SELECT toks, 0 AS pos, []::VARCHAR[] AS atoms, []::STRUCT(a INT, b INT, kind VARCHAR, ring BOOLEAN)[] AS bonds, -1 AS last, []::INT[] AS stack, []::STRUCT(label VARCHAR, atom INT, kind VARCHAR)[] AS rings, '' AS kind FROM d
     UNION ALL SELECT toks, pos + 1, CASE WHEN k = 'atom' THEN list_append(atoms, regexp_replace(x, ':[0-9]+\\]$', ']')) ELSE atoms END,
-      CASE WHEN k = 'atom' AND last >= 0 THEN list_append(bonds, {{{{'a': last, 'b': CAST(len(atoms) AS INT), 'kind': kind, 'ring': false}}}}) WHEN k = 'ring' AND last >= 0 AND len(same) > 0 THEN list_append(bonds, {{{{'a': same[1].atom, 'b': last, 'kind': coalesce(nullif(kind, ''), same[1].kind), 'ring': true}}}}) ELSE bonds END,
+      CASE WHEN k = 'atom' AND last >= 0 THEN list_append(bonds, {{'a': last, 'b': CAST(len(atoms) AS INT), 'kind': kind, 'ring': false}}) WHEN k = 'ring' AND last >= 0 AND len(same) > 0 THEN list_append(bonds, {{'a': same[1].atom, 'b': last, 'kind': coalesce(nullif(kind, ''), same[1].kind), 'ring': true}}) ELSE bonds END,
       CASE WHEN k = 'atom' THEN CAST(len(atoms) AS INT) WHEN k = '.' THEN -1 WHEN k = ')' THEN coalesce(stack[len(stack)], -1) ELSE last END,
       CASE WHEN k = '(' THEN list_append(stack, last) WHEN k = ')' THEN list_slice(stack, 1, len(stack) - 1) ELSE stack END,
-      CASE WHEN k = 'ring' AND last >= 0 AND len(same) = 0 THEN list_append(rings, {{{{'label': x, 'atom': last, 'kind': kind}}}}) WHEN k = 'ring' THEN list_filter(rings, lambda r: r.label <> x) ELSE rings END,
+      CASE WHEN k = 'ring' AND last >= 0 AND len(same) = 0 THEN list_append(rings, {{'label': x, 'atom': last, 'kind': kind}}) WHEN k = 'ring' THEN list_filter(rings, lambda r: r.label <> x) ELSE rings END,
       CASE WHEN k = 'bond' THEN kind || x ELSE '' END
     FROM (SELECT *, toks[pos + 1] AS x, list_filter(rings, lambda r: r.label = toks[pos + 1]) AS same,
       CASE WHEN regexp_full_match(toks[pos + 1], '\\[.*|Cl|Br|[BCNOPSFIbcnopsAa*]') THEN 'atom' WHEN regexp_full_match(toks[pos + 1], '%[0-9][0-9]|[0-9]') THEN 'ring' WHEN toks[pos + 1] IN ('(', ')', '.') THEN toks[pos + 1] ELSE 'bond' END AS k FROM g WHERE pos < len(toks))),
-  h AS (SELECT toks, atoms, bonds FROM g WHERE pos = len(toks))""".replace("{{", "{").replace("}}", "}").replace("\\\\", "\\")
+  h AS (SELECT toks, atoms, bonds FROM g WHERE pos = len(toks))"""
 _BOTH = "SELECT l.smarts, a.atoms AS la, a.bonds AS lb, b.atoms AS ra, b.bonds AS rb FROM sides l JOIN sides r ON l.smarts = r.smarts AND l.side = 0 AND r.side = 1 JOIN h a ON a.toks = l.toks JOIN h b ON b.toks = r.toks"
 _BOND_TEXT = "array_to_string(list_transform({0}, lambda b: CAST(b.a AS VARCHAR) || CASE WHEN b.ring THEN 'o' ELSE '' END || coalesce(nullif(b.kind, ''), '_') || CAST(b.b AS VARCHAR)), ' ')"
 _DEGREE_TEXT = "array_to_string(list_transform(range(len({0})), lambda i: len(list_filter({1}, lambda b: b.a = i OR b.b = i))), ' ')"
