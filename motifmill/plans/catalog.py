@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from motifmill.functions import graph, tokenizer, vectors
 from motifmill.functions.ec import primary_ec, top_level
 from motifmill.functions.vectors import cosine
-from motifmill.operators import classify, clean, encode, encoder, graphs, labels, masking, metrics, similarity, splits, stats, subword, train, vocab
+from motifmill.operators import classify, clean, encode, encoder, graphs, labels, masking, metrics, set_join, similarity, splits, stats, subword, train, vector_index, vocab
+from motifmill.operators import group_folds as group_folds_
 from motifmill.scratch import shared_folder, written
 from motifmill.sources import files
 from motifmill.sources.tables import TEMPLATE_COLUMNS, table, templates
@@ -805,3 +806,85 @@ def holdout_report(spark, sf_dir):
     rows = classify.vectors(rows.withColumn("label_id", F.col("label").cast("double")))
     out = classify.linear_classifier(rows.where("split = 'train'"), rows.where("split = 'val'"), scale=True, max_iter=30)
     return metrics.class_metrics(out.select(F.col("label_id").cast("int").cast("string").alias("label"), F.col("predicted").cast("int").cast("string").alias("predicted")))
+
+
+# --- indexes, joins and folds ------------------------------------------------------
+
+#: Tokens as bits of five numbers, so that DuckDB can count what two sets share.
+_SETS = f"""{_TOKENS}, d AS (SELECT smarts, list_sort(list_distinct(tokens)) AS s FROM k WHERE ok AND tokens <> []), v AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT unnest(s) AS t FROM d)),
+  c AS (SELECT s, min(smarts) AS class, count(*) AS size, len(s) AS n FROM d GROUP BY s), b AS (SELECT class, i FROM (SELECT class, unnest(s) AS t FROM c) JOIN v USING (t)),
+  m AS (SELECT class, {", ".join(f"coalesce(sum(1::BIGINT << CAST(i % 60 AS INT)) FILTER (i // 60 = {j}), 0)::BIGINT AS m{j}" for j in range(5))} FROM b GROUP BY 1),
+  e AS (SELECT c.class, size, n, {", ".join(f"m{j}" for j in range(5))} FROM c JOIN m USING (class)),
+  w AS (SELECT x.class AS a, y.class AS b, x.size AS a_size, y.size AS b_size, x.n + y.n AS n2, {" + ".join(f"CAST(bit_count(x.m{j} & y.m{j}) AS INT)" for j in range(5))} AS i FROM e x JOIN e y ON x.class < y.class AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+  p AS (SELECT * FROM w WHERE 100 * i >= 80 * (n2 - i))"""
+
+
+@query(f"{_SETS} SELECT a, b, round(i * 1.0 / (n2 - i), 6) AS similarity FROM p")
+def tanimoto_join_pairs(spark, sf_dir):
+    _, found = set_join.set_join(_tokens(spark, sf_dir).where("ok").select("smarts", "tokens"), "smarts")
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""{_SETS}, l AS (SELECT class, sum(m) AS m FROM (SELECT a AS class, b_size AS m FROM p UNION ALL SELECT b, a_size FROM p) GROUP BY 1)
+SELECT d.smarts, c.class, CAST(c.size - 1 + coalesce(m, 0) AS BIGINT) AS n_links FROM d JOIN c ON d.s = c.s LEFT JOIN l ON l.class = c.class""")
+def tanimoto_join(spark, sf_dir):
+    return set_join.set_join(_tokens(spark, sf_dir).where("ok").select("smarts", "tokens"), "smarts")[0]
+
+
+def _lists(n: int) -> int:
+    """About the root of the rows: lists and the rows of a list grow alike."""
+    return max(4, round(math.sqrt(n)))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame]:
+    rows = table(spark, sf_dir, "embeddings")
+    return vector_index.VectorIndex.build(rows, min(4096, _lists(rows.count()))), rows.where("vec_id % 50 = 0")
+
+
+@query(ORACLE_SQL["batch_search"])
+def index_search_exact(spark, sf_dir):
+    index, asked = _index(spark, sf_dir)
+    return index.search(asked, 5).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def index_search(spark, sf_dir):
+    """The best 10 rows in as many lists as give a recall of 0.9 on a sample of the queries."""
+    index, asked = _index(spark, sf_dir)
+    return index.search(asked, 10, index.tuned(asked))
+
+
+@query()
+def index_recall(spark, sf_dir):
+    """Recall at 10 over all queries, and the share of the table's rows in the lists that a query reads."""
+    index, asked = _index(spark, sf_dir)
+    probes = index.tuned(asked)
+    recall = index.recall(asked, 10, probes)
+    sizes = index.table(asked).groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    read = index._nearest(asked.select("vec_id", "embedding"), probes).select("vec_id", F.explode("lists").alias("list")).join(sizes, "list").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    return read.agg(F.avg("n").alias("n")).crossJoin(total).select(F.lit(len(index.centres)).alias("lists"), F.lit(probes).alias("probes"), F.lit(recall).alias("recall"), (F.col("n") / F.col("total")).alias("share_read"))  # one row each
+
+
+@query()
+def stratified_group_folds(spark, sf_dir):
+    return group_folds_.stratified_group_folds(_labelled(spark, sf_dir), 5, 42).select("smarts", "label", F.col("group").alias("group_id"), "fold")
+
+
+@query("SELECT vec_id, label, CAST((row_number() OVER (ORDER BY '=' || CAST(label AS VARCHAR), md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings")
+def stratified_folds(spark, sf_dir):
+    return group_folds_.stratified_folds(table(spark, sf_dir, "embeddings").select("vec_id", "label"), 5, 42)
+
+
+@query()
+def baseline_report(spark, sf_dir):
+    """Precision, recall and F1 of a classifier on a stratified fifth, from the vectors and from random ones."""
+    rows = written(group_folds_.stratified_folds(table(spark, sf_dir, "embeddings"), 5, 42).withColumn("label_id", F.col("label").cast("double")), "folds")
+    dims = rows.select(F.max(F.size("embedding"))).first()[0] or 1
+    out = None
+    for name, own in (("vectors", rows), ("random", classify.random_features(rows, dims))):
+        own = classify.vectors(own)
+        found = classify.linear_classifier(own.where("fold <> 0"), own.where("fold = 0"), scale=True, max_iter=30)
+        part = metrics.class_metrics(found.select(F.col("label").cast("string").alias("label"), F.col("predicted").cast("int").cast("string").alias("predicted"))).select(F.lit(name).alias("features"), "*")
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out)
