@@ -67,6 +67,22 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names that no operator uses, and the new name of each column: a stage passes any column on."""
+    names = {c: f"passed_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def others(names: dict[str, str]) -> tuple[str, ...]:
+    """The hidden names of all columns but the id."""
+    return tuple(n for c, n in names.items() if c != "doc_id")
+
+
+def shown(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of :func:`hidden` under their own names again."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose texts have ``most`` bytes together, or are one text."""
     import pyarrow.compute as pc

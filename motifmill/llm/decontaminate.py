@@ -176,9 +176,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window; the others go."""
-    columns = docs.columns
-    found = decontaminate(docs, common.table(spark, sf_dir, "benchmark"), keep=tuple(c for c in columns if c != "doc_id"))
-    return found.where("n_hit = 0").select(columns)
+    rows, names = common.hidden(docs)
+    found = decontaminate(rows, common.table(spark, sf_dir, "benchmark"), id_col=names["doc_id"], text_col=names["text"], keep=common.others(names))
+    return common.shown(found.where("n_hit = 0"), names)
 
 
 # Words and windows of whole texts, in SQL: no automaton, a join of window strings.

@@ -318,15 +318,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows with the leading id and text, the one with the least hash of all columns stays.
     Texts without words are linked with nothing and stay.
     """
-    columns = docs.columns
+    rows, names = common.hidden(docs)
+    i, t = F.col(names["doc_id"]), F.col(names["text"])
     scratch = common.Scratch(spark, "near_dedup_stage")
-    marks = near_duplicates(docs).where("n_shingles > 0").groupBy("k1", "k2").agg(F.max("leads").alias("leads"), F.count(F.lit(1)).alias("n")).where("not leads or n > 1")
+    found = near_duplicates(rows, id_col=names["doc_id"], text_col=names["text"])
+    marks = found.where("n_shingles > 0").groupBy("k1", "k2").agg(F.max("leads").alias("leads"), F.count(F.lit(1)).alias("n")).where("not leads or n > 1")
     marks = scratch.write(marks.select("k1", "k2", "leads"), "marks")
-    keyed = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(7))})
-    alone = keyed.join(common.shuffled(marks.select("k1", "k2")), ["k1", "k2"], "left_anti").select(columns)
+    keyed = rows.withColumns({"k1": F.xxhash64(i, t), "k2": F.xxhash64(t, i, F.lit(7))})
+    alone = keyed.join(common.shuffled(marks.select("k1", "k2")), ["k1", "k2"], "left_anti").select(rows.columns)
     again = keyed.join(common.shuffled(marks.where("leads").select("k1", "k2")), ["k1", "k2"], "left_semi")
-    again = again.groupBy("k1", "k2").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
-    return alone.unionByName(again)
+    again = again.groupBy("k1", "k2").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("row")).select("row.*")
+    return common.shown(alone.unionByName(again), names)
 
 
 # All pairs that share a shingle, with a recursive reach: the plain definition.

@@ -196,7 +196,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold; the others go."""
-    columns = docs.columns
     model = fit(docs, common.table(spark, sf_dir, "labels"))
-    scored = score(docs, model, keep=tuple(c for c in columns if c != "doc_id"))
-    return scored.where(F.col("score") >= THRESHOLD).select(columns)
+    rows, names = common.hidden(docs)
+    scored = score(rows, model, names["doc_id"], names["text"], common.others(names))
+    return common.shown(scored.where(F.col("score") >= THRESHOLD), names)

@@ -13,14 +13,15 @@ survives a level if its named window is repeated; at the last level a window nam
 and is counted under two independent 64-bit hashes of its words.
 
 Whole texts that are copies are found first, by a 128-bit hash: all their windows are
-repeated.  One copy of each group goes on after the first level, so that other texts still
+repeated.  One copy of each group takes part in the levels, so that other texts still
 meet its windows; groups of copies of any size cost one row per copy.
 
-Scale: every level is a partially aggregated count of hashes, written to shared
-scratch, and a join of the level's positions with the repeated hashes that adaptive
-execution can split where a passage is in very many texts.  All texts are shuffled twice,
-by row key, for the candidates of the first level and for the removal; each level between
-shuffles the candidates' texts.
+Scale: the first level keeps one row for each text, its named windows' hashes and
+places as lists; rows of copies leave before any window is counted.  Every level is
+a partially aggregated count of hashes, written to shared scratch, and a join of the level's
+windows with the repeated hashes that adaptive execution can split where a passage is in
+very many texts.  All texts are shuffled twice, by row key, for the candidates of the first
+level and for the removal; each level between shuffles the candidates' texts.
 
 Defined cases: null and empty texts have no words; texts shorter than the window keep
 all words; very long texts enter whole; of equal least hashes the leftmost counts; repeated rows (equal id and text) are copies of each other and both lose
@@ -40,9 +41,8 @@ from pyspark.sql import functions as F
 from motifmill.llm import common
 
 MIN_WORDS = 35
-#: The first level has at most this many words. With 9 words instead of 18 before 35, texts around
-#: a passage name more windows of it: more places to join, and half as much time again.
-FIRST_LEVEL = 18
+#: The first level has at most this many words: 35 words take the levels 9, 18 and 35.
+FIRST_LEVEL = 10
 _BASE, _BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -105,6 +105,11 @@ def _keys(id_col: str, text_col: str) -> dict[str, Column]:
     return {"k1": F.xxhash64(i, t), "k2": F.xxhash64(t, i, F.lit(7)), "t1": F.xxhash64(t), "t2": F.xxhash64(F.lit(7), t)}
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind))
+
+
 def _flush(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
 
@@ -138,6 +143,27 @@ def repeated_starts(docs: DataFrame, min_words: int, scratch: common.Scratch, id
     copies = scratch.write(keys.join(copied, ["t1", "t2"]).select("k1", "k2", (F.struct("k1", "k2") == F.col("first")).alias("leads")).groupBy("k1", "k2").agg(F.max("leads").alias("leads")), "copies")
     scratch.drop("keys")
 
+    def listed(length: int) -> Callable:
+        """The windows of one length that a text names, as a row for each text."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WindowHashes()
+            for batch in batches:
+                for part in common.slices(batch, 2):
+                    keys, gs, ps = [], [], []
+                    for k, text in enumerate(part.column(2).to_pylist()):
+                        words = text.split()
+                        if len(words) >= min_words:
+                            at, own = surviving(hashes, words, min_words, [length], [])
+                            keys.append(k)
+                            gs.append(own[at].view(np.int64))
+                            ps.append(at.astype(np.int32))
+                    if keys:
+                        own = part.take(pa.array(keys))
+                        yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), _lists(gs, pa.int64()), _lists(ps, pa.int32())], names=["k1", "k2", "g", "p"])
+
+        return run
+
     def counted(lengths: list[int], exact: bool) -> Callable:
         """Hashes and places of the windows named at the last of these levels."""
         names = ["g", "k1", "k2", "p"] + ["h"] * exact
@@ -169,11 +195,16 @@ def repeated_starts(docs: DataFrame, min_words: int, scratch: common.Scratch, id
     place = "g bigint, k1 bigint, k2 bigint, p int"
     candidates = rows.select("k1", "k2", "t")
     for k in range(len(lengths) - 1):
-        level = scratch.write(candidates.mapInArrow(counted(lengths[: k + 1], False), place), f"level{k}")
+        if k == 0:  # of equal texts only the first takes part, of equal rows one
+            each = candidates.mapInArrow(listed(lengths[0]), "k1 bigint, k2 bigint, g array<bigint>, p array<int>")
+            each = each.groupBy("k1", "k2").agg(F.any_value(F.struct("g", "p")).alias("x"))
+            each = scratch.write(each.join(copies.where("not leads"), ["k1", "k2"], "left_anti").select("k1", "k2", "x.g", "x.p"), "level0")
+            level = each.select("k1", "k2", F.explode(F.arrays_zip("g", "p")).alias("x")).select("x.g", "k1", "k2", "x.p")
+        else:
+            level = scratch.write(candidates.mapInArrow(counted(lengths[: k + 1], False), place), f"level{k}")
         again = scratch.write(_repeated(level, ["g"]), f"repeated{k}")
         found = level.join(again, "g").groupBy("k1", "k2").agg(F.collect_set("p").alias(f"at{k}"))
-        if k == 0:  # of equal texts only the first goes on, of equal rows one
-            found = found.join(copies, ["k1", "k2"], "left").where("leads is null or leads").drop("leads")
+        if k == 0:
             candidates = candidates.join(common.shuffled(scratch.write(found, "found0")), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
         else:
             candidates = candidates.join(common.shuffled(found), ["k1", "k2"])
@@ -246,12 +277,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that lose nothing stay as they are; documents that had words and lose all of
     them go.
     """
-    columns = docs.columns
-    out = substring_dedup(docs, keep=tuple(c for c in columns if c != "doc_id"))
+    rows, names = common.hidden(docs)
+    out = substring_dedup(rows, id_col=names["doc_id"], text_col=names["text"], keep=common.others(names))
     out = out.where("n_removed = 0 or n_removed < n_words")
-    cut = F.col("n_removed") > 0
-    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in columns])
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    cut = lambda c: F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col(names[c])) if c in changed else F.col(names[c])
+    return out.select(*[cut(c).alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -207,7 +207,7 @@ def test_substring_dedup_equals_brute_force(spark, n):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == _cut(rows, n)
 
 
-@pytest.mark.parametrize(("n", "want"), [(35, [18, 35]), (140, [18, 35, 70, 140]), (37, [10, 19, 37]), (18, [18]), (2, [2])])
+@pytest.mark.parametrize(("n", "want"), [(35, [9, 18, 35]), (140, [9, 18, 35, 70, 140]), (37, [10, 19, 37]), (18, [9, 18]), (10, [10]), (2, [2])])
 def test_levels_double(spark, monkeypatch, n, want):
     assert substring_dedup.levels(n) == want
     written = []
@@ -418,6 +418,23 @@ def test_pipeline_with_nulls_repeated_rows_and_an_empty_table(spark, tmp_path):
     assert pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
 
 
+CLASHES = "score n_words n_hit n_removed kept_text item_ids spans k1 k2 t t1 i leads n h g p row label passed_0 passed_3".split()
+
+
+def test_stages_pass_columns_of_any_name(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    sf = _sf(tmp_path / "sf", spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, sf), stage(spark, more, sf)
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in CLASHES), name
+        assert sorted(map(str, plain.collect())) == sorted(str(r) for r in out.select(docs.columns).collect()), name
+    assert pipeline.STAGES[-1][1](spark, more, sf).count() == pipeline.STAGES[-1][1](spark, docs, sf).count()
+
+
 def _in_order(rows):
     left = Counter()
     by = {}
@@ -443,5 +460,5 @@ def _cut_in_order(rows):
 def test_queries_and_sql_have_the_same_names(spark):
     from motifmill.llm import queries
 
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
