@@ -5,8 +5,8 @@ visible text: blocks on lines of their own (paragraph-like ones set off by a bla
 line), list items with bullets or numbers and indentation, preformatted text as it is,
 and table cells padded into aligned columns, spanned rows left blank.  Elements that browsers
 do not show (head, scripts, styles, templates, closed details, elements hidden by an attribute,
-an inline style or the page's style sheets) give no text.  Of style sheets the rules for a
-tag, classes and ids without combinators count, outside conditional blocks; what is visible
+an inline style or the page's style sheets) give no text.  Styles (``css.py``) also override the
+attribute ``hidden``, make elements blocks or inline, and keep white space; what is visible
 again inside an invisible element is shown.
 
 Scale: a map without a shuffle, one page at a time, without recursion, so that neither
@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from motifmill.llm import common
+from motifmill.llm import common, css
 
 MAX_DEPTH = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,7 +36,12 @@ HIDDEN = frozenset("head title script style template noscript iframe noembed nof
 # Elements of svg and math that are not shown where they stand.
 HIDDEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 NO_VALUE = frozenset("hidden checkbox radio file image color range password".split())
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp blockquote figure fieldset".split())
+#: Elements whose text keeps its white space.
+KEPT = frozenset("pre xmp plaintext".split())
+_BLOCK_DISPLAY = frozenset("block flex grid table list-item flow-root".split())
+_INLINE_DISPLAY = frozenset("inline inline-block inline-flex inline-grid inline-table contents".split())
+_WHITE = {"pre": "pre", "pre-wrap": "pre", "break-spaces": "pre", "pre-line": "lines", "normal": "", "nowrap": ""}
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp plaintext blockquote figure fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body div section article header footer main nav aside form address hgroup details summary li dt dd figcaption legend hr center dir menu tr td th thead tbody tfoot caption".split()
 )
@@ -63,11 +69,6 @@ _NAME, _EQUALS, _UNQUOTED = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+", r"[ \t\n\r\f]*+=
 _ATTRS = rf"(?:[ \t\n\r\f/]++|{_NAME}(?:{_EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{_UNQUOTED}|(?=>))|(?![ \t\n\r\f]*+=)))*+"
 _MARKUP = re.compile(r"<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|(?P<bang>[!?][^>]*(?:>|\Z))|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRS + r")(?P<end>>)?)", re.S)
 _ATTR = re.compile(rf"({_NAME})(?:{_EQUALS}(?:\"([^\"]*+)\"|'([^']*+)'|({_UNQUOTED})|\Z))?")
-_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)[^;]*?(!\s*important)?\s*(?=;|\Z)", re.I)
-_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_AT_RULE = re.compile(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\})")
-_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
-_PART = re.compile(r"([.#])([\w-]+)")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -96,44 +97,12 @@ def _ends_itself(text: str) -> bool:
 
 
 def _is_hidden(tag: str, attrs: dict[str, str]) -> bool:
-    return tag in HIDDEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
-
-
-class Styles:
-    """Which elements the inline styles and style sheets of a page hide."""
-
-    def __init__(self, sheets: list[str]):
-        self.rules: list[tuple[str, frozenset, frozenset, tuple, list]] = []
-        for order, rule in enumerate(_AT_RULE.sub(" ", _COMMENT.sub(" ", "\n".join(sheets))).split("}")[:-1]):
-            head, _, body = rule.rpartition("{")
-            selectors, declared = head.rpartition("{")[2], _DECLARED.findall(body)
-            for selector in selectors.split(",") if declared else ():
-                if (m := _SELECTOR.match(selector.strip())) is None or not m[0]:
-                    continue
-                parts = _PART.findall(m[2])
-                ids, classes = (frozenset(x for kind, x in parts if kind == k) for k in "#.")
-                tag = (m[1] or "*").lower()
-                self.rules.append((tag, classes, ids, (len(ids), len(classes), tag != "*", order), declared))
-
-    def of(self, node: Node) -> tuple[bool, str | None]:
-        """Whether the element is not displayed, and its visibility if it has one of its own."""
-        best: dict[str, tuple] = {}
-
-        def declare(declared: list, weight: tuple) -> None:
-            for name, value, important in declared:
-                found = ((bool(important), *weight), value.lower())
-                if found[0] >= best.get(name.lower(), ((),))[0]:
-                    best[name.lower()] = found
-
-        if self.rules:
-            own = set(node.attrs.get("class", "").split())
-            for tag, classes, ids, weight, declared in self.rules:
-                if tag in ("*", node.tag) and classes <= own and ids <= {node.attrs.get("id")}:
-                    declare(declared, weight)
-        if "style" in node.attrs:
-            declare(_DECLARED.findall(node.attrs["style"]), (1 << 30,))
-        visibility = best["visibility"][1] if "visibility" in best else None
-        return "display" in best and best["display"][1] == "none", visibility
+    return tag in HIDDEN
+
+
+def _not_displayed(node: Node) -> bool:
+    """Elements that are not shown unless a style displays them."""
+    return "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs)
 
 
 def parse(page: str) -> Node:
@@ -195,6 +164,10 @@ def parse(page: str) -> Node:
                     break
             continue
         if (tag := m["open"]) is None:
+            if page.startswith("<![CDATA[", start) and (opened["svg"] or opened["math"]) and not opened["foreignobject"]:
+                end = page.find("]]>", start)
+                stack[-1].children.append(page[start + 9 : end if end >= 0 else size])
+                at = end + 3 if end >= 0 else size
             continue
         if m["end"] is None:  # the page ends inside the tag
             break
@@ -221,11 +194,14 @@ def parse(page: str) -> Node:
                 node.children.append(html.unescape(inner))
             elif tag == "xmp":
                 node.children.append(inner)
-            elif tag == "style":
+            elif tag == "style" and not opened["noscript"] and not opened["template"] and css.applies(attrs.get("media", "")) and attrs.get("type", "text/css").strip().lower() in ("", "text/css"):
                 sheets.append(inner)
             at = stop.end() if stop else size
             continue
         push(node)
+        if tag == "plaintext":  # nothing ends it
+            node.children.append(page[at:])
+            break
     root.attrs["sheets"] = sheets
     return root
 
@@ -282,6 +258,11 @@ class _Writer:
         return "\n".join(self.lines).strip("\n")
 
 
+def _width(text: str) -> int:
+    """Columns of a line: wide characters take two, combining ones none."""
+    return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def _layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Cells (text, columns spanned, rows spanned) as lines with aligned columns."""
     widths: dict[int, int] = {}
@@ -298,7 +279,7 @@ def _layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
                 widths.setdefault(c, 0)
                 now[c] = max(down, taken.get(c, 0))
             if span == 1:
-                widths[k] = max(widths[k], *map(len, lines))
+                widths[k] = max(widths[k], *map(_width, lines))
             k += span
         placed.append(sorted(own, key=lambda x: x[0]))
         taken = {c: n - 1 for c, n in (taken | now).items() if n > 1}
@@ -308,7 +289,8 @@ def _layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
             parts = []
             for k, lines, span in own:
                 width = sum(widths[c] for c in range(k, k + span)) + 3 * (span - 1)
-                parts.append((lines[line] if line < len(lines) else "").ljust(width))
+                cell = lines[line] if line < len(lines) else ""
+                parts.append(cell + " " * (width - _width(cell)))
             while parts and not parts[-1].strip():
                 parts.pop()
             out.append(" | ".join(parts).rstrip(" "))
@@ -323,10 +305,11 @@ def _span(node: Node, name: str, most: int) -> int:
 def render(root: Node) -> str:
     writers = [_Writer()]
     tables: list[list[list[tuple[str, int, int]]]] = []
-    styles = Styles(root.attrs.get("sheets", []))
+    styles = css.Styles(root.attrs.pop("sheets", []))
     visible = [True]
+    path: list[Node] = []  # elements around the place
+    white, flows = [""], [""]  # how white space is kept, and whether a style made the element a block or inline
     lists: list[list] = []
-    pre = 0
     todo: list = [(root, False)]
     while todo:
         node, leaving = todo.pop()
@@ -334,7 +317,13 @@ def render(root: Node) -> str:
         if isinstance(node, str):
             if not visible[-1]:
                 continue
-            if pre:
+            if white[-1] == "lines":
+                first, *rest = node.split("\n")
+                w.inline(first)
+                for line in rest:
+                    w.end_line(keep_empty=True)
+                    w.inline(line)
+            elif white[-1]:
                 first, *rest = node.split("\n")
                 w.now.append(first)
                 for line in rest:
@@ -346,6 +335,9 @@ def render(root: Node) -> str:
         tag = node.tag
         if leaving:
             visible.pop()
+            white.pop()
+            path.pop()
+            flow = flows.pop()
             if tag in ("td", "th") and tables:
                 cell = writers.pop().text()
                 if not tables[-1]:
@@ -368,21 +360,22 @@ def render(root: Node) -> str:
                 w.end_line()
                 lists.pop()
                 w.blank = not lists
-            elif tag in ("pre", "xmp"):
-                pre -= 1
-                w.paragraph()
+            elif flow == "inline":
+                pass
             elif tag in PARAGRAPHS:
                 w.paragraph()
-            elif tag in BLOCKS:
+            elif tag in BLOCKS or flow:
                 w.end_line()
             elif tag == "text":
                 w.inline(" ")
             continue
         if node.hidden:
             continue
-        absent, own = styles.of(node) if styles.rules or "style" in node.attrs else (False, None)
-        if absent:
+        style = styles.of(node, path) if styles.rules or "style" in node.attrs else {}
+        display, own = style.get("display"), style.get("visibility")
+        if display == "none" or (_not_displayed(node) and display in (None, "revert")):
             continue
+        flow = "block" if display in _BLOCK_DISPLAY else "inline" if display in _INLINE_DISPLAY else ""
         seen = visible[-1] if own in (None, "inherit") else own not in ("hidden", "collapse")
         if tag == "br":
             w.end_line(keep_empty=True)
@@ -422,12 +415,11 @@ def render(root: Node) -> str:
         elif tag in ("dd", "blockquote"):
             w.paragraph() if tag == "blockquote" else w.end_line()
             w.prefix.append("  ")
-        elif tag in ("pre", "xmp"):
-            w.paragraph()
-            pre += 1
+        elif flow == "inline":
+            pass
         elif tag in PARAGRAPHS:
             w.paragraph()
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or flow:
             w.end_line()
         elif tag == "option":
             w.end_line()
@@ -435,6 +427,9 @@ def render(root: Node) -> str:
             w.inline(" ")
         todo.append((node, True))
         visible.append(seen)
+        white.append(_WHITE.get(style.get("white-space", ""), "pre" if tag in KEPT else white[-1]))
+        flows.append(flow)
+        path.append(node)
         children = node.children
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]

@@ -34,8 +34,10 @@ from pyspark.sql import types as T
 
 from motifmill.llm import common
 
-#: Permitted lengths and their costs: the tokens, and a fixed cost of 32 for each sequence.
-CAPACITIES = {c: float(c + 32) for c in (512, 1024, 2048, 4096, 8192)}
+#: Permitted lengths and their costs: the tokens, attention that grows with the square of the
+#: length (as much as the tokens at 8192), and a fixed cost of each sequence.  Short sequences
+#: pay for the fixed cost, long ones for attention, so each piece wants another size.
+CAPACITIES = {c: c + c * c / 8192 + 128 for c in (512, 1024, 2048, 4096, 8192)}
 SHARD_PIECES = 8192
 #: Rows of one id and length that a task numbers.
 RUN = 4096

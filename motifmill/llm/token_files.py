@@ -13,21 +13,23 @@ the ``sample_docs`` documents with the smallest hash of their id) and stored onc
 refuses a shard of another dictionary.  ``ShardReader.get(k)`` reads the index and one
 frame, so that short documents are reached without reading the rest.
 
-Scale: one range shuffle of the texts by id; files are written and read by the executors
+Scale: one shuffle of the texts by ranges of ids, whose bounds come from a bounded sample of ids
+alone; an id that fills several ranges is dealt to all their tasks row by row, whatever its
+texts are; files are written and read by the executors
 through the file system of the scratch URI, each under a name of its own, and only the
 manifest of the tasks that succeeded counts: lost executors leave at most unused files.
 A shard holds about ``shard_bytes`` of text; a task writes one shard after another, and there
-are at most ``MAX_TASKS`` tasks at any size.  Rows of one id are split by the beginning of
-their text; only rows that agree in both are bound to one task.
+are at most ``MAX_TASKS`` tasks at any size.
 
 Defined cases: null text is empty (the end id alone); null ids come first; equal ids are
-ordered by text; very long texts are one frame; an empty table writes no shard; extra columns are ignored.  Ids must be
+ordered by text, those dealt to several tasks within each; very long texts are one frame; an empty table writes no shard; extra columns are ignored.  Ids must be
 integers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import struct
@@ -46,8 +48,11 @@ from motifmill.llm import common
 
 MAGIC = b"MMIDS\x00\x00\x01"
 END_ID = 2
-#: Tasks that write or read files, and characters of a text that rows of one id are split by.
-MAX_TASKS, BEGINNING = 20_000, 64
+LEAST = -(2**63)
+#: Tasks that write or read files, and sampled ids for each of them that the ranges are cut by.
+MAX_TASKS, SAMPLED = 20_000, 100
+#: Bounds that are compared with an id one by one.
+STEP = 128
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -199,19 +204,46 @@ class ShardReader:
         return out
 
 
+def _bounds(ids: DataFrame, n_rows: int, tasks: int) -> list[int]:
+    """Ids that cut the rows into ``tasks`` ranges of about equal size; one that fills several ranges occurs again."""
+    if tasks < 2:
+        return []
+    share = min(1.0, SAMPLED * tasks / max(1, n_rows))
+    some = sorted(r["i"] for r in (ids.sample(share, 42) if share < 1 else ids).collect())  # SAMPLED ids a task, about
+    return [some[len(some) * k // tasks] for k in range(1, tasks)] if some else []
+
+
+def _range(key, bounds: list[int]):
+    """The range of an id; rows of an id that fills whole ranges go to any of those."""
+    if not bounds:
+        return F.lit(0)
+    array = lambda xs, kind: F.from_json(F.lit(json.dumps(xs)), kind)
+    heads = array(bounds[::STEP], "array<bigint>")
+    parts = array([bounds[k : k + STEP] for k in range(0, len(bounds), STEP)], "array<array<bigint>>")
+
+    def before(less):
+        block = F.size(F.filter(heads, less))
+        return F.when(block > 0, (block - 1) * STEP + F.size(F.filter(F.get(parts, block - 1), less))).otherwise(0)
+
+    low, high = before(lambda b: b < key), before(lambda b: b <= key)
+    spread = F.pmod(F.monotonically_increasing_id(), (high - low + 1).cast("bigint")).cast("int")
+    return F.when(high - low > 1, low + spread).otherwise(low).cast("int")
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, scratch: common.Scratch, end_id: int = END_ID, shard_bytes: int = 16 << 20, sample_docs: int = 1000, sample_chars: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Writes the shards; the manifest (shard, path, n_docs, n_tokens) and the path of the dictionary."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n_rows = rows.count()
     ending = np.array([end_id], "<u4").tobytes()
 
     encoder = CachedEncoder(tokenizer)
     few = rows.select(F.xxhash64("i").alias("h"), "i").orderBy("h", "i").limit(sample_docs).select("i").distinct()
-    texts = rows.join(F.broadcast(few), "i", "left_semi").select(F.substring("t", 1, sample_chars).alias("t"))
-    texts = texts.orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs)  # more where ids repeat
-    dictionary = train_dictionary(sorted(encoder(r["t"]) + ending for r in texts.collect()))
+    texts = rows.join(F.broadcast(few), "i", "left_semi").select(F.substring("t", 1, sample_chars).alias("t"), F.octet_length("t").alias("size"))
+    texts = texts.orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs).collect()  # more where ids repeat
+    dictionary = train_dictionary(sorted(encoder(r["t"]) + ending for r in texts))
+    total = n_rows * (sum(r["size"] for r in texts) / max(1, len(texts)))  # about the bytes of all texts
     folder = scratch.path("ids")
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
@@ -250,8 +282,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, scratch: common.Scratch,
             yield finished()
 
     tasks = min(MAX_TASKS, max(1, math.ceil(total / shard_bytes)))
-    first = F.col("i").asc_nulls_first()
-    ordered = rows.repartitionByRange(tasks, first, F.substring("t", 1, BEGINNING)).sortWithinPartitions(first, "t")
+    key = F.coalesce("i", F.lit(LEAST))
+    bounds = _bounds(rows.select(key.alias("i")), n_rows, tasks)
+    ordered = rows.repartitionById(len(bounds) + 1, _range(key, bounds)).sortWithinPartitions(F.col("i").asc_nulls_first(), "t")
     manifest = scratch.write(ordered.mapInArrow(write, "task bigint, shard bigint, path string, n_docs bigint, n_tokens bigint"), "manifest")
     return manifest, f"{folder}/{name}"
 

@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motifmill.llm import decontaminate, html_text, quality, quality_rules, token_counts, token_files
+from motifmill.llm import common, decontaminate, html_text, packing, quality, quality_rules, token_counts, token_files
 from motifmill.llm.features import LINE_FEATURES, line_features
 
 WORDS = "the of and to in is that for it on with as at by from was are be this have".split()
@@ -375,6 +376,67 @@ def test_html_tables_with_spans_and_bars():
         assert html_text.html_text(page) == want, page
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<style media=print>.a{display:none}</style><p class=a>shown", "shown"),
+        ("<style media='screen, print'>.a{display:none}</style><p class=a>no<p>b", "b"),
+        ("<noscript><style>.a{display:none}</style></noscript><p class=a>shown", "shown"),
+        ("<template><style>.a{display:none}</style></template><p class=a>shown", "shown"),
+        ("<p hidden style='display:block'>shown", "shown"),
+        ("<style>p{display:block}</style><p hidden>shown", "shown"),
+        ("<dialog>no</dialog><dialog style='display:block'>yes</dialog>", "yes"),
+        ("<style>.b{content:\"}.a{display:none\"}</style><p class=a>shown", "shown"),
+        ("<style>.b{content:'}' ; display:none} /* } .a{display:none} */</style><p class=a>shown<p class=b>no", "shown"),
+        ("<p style='content:\"; display:none;\"'>shown", "shown"),
+        ("<svg><text><![CDATA[hello <b>]]></text></svg>", "hello <b>"),
+        ("<style>.x .y{display:none}</style><div class=x><p><i class=y>no</i>a</p></div><i class=y>b</i>", "a\n\nb"),
+        ("<style>.x > .y{display:none}</style><div class=x><i class=y>no</i><p><i class=y>a</i></p></div>", "a"),
+        ("<style>ul li > b{display:none}</style><ul><li><b>no</b>a</ul><b>b</b>", "- a\n\nb"),
+        ("<style>@media screen{.a{display:none}} @media (max-width:9px){.b{display:none}} @media print{.c{display:none}}</style><p class=a>no<p class=b>b<p class=c>c", "b\n\nc"),
+        ("<style>@layer x{.a{display:none}} @supports (display:grid){.b{display:none}}</style><p class=a>no<p class=b>b", "b"),
+        ("<style>.a{color:red; .b{display:none}} .c{display:none}</style><p class=a>a<p class=b>b<p class=c>no", "a\n\nb"),
+        ("<style>.a:hover{display:none} a + b{display:none} .c, .d:x{display:none}</style><p class=a>a<p class=c>no", "a"),
+        ("<style>.a{display:none</style><p class=a>no<p>b", "b"),
+        ("<span style=display:block>a</span><span style=display:block>b</span>", "a\nb"),
+        ("<div style=display:inline>a</div><div style=display:inline>b</div>", "ab"),
+        ("<p style=white-space:pre>a  b\n c", "a  b\n c"),
+        ("<p style=white-space:pre-line>a  b\n c", "a b\nc"),
+        ("<pre style=white-space:normal>a  b\n c</pre>", "a b c"),
+        ("a<plaintext>b<p>c</plaintext>", "a\n\nb<p>c</plaintext>"),
+    ],
+)
+def test_html_styles(page, want):
+    assert html_text.html_text(page) == want
+
+
+def test_wide_characters_are_aligned():
+    page = "<table><tr><td>\u4e2d\u6587<td>a<tr><td>abcd<td>b<tr><td>e\u0301<td>c</table>"
+    assert html_text.html_text(page).split("\n") == ["\u4e2d\u6587 | a", "abcd | b", "e\u0301    | c"]
+
+
+def test_html_of_random_trees_with_sheets():
+    """Words of random trees under rules with descendants and children, against a plain walk."""
+    rng = random.Random(11)
+    for _ in range(60):
+        chosen = [(rng.choice("xyz"), rng.choice(["", " ", ">"]), rng.choice("xyz")) for _ in range(3)]
+        sheet = " ".join(f".{b}{{display:none}}" if not j else f".{a}{j}.{b}{{display:none}}" for a, j, b in chosen)
+        count = [0]
+
+        def tree(above, chosen=chosen, count=count):
+            own = rng.choice("xyzw")
+            gone = any(own == b and (not j or (j == ">" and above and above[-1] == a) or (j == " " and a in above)) for a, j, b in chosen)
+            count[0] += 1
+            text, words = f"w{count[0]}", [f"w{count[0]}"]
+            for _ in range(rng.randint(0, 3) if len(above) < 4 else 0):
+                inner, more = tree([*above, own])
+                text, words = f"{text} {inner}", words + more
+            return f"<div class={own}>{text}</div>", [] if gone else words
+
+        body, words = tree([])
+        assert html_text.html_text(f"<style>{sheet}</style>{body}").split() == words, (sheet, body)
+
+
 def test_html_visibility_and_style_sheets():
     for page, want in {
         "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>z": "yes\nz",
@@ -384,7 +446,8 @@ def test_html_visibility_and_style_sheets():
         "<style>.h{display:none} p.h{display:block}</style><p class=h>yes<div class=h>no</div>": "yes",
         "<style>.h{display:none}</style><p class=h style='display:block'>yes<style>.k{display:none!important}</style><p class=k style=display:block>no": "yes",
         "<style>@media print{.h{display:none}} @import 'x'; .k{visibility:hidden}</style><p class=h>yes<p class=k>no": "yes",
-        "<style>div p{display:none} p:hover{display:none} {display:none}</style><div><p>yes</div>": "yes",
+        "<style>div ~ p{display:none} p:hover{display:none} {display:none}</style><div><p>yes</div>": "yes",
+        "<style>div p{display:none}</style><div><p>no</div><p>yes": "yes",
         "<p style='display:none;display:block'>yes": "yes",
     }.items():
         assert html_text.html_text(page) == want, page
@@ -481,3 +544,66 @@ def test_cached_encoder_equals_the_library():
     for _ in range(3000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert encoder(t) == encoder._library(t), repr(t)
+
+
+def test_token_files_deal_one_id_to_many_tasks(spark):
+    import public_tokenizers as public
+
+    rows = [(7, "the same beginning of all these texts, which has more than 64 letters " + str(k % 5)) for k in range(3000)]
+    rows += [(None, "no id")] * 2500 + [(k, f"text {k}") for k in range(-300, 300)] + [(2**62, "last")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    manifest, dictionary = token_files.write_token_files(df, public.path("byte_bpe_50k.json"), common.Scratch(spark, "t"), shard_bytes=10_000)
+    back = token_files.read_token_files(manifest, dictionary).orderBy("start").collect()
+    ids = [r["doc_id"] for r in back]
+    assert ids == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0)) and len(ids) == len(rows)
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(back, back[1:]))
+    most = manifest.groupBy("task").agg(F.sum("n_docs").alias("n")).agg(F.count(F.lit(1)).alias("tasks"), F.max("n").alias("most")).first()
+    assert most["tasks"] > 10 and most["most"] < 1500
+    encoder = token_files.CachedEncoder(public.path("byte_bpe_50k.json"))
+    want = Counter((i, zlib.crc32(encoder(t) + np.array([2], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in back) == want
+
+
+def test_range_of_ids(spark):
+    bounds = sorted([5] * 4 + list(range(10, 400, 2)) + [500])
+    df = spark.createDataFrame([(k,) for k in [*range(0, 520), *[5] * 50]], "i bigint")
+    got = df.select("i", token_files._range(F.col("i"), bounds).alias("r")).collect()
+    assert {r["r"] for r in got if r["i"] == 5} == set(range(5))
+    assert all(r["r"] == sum(b < r["i"] for b in bounds) for r in got if r["i"] != 5)
+
+
+def test_packing_uses_several_sizes(spark):
+    rng = random.Random(3)
+    lengths = sorted((min(8192, int(rng.lognormvariate(6, 1.3)) + 1) for _ in range(4000)), reverse=True)
+    _, sizes, _ = packing.pack(lengths, packing.CAPACITIES)
+    cost = sum(packing.CAPACITIES[c] for c in sizes)
+    assert sum(n >= 10 for n in Counter(sizes).values()) >= 3
+    for single in packing.CAPACITIES:  # longer pieces go to the least size that holds them
+        rest = {c: packing.CAPACITIES[c] for c in packing.CAPACITIES if c >= single}
+        only = [min(c for c in rest if c >= n) for n in lengths if n > single]
+        short = packing.best_fit([n for n in lengths if n <= single], {single: packing.CAPACITIES[single]}, single)[1]
+        assert cost < sum(packing.CAPACITIES[c] for c in [*only, *short])
+
+
+def test_packing_ignores_clashing_columns(spark):
+    items = spark.createDataFrame([(k, 5 + k % 7) for k in range(40)], "doc_id bigint, n_tokens bigint")
+    more = items.withColumns({c: F.lit("x") for c in ("i", "n", "p", "s", "shard", "rows", "pieces", "number", "run", "bin_id", "piece")})
+    plain, out = packing.pack_lengths(items, {16: 20.0, 32: 34.0}), packing.pack_lengths(more, {16: 20.0, 32: 34.0})
+    assert out.columns == plain.columns and sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_token_counts_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id bigint, text string, n_tokens string")
+    out = token_counts.token_counts(df, {token_counts.MARK: -1.0, "a": -2.0})
+    assert out.columns == ["doc_id", "n_pretokens", "n_tokens"] and out.count() == 0
+
+
+def test_quality_takes_one_text_of_an_id_that_repeats(spark):
+    rows = [(i, t) for i, t, _ in _quality_rows()]
+    labels = spark.createDataFrame([(i, y) for i, _, y in _quality_rows()], "doc_id bigint, quality int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    again = docs.unionByName(docs.select("doc_id", F.concat(F.lit("￿"), "text").alias("text"))).unionByName(docs).repartition(5)
+    one, many = quality.fit(docs, labels), quality.fit(again, labels)
+    assert np.array_equal(one.linear, many.linear) and np.array_equal(one.factors, many.factors)
+    out = quality.score(again, many)
+    assert out.count() == 3 * len(rows) and out.groupBy("doc_id").agg(F.count_distinct("score").alias("n")).where("n > 2").count() == 0
