@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifmill.functions import tokenizer
@@ -75,6 +75,16 @@ def dataset(df: DataFrame, vocab: Mapping[str, int], col: str = "smarts", max_le
     return ids.select(*df.columns, padded.alias("input_ids"), mask.alias("attention_mask"), "ok")
 
 
+def dataset_from_files(spark: SparkSession, vocabulary: str, lines: str, max_length: int | None = None, bos: bool = False, eos: bool = False) -> DataFrame:
+    """The dataset of a file of strings and a vocabulary JSON, both in any store that Spark reads; rows keep their order ``ord``."""
+    import json
+
+    from motifmill.sources import files
+
+    text = "\n".join(r["value"] for r in spark.read.text(vocabulary, wholetext=True).collect())  # one file of thousands of tokens
+    return dataset(files.read_lines(spark, lines), json.loads(text)["token_to_id"], "smarts", max_length, bos, eos)
+
+
 def sequence_lengths(ids: str = "_ids") -> list[Column]:
     """Longest (1 if there is none) and mean sequence."""
     return [F.coalesce(F.max(F.size(ids)), F.lit(1)).alias("max_length"), F.avg(F.size(ids)).alias("mean_length")]

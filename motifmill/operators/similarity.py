@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,8 +11,10 @@ from pyspark.sql import functions as F
 from motifmill.functions.vectors import EPSILON, dot, normalise, tanimoto
 from motifmill.scratch import written
 
-#: Bytes of query vectors that are broadcast at a time.
+#: Bytes of vectors of a block.
 BLOCK_BYTES = 64 << 20
+#: Token sets that are sent to all tasks at most.
+MOST_QUERIES = 10_000
 
 
 def normalised(df: DataFrame, col: str = "embedding") -> DataFrame:
@@ -42,55 +42,48 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame, key: str, col: str, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Keys and unit vectors of the queries, ``block_bytes`` of vectors at a time (one row at least)."""
-    ids, rows, size = [], [], 0
-    for r in queries.select(key, col).toLocalIterator():
-        v = np.asarray(r[col], np.float64)
-        if rows and size + v.nbytes > block_bytes:
-            yield ids, np.stack(rows)
-            ids, rows, size = [], [], 0
-        ids.append(r[key])
-        rows.append(v / max(float(np.linalg.norm(v)), EPSILON))
-        size += v.nbytes
-    yield ids, np.stack(rows) if rows else np.zeros((0, 0))
-
-
 def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str = "vec_id", col: str = "embedding", block: int = 512, exclude_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The similarity of every query and every row of the index, by blocked matrix products; with ``k`` at least the best ``k``.
 
-    The driver holds one block of queries at a time; a block meets the index in one pass,
-    ``block`` queries to a product, whose tasks each send ``k`` rows a query, or all.
+    Queries and index are dealt to blocks of about ``block_bytes`` of vectors, which meet in a
+    grid: a cell holds one block of each and sends ``k`` rows a query, or all, ``block``
+    queries to a product.  Only three counts come to the driver.
     """
-    kind = index.schema[key].dataType.simpleString()
-    out = None
-    for ids, vectors in _query_blocks(queries, key, col, block_bytes):
-        sent = index.sparkSession.sparkContext.broadcast((ids, vectors))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            names, every = np.asarray(sent.value[0]), sent.value[1]
-            for pdf in batches:
-                if not len(names) or not len(pdf):
-                    continue
-                m = np.stack(pdf[col].to_list()).astype(np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPSILON)
-                near = pdf[key].to_numpy()
-                for at in range(0, len(names), block):
-                    own = names[at : at + block]
-                    s = every[at : at + block] @ m.T
-                    if exclude_self:
-                        s[own[:, None] == near[None, :]] = -np.inf
-                    wanted = np.isfinite(s)
-                    if k is not None:
-                        most = min(k, s.shape[1])
-                        bar = -np.partition(-s, most - 1, axis=1)[:, most - 1]
-                        wanted &= s >= bar[:, None]  # ties at the bar all go on
-                    a, b = np.nonzero(wanted)
-                    yield pd.DataFrame({"query": own[a], "neighbour": near[b], "similarity": s[a, b]})
-
-        part = index.select(key, col).mapInPandas(run, f"query {kind}, neighbour {kind}, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kind, spark = index.schema[key].dataType.simpleString(), index.sparkSession
+    known = lambda df: df.where(F.col(col).isNotNull()).select(key, col)
+    index, queries = known(index), known(queries)
+    n_rows, dims = index.agg(F.count(F.lit(1)), F.max(F.size(col))).first()
+    most = max(1, block_bytes // (8 * (dims or 1)))
+    down = max(1, -(-queries.count() // most))
+    across = max(1, -(-n_rows // most), -(-min(n_rows, spark.sparkContext.defaultParallelism) // down))
+    place = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q = queries.select(place(down).alias("x"), every(across).alias("y"), F.col(key).alias("q"), F.col(col).alias("v"))
+    r = index.select(every(down).alias("x"), place(across).alias("y"), F.col(key).alias("r"), F.col(col).alias("w"))
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        m = np.stack(vectors.to_list()).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPSILON)
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        m = unit(right["w"]) if len(left) and len(right) else None
+        near = right["r"].to_numpy()
+        for at in range(0, len(left) if m is not None else 0, block):
+            own = left["q"].to_numpy()[at : at + block]
+            s = unit(left["v"].iloc[at : at + block]) @ m.T
+            if exclude_self:
+                s[own[:, None] == near[None, :]] = -np.inf
+            wanted = np.isfinite(s)
+            if k is not None:
+                few = min(k, s.shape[1])
+                bar = -np.partition(-s, few - 1, axis=1)[:, few - 1]
+                wanted &= s >= bar[:, None]  # ties at the bar all go on
+            a, b = np.nonzero(wanted)
+            parts.append(pd.DataFrame({"query": own[a], "neighbour": near[b], "similarity": s[a, b]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query": [], "neighbour": [], "similarity": []})
+
+    return q.groupBy("x", "y").cogroup(r.groupBy("x", "y")).applyInPandas(cell, f"query {kind}, neighbour {kind}, similarity double")
 
 
 def pairs(sample: DataFrame, key: str, left: Column | None = None) -> DataFrame:
@@ -115,7 +108,9 @@ def pairwise_tanimoto(sample: DataFrame, key: str, tokens: str = "tokens") -> Da
 
 
 def tanimoto_against(index: DataFrame, queries: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """The defined similarities of a stated small set and every other row."""
+    """The defined similarities of a stated small set (``MOST_QUERIES`` rows at most) and every other row."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: take set_join")
     a = F.broadcast(queries.select(F.col(key).alias("a"), F.col(tokens).alias("ta")))
     b = index.select(F.col(key).alias("b"), F.col(tokens).alias("tb"))
     return b.join(a, F.col("a") != F.col("b")).select("a", "b", tanimoto(F.col("ta"), F.col("tb")).alias("similarity")).where("similarity is not null")

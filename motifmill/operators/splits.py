@@ -46,7 +46,7 @@ def _first_in_hash_order(hashed: DataFrame, k: int, seed: int, key: str) -> Colu
 
 def group_holdout(df: DataFrame, share: float = 0.2, seed: int = 42, group: str = "group") -> DataFrame:
     """Adds ``split``: the share of the *groups* (rounded up) in hash order are test."""
-    hashed = df.select(group).distinct().select(draw(seed, F.col(group)).alias("h"), group)
+    hashed = written(df.select(group).distinct().select(draw(seed, F.col(group)).alias("h"), group), "groups")
     k = -int(-_share(share) * hashed.count() // 1)
     return df.withColumn("split", F.when(_first_in_hash_order(hashed, k, seed, group), "test").otherwise("train"))
 

@@ -85,3 +85,38 @@ def histogram_2d(df: DataFrame, x: str, y: str, bounds: tuple[float, float, floa
     x0, x1, y0, y1 = bounds
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return cells.groupBy(bucket(F.col(x), x0, x1, bins).alias("x_bin"), bucket(F.col(y), y0, y1, bins).alias("y_bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hexagons(df: DataFrame, x: str, y: str, bounds: tuple[float, float, float, float], across: int = 40, up: int = 24) -> DataFrame:
+    """(lattice, column, row, n) of hexagonal bins: each point goes to the nearest centre of two rectangular lattices.
+
+    The second lattice lies half a step from the first; vertical distances count three times
+    squared, which makes the bins regular hexagons of a plane so scaled.  Points with a null are left out.
+    """
+    x0, x1, y0, y1 = bounds
+    rows = df.select(((F.col(x) - x0) / ((x1 - x0) / across)).alias("u"), ((F.col(y) - y0) / ((y1 - y0) / up)).alias("v")).where("u is not null and v is not null")
+    rows = rows.withColumns({"a": F.floor(F.col("u") + 0.5), "b": F.floor(F.col("v") + 0.5), "c": F.floor("u"), "d": F.floor("v")})
+    far = lambda a, b: (F.col("u") - a) * (F.col("u") - a) + 3 * (F.col("v") - b) * (F.col("v") - b)
+    first = far(F.col("a"), F.col("b")) < far(F.col("c") + 0.5, F.col("d") + 0.5)
+    cells = rows.select(F.when(first, 0).otherwise(1).alias("lattice"), F.when(first, F.col("a")).otherwise(F.col("c")).alias("column"), F.when(first, F.col("b")).otherwise(F.col("d")).alias("row"))
+    return cells.groupBy("lattice", "column", "row").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Size of a length sketch: with 1000 a quantile's rank is off by about 0.4 % of the rows at most (99 %).
+SKETCH = 1000
+
+
+def length_sketches(df: DataFrame, length: Column, part: str, k: int = SKETCH) -> DataFrame:
+    """(part, n, sketch): a mergeable sketch of the lengths of each part, to be stored; null lengths do not count.
+
+    Parts that are added later are sketched alone and their rows appended.
+    """
+    rows = df.select(F.col(part).alias("part"), length.cast("bigint").alias("n")).where(F.col("n").isNotNull())
+    return rows.groupBy("part").agg(F.count("n").alias("n"), F.kll_sketch_agg_bigint("n", F.lit(k)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, ranks: Sequence[float], k: int = SKETCH) -> DataFrame:
+    """(rank, value) of all stored parts together: one small row of each part is merged, no length is read again."""
+    merged = sketches.agg(F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("s"))
+    each = F.array(*[F.struct(F.lit(float(r)).alias("rank"), F.kll_sketch_get_quantile_bigint("s", F.lit(float(r))).alias("value")) for r in ranks])
+    return merged.where(F.kll_sketch_get_n_bigint("s") > 0).select(F.inline(each))

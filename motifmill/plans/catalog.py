@@ -6,20 +6,23 @@ vector queries on ``embeddings``; the length queries on ``documents``.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifmill.functions import graph, tokenizer, vectors
+from motifmill import stages
+from motifmill.functions import graph, text, tokenizer, vectors
 from motifmill.functions.ec import primary_ec, top_level
 from motifmill.functions.vectors import cosine
-from motifmill.operators import classify, clean, encode, encoder, graphs, labels, masking, metrics, set_join, similarity, splits, stats, subword, train, vector_index, vocab
+from motifmill.operators import classify, clean, encode, encoder, graphs, labels, masking, metrics, neighbours, set_join, similarity, splits, stats, subword, train, vector_index, vocab
 from motifmill.operators import group_folds as group_folds_
 from motifmill.scratch import shared_folder, written
-from motifmill.sources import files
+from motifmill.sources import corpus, files, npy
 from motifmill.sources.tables import TEMPLATE_COLUMNS, table, templates
+from motifmill.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -888,3 +891,99 @@ def baseline_report(spark, sf_dir):
         part = metrics.class_metrics(found.select(F.col("label").cast("string").alias("label"), F.col("predicted").cast("int").cast("string").alias("predicted"))).select(F.lit(name).alias("features"), "*")
         out = part if out is None else out.unionByName(part)
     return _rounded(out)
+
+
+# --- stored corpora, sketches, data sources and streams ------------------------------
+
+
+@query(ORACLE_SQL["labelled_join"])
+def stored_join(spark, sf_dir):
+    """The labelled join of two tables that lie bucketed by template: no row moves for it."""
+    raw = templates(spark, sf_dir)
+    stored = corpus.Corpus(spark, buckets=16)
+    stored.store(clean.reaction_groups(raw), "groups")
+    stored.store(labels.label_map(raw), "labels")
+    return stored.join("groups", "labels").select("smarts", "label", F.coalesce("reaction_group", "smarts").alias("group_id"))
+
+
+@query(f"{_TOKENS} SELECT ok AND list_contains(tokens, '>>') AS valid, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1")
+def observed_tally(spark, sf_dir):
+    """Valid and other templates, counted while the validated table is written."""
+    return stages.tally_of(clean.validate(_first(spark, sf_dir).select("smarts")), shared_folder(spark, "validated"))
+
+
+@query()
+def sketched_lengths(spark, sf_dir):
+    """Quantiles of text lengths from stored sketches of each source."""
+    docs = table(spark, sf_dir, "documents")
+    sketches = written(stats.length_sketches(docs, F.length("text"), "source"), "sketches")
+    return stats.sketched_quantiles(sketches, [k / 20 for k in range(21)])
+
+
+@query(ORACLE_SQL["index_file"])
+def npy_files(spark, sf_dir):
+    npy.register(spark)
+    path = shared_folder(spark, "npy")
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("key"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows.write.format("npy").mode("append").save(path)
+    back = spark.read.format("npy").load(path)
+    return back.select(F.col("key").alias("smarts"), F.size("embedding").cast("bigint").alias("dims"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+@query(ORACLE_SQL["encode_longest"])
+def dataset_from_files(spark, sf_dir):
+    folder = shared_folder(spark, "dataset")
+    files.write_lines(clean.clean(templates(spark, sf_dir)), f"{folder}/lines")
+    known = json.dumps({"token_to_id": _vocabulary(spark, sf_dir)})
+    spark.createDataFrame([(known,)], "value string").coalesce(1).write.text(f"{folder}/vocabulary")
+    rows = encode.dataset_from_files(spark, f"{folder}/vocabulary", f"{folder}/lines", bos=True, eos=True)
+    return rows.select("smarts", "ok", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
+
+
+@query("""WITH p AS (SELECT l_quantity / (50.0::DOUBLE / 40) AS u, l_extendedprice / (100000.0::DOUBLE / 24) AS v FROM lineitem),
+  q AS (SELECT u, v, floor(u + 0.5) AS a, floor(v + 0.5) AS b, floor(u) AS c, floor(v) AS d FROM p),
+  r AS (SELECT *, (u - a) * (u - a) + 3 * (v - b) * (v - b) < (u - (c + 0.5)) * (u - (c + 0.5)) + 3 * (v - (d + 0.5)) * (v - (d + 0.5)) AS f FROM q)
+SELECT CASE WHEN f THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN f THEN a ELSE c END AS BIGINT) AS "column", CAST(CASE WHEN f THEN b ELSE d END AS BIGINT) AS "row", CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2, 3""")
+def hexagon_counts(spark, sf_dir):
+    return stats.hexagons(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", (0.0, 50.0, 0.0, 100000.0))
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[str, str]:
+    """Folders of valid templates, written part after part in the order of their rows, and for the first row of each."""
+    folder = shared_folder(spark, "arrivals")
+    raw = templates(spark, sf_dir)
+    rows = raw.where(text.is_true(F.col("VALID")) & text.not_blank(F.col("TEMPLATE")))
+    order = F.format_string("%020d-%020d-%020d-%020d", *[F.col(f"ord.o{k}") for k in (1, 2, 3, 4)])
+    rows = written(rows.select(text.strip(F.col("TEMPLATE")).alias("smarts"), order.alias("ord")), "valid")
+    cuts = [r for r in rows.select(F.percentile_approx(F.substring("ord", 1, 20).cast("bigint"), [k / parts for k in range(1, parts)])).first()[0] or []]
+    at = F.substring("ord", 1, 20).cast("bigint")
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        own = rows
+        own = own if low is None else own.where(at > low)
+        own = own if high is None else own.where(at <= high)
+        own.write.mode("append").parquet(f"{folder}/in")
+    return f"{folder}/in", f"{folder}/first"
+
+
+@query(f"{_FIRST} SELECT smarts FROM f")
+def keep_first_stream(spark, sf_dir):
+    """The first row of each template of files that arrive one after the other."""
+    arrived, path = _arrivals(spark, sf_dir)
+    state.first_rows_of_files(spark, arrived, "smarts string, ord string", "smarts", "ord", path)
+    return spark.read.schema("smarts string, ord string, batch int").parquet(path).select("smarts")
+
+
+@query(ORACLE_SQL["token_frequencies"])
+def vocabulary_stream(spark, sf_dir):
+    """Running token counts over the first rows of a stream of files."""
+    arrived, path = _arrivals(spark, sf_dir)
+    state.first_rows_of_files(spark, arrived, "smarts string, ord string", "smarts", "ord", path)
+    stream = spark.readStream.schema("smarts string, ord string, batch int").parquet(path)
+    tokens = tokenizer.with_tokens(stream, "smarts").where("ok").select(F.explode("tokens").alias("token"))
+    return state.running_counts(spark, tokens, "token", shared_folder(spark, "counts"))
+
+
+@query()
+def neighbour_graph(spark, sf_dir):
+    """About the 15 nearest rows of every vector, by descent, as an undirected graph of fuzzy weights."""
+    return neighbours.fuzzy_weights(neighbours.neighbours(table(spark, sf_dir, "embeddings"), 15), 15)

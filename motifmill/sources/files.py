@@ -24,14 +24,15 @@ def order(file_rank: int) -> Column:
     return F.struct(F.lit(file_rank).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Text columns of CSV files in the given order, with ``ord``; missing words are null.
 
-    Columns are found by name in each header, so files may hold others too.
+    Columns are found by name in each header, so files may hold others too.  With ``multi_line``
+    quoted fields may hold line feeds; such a file is then read by one task.
     """
     parts = []
     for rank, path in enumerate(paths):
-        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
         names = raw.csv(path).columns
         absent = [c for c in schema.names if c not in names]
         if absent:
@@ -48,12 +49,12 @@ def read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType) ->
     return out
 
 
-def read_raw(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return read_csv(spark, paths, schemas.RAW)
+def read_raw(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
+    return read_csv(spark, paths, schemas.RAW, multi_line)
 
 
-def read_raw_labels(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return read_csv(spark, paths, schemas.RAW_LABELS)
+def read_raw_labels(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
+    return read_csv(spark, paths, schemas.RAW_LABELS, multi_line)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

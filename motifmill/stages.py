@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from motifmill.functions import tokenizer
@@ -23,10 +23,18 @@ def clean_stage(spark: SparkSession, raw: list[str], output: str, groups: str |
 
 
 def validate_stage(spark: SparkSession, lines: str, output: str, groups: str | None = None) -> DataFrame:
-    """The clean list to the validated table with groups, as Parquet; the tally of valid rows."""
+    """The clean list to the validated table with groups, as Parquet; the tally of valid rows, counted as they are written."""
     rows = clean.validate(files.read_lines(spark, lines).drop("ord"))
-    clean.attach_groups(rows, files.read_groups(spark, groups)).write.mode("overwrite").parquet(output)
-    return spark.read.parquet(output).groupBy("valid").agg(F.count(F.lit(1)).alias("n"))
+    return tally_of(clean.attach_groups(rows, files.read_groups(spark, groups)), output)
+
+
+def tally_of(rows: DataFrame, output: str) -> DataFrame:
+    """Writes rows as Parquet; (valid, n) from metrics of that one write, without rows of no count."""
+    seen = Observation("validated")
+    counts = [F.count_if(F.col("valid") == v).alias(str(v)) for v in (True, False)]
+    rows.observe(seen, *counts, F.count_if(F.col("valid").isNull()).alias("None")).write.mode("overwrite").parquet(output)
+    found = [(v, seen.get[str(v)]) for v in (True, False, None) if seen.get[str(v)]]
+    return rows.sparkSession.createDataFrame(found, "valid boolean, n bigint")
 
 
 def vocab_stage(spark: SparkSession, validated: str, output: str) -> dict:
