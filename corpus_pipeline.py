@@ -4,7 +4,7 @@ Documents that the quality classifier rejects go; one document of each group of
 copies stays; passages that repeat are cut out of the texts; documents that hold a
 benchmark passage go; what is left is packed into sequences.  ``run`` writes every
 stage as Parquet in the shared scratch folder, rereads it for the next one and drops the one
-before.
+before, and what a stage stored on its way.
 
 Defined cases: documents with null or empty texts are scored like texts without words; rows
 without an id and repeated rows are documents of their own until near-dedup keeps one of them;
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motifmill.llm import common, decontaminate, near_dedup, packing, quality, substring_dedup
+from motifmill.scratch import removed_after
 
 STAGES = [
     ("quality", quality.stage),
@@ -35,7 +36,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     done = None
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with removed_after(spark):
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
         if done:
             scratch.drop(done)
         done = name
