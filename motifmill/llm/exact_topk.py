@@ -61,8 +61,8 @@ def strongest(vector: Column) -> Column:
     return F.transform(F.slice(ranked, 1, STRONGEST), lambda s: s["i"])
 
 
-def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of two integer matrices, exact; the longer rows' ends meet zeros."""
+def _exact(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two integer matrices, as Python integers where 64 bits may not do."""
     d = min(q.shape[1], m.shape[1])
     q, m = q[:, :d], m[:, :d]
     if not d or not len(q) or not len(m):
@@ -75,14 +75,23 @@ def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return q.astype(object) @ m.T.astype(object)
 
 
+def _held(scores: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(scores, LOWEST), HIGHEST).astype(np.int64) if scores.dtype == object else scores
+
+
+def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two integer matrices, held within 64 bits; the longer rows' ends meet zeros."""
+    return _held(_exact(q, m))
+
+
 def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """What a row of each block can score at most with each query."""
-    return products(np.maximum(q, 0), high) + products(np.minimum(q, 0), low)
+    return _held(_exact(np.maximum(q, 0), high) + _exact(np.minimum(q, 0), low))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: by falling score, then by id."""
-    if len(scores) > 4 * k and scores.dtype != object:
+    if len(scores) > 4 * k:
         reach = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= reach)
     else:
@@ -115,8 +124,8 @@ class _Cutter:
         rids, ids = np.array([r[0] for r in self.rows], np.int64), np.array([HIGHEST if r[1] is None else r[1] for r in self.rows], np.int64)
         asked = [j for j, r in enumerate(self.rows) if r[2]]
         for j, scores in zip(asked, products(m[asked], m), strict=True):
-            others = sorted(map(int, np.delete(scores, j)), reverse=True)
-            reach = max(LOWEST, min(HIGHEST, others[self.k - 1])) if len(others) >= self.k else LOWEST
+            others = np.sort(np.delete(scores, j))[::-1]
+            reach = int(others[self.k - 1]) if len(others) >= self.k else LOWEST
             self.pack.append((rids[j], ids[j], m[j], reach))
             if len(self.pack) == PACK_ROWS or len(self.pack) * dims >= PACK_CELLS:
                 yield self.packed()
@@ -180,7 +189,7 @@ def _rows(made: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def visit(q: np.ndarray, rid: int, limits: np.ndarray, floor: int, cells: np.ndarray, rids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """One query through the blocks of a shard, by falling bound: scores and ids of the best k that reach ``floor``, and the number of blocks scored."""
-    order = np.argsort(-limits, kind="stable")
+    order = np.argsort(limits, kind="stable")[::-1]  # the least of 64 bits has no negative
     scores, found, done, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 1
     while done < len(order):
         own = [b for b in order[done : done + step] if limits[b] >= floor]
@@ -232,7 +241,7 @@ def search(rows: DataFrame, query: Column, scratch: common.Scratch, k: int = K,
                 if report:
                     out = [(qid[a], n_blocks, f[2]) for a, f in enumerate(found)]
                 else:
-                    out = [(rid[a], qid[a], i, max(LOWEST, min(HIGHEST, int(s)))) for a, f in enumerate(found) for s, i in zip(f[0], f[1], strict=True)]
+                    out = [(rid[a], qid[a], i, s) for a, f in enumerate(found) for s, i in zip(f[0], f[1], strict=True)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in zip(*out, strict=True)], names=[f"c{j}" for j in range(len(out[0]))])
 
