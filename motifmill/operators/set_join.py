@@ -46,7 +46,9 @@ def candidates(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     index = written(ordered.select("class", "n", prefix.alias("prefix")), "prefixes")
     posting = index.select("class", "n", "prefix", F.posexplode("prefix").alias("at", "token"))
     b = posting.select(*[F.col(c).alias(f"b_{c}") for c in ("class", "prefix", "at")], F.col("n").alias("size"), "token")
-    a = posting.select(*[F.col(c).alias(f"a_{c}") for c in ("class", "n", "prefix", "at")], "token", F.explode(F.sequence(_least(F.col("n"), percent), F.col("n"))).alias("size"))
+    # Classes differ, so two of one size share one token less than they have at most.
+    sizes = F.filter(F.sequence(_least(F.col("n"), percent), F.col("n")), lambda m: (m < F.col("n")) | ((m - 1) * (100 + percent) >= 2 * m * percent))
+    a = posting.select(*[F.col(c).alias(f"a_{c}") for c in ("class", "n", "prefix", "at")], "token", F.explode(sizes).alias("size"))
     met = a.join(b, ["token", "size"]).where((F.col("a_n") > F.col("size")) | (F.col("a_class") < F.col("b_class")))
     first = F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("token")
     left = F.least(F.col("a_n") - F.col("a_at"), F.col("size") - F.col("b_at"))  # shared tokens at most, this one included
