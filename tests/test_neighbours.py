@@ -42,3 +42,23 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert neighbours.neighbours(df, 5).count() == 6
     assert neighbours.neighbours(df.limit(0), 5).count() == 0
+
+
+def test_rows_meet_once(spark, monkeypatch):
+    """Vectors are sent to the nodes they are near, not with every candidate; a hub's rows are dealt to several tasks without a change."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(400, 16)).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(2)
+    sent, meet = [], neighbours._meet
+
+    def counted(members, *rest):
+        sent.append(members.groupBy("m", "x").count().agg({"count": "max", "m": "count"}).first())
+        return meet(members, *rest)
+
+    monkeypatch.setattr(neighbours, "_meet", counted)
+    graph = {(r["a"], r["b"]): r["similarity"] for r in neighbours.neighbours(df, 6, rounds=3).collect()}
+    assert all(r["max(count)"] == 1 and r["count(m)"] <= 400 * 4 * 6 for r in sent)
+    monkeypatch.setattr(neighbours, "TAKERS", 4)
+    dealt = {(r["a"], r["b"]): r["similarity"] for r in neighbours.neighbours(df, 6, rounds=3).collect()}
+    assert graph.keys() == dealt.keys() and all(abs(graph[e] - s) < 1e-9 for e, s in dealt.items())
