@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from motifmill.scratch import written
 
 #: Bytes of vectors of a block.
 BLOCK_BYTES = 64 << 20
+#: Similarities of one product, and of a cell whose similarities are all returned, at most.
+PAIRS, CELL_PAIRS = 1 << 20, 1 << 26
 #: Token sets that are sent to all tasks at most.
 MOST_QUERIES = 10_000
 
@@ -46,44 +50,66 @@ def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str
     """The similarity of every query and every row of the index, by blocked matrix products; with ``k`` at least the best ``k``.
 
     Queries and index are dealt to blocks of about ``block_bytes`` of vectors, which meet in a
-    grid: a cell holds one block of each and sends ``k`` rows a query, or all, ``block``
-    queries to a product.  Only three counts come to the driver.
+    grid.  A cell holds its block of queries; the rows of the index go past them batch by batch, and what
+    ``block`` queries at most and a batch give, no more than ``PAIRS`` similarities, goes out at once,
+    so that no task holds a cell's results.  Only three counts come to the driver.
     """
     kind, spark = index.schema[key].dataType.simpleString(), index.sparkSession
     known = lambda df: df.where(F.col(col).isNotNull()).select(key, col)
     index, queries = known(index), known(queries)
     n_rows, dims = index.agg(F.count(F.lit(1)), F.max(F.size(col))).first()
     most = max(1, block_bytes // (8 * (dims or 1)))
-    down = max(1, -(-queries.count() // most))
+    n_queries = queries.count()
+    down = max(1, -(-n_queries // most))
     across = max(1, -(-n_rows // most), -(-min(n_rows, spark.sparkContext.defaultParallelism) // down))
-    place = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    if k is None:
+        across = max(across, min(n_rows, -(-n_queries * n_rows // (down * CELL_PAIRS))))
+    place = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("bigint")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    q = queries.select(place(down).alias("x"), every(across).alias("y"), F.col(key).alias("q"), F.col(col).alias("v"))
-    r = index.select(every(down).alias("x"), place(across).alias("y"), F.col(key).alias("r"), F.col(col).alias("w"))
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.stack(vectors.to_list()).astype(np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPSILON)
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        m = unit(right["w"]) if len(left) and len(right) else None
-        near = right["r"].to_numpy()
-        for at in range(0, len(left) if m is not None else 0, block):
-            own = left["q"].to_numpy()[at : at + block]
-            s = unit(left["v"].iloc[at : at + block]) @ m.T
-            if exclude_self:
-                s[own[:, None] == near[None, :]] = -np.inf
-            wanted = np.isfinite(s)
-            if k is not None:
-                few = min(k, s.shape[1])
-                bar = -np.partition(-s, few - 1, axis=1)[:, few - 1]
-                wanted &= s >= bar[:, None]  # ties at the bar all go on
-            a, b = np.nonzero(wanted)
-            parts.append(pd.DataFrame({"query": own[a], "neighbour": near[b], "similarity": s[a, b]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query": [], "neighbour": [], "similarity": []})
-
-    return q.groupBy("x", "y").cogroup(r.groupBy("x", "y")).applyInPandas(cell, f"query {kind}, neighbour {kind}, similarity double")
+    q = queries.select(place(down).alias("x"), every(across).alias("y"), F.lit(False).alias("late"), F.col(key).alias("key"), F.col(col).alias("v"))
+    r = index.select(every(down).alias("x"), place(across).alias("y"), F.lit(True).alias("late"), F.col(key).alias("key"), F.col(col).alias("v"))
+    met = q.unionByName(r).repartition(down * across, "x", "y").sortWithinPartitions("x", "y", "late")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, keys, parts, own, best = None, [], [], None, None
+        for batch in batches:
+            x, y, late, names = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(4))
+            m = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPSILON)
+            cuts = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (late[1:] != late[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(x)]):
+                if cell != (x[lo], y[lo]):
+                    cell, keys, parts, own, best = (x[lo], y[lo]), [], [], None, None
+                if not late[lo]:
+                    keys.append(names[lo:hi])
+                    parts.append(m[lo:hi].copy())
+                    continue
+                if not keys:
+                    continue
+                if own is None:
+                    own, asked, parts = np.concatenate(parts), np.concatenate(keys), []
+                    best = np.full((len(own), k), -np.inf) if k is not None else None
+                wide = max(1, PAIRS // min(block, len(own)))
+                for left in range(lo, hi, wide):
+                    right = min(hi, left + wide)
+                    for at in range(0, len(own), block):
+                        out = product(own[at : at + block], asked[at : at + block], m[left:right], names[left:right], None if best is None else best[at : at + block])
+                        if out.num_rows:
+                            yield out
+
+    def product(own: np.ndarray, asked: np.ndarray, rows: np.ndarray, near: np.ndarray, best: np.ndarray | None) -> pa.RecordBatch:
+        s = own @ rows.T
+        if exclude_self:
+            s[asked[:, None] == near[None, :]] = -np.inf
+        wanted = np.isfinite(s)
+        if best is not None:
+            # The best k so far, of this batch too; ties at the bar all go on.
+            best[:] = -np.partition(-np.concatenate([best, np.where(wanted, s, -np.inf)], axis=1), k - 1, axis=1)[:, :k]
+            wanted &= s >= best.min(axis=1)[:, None]
+        a, b = np.nonzero(wanted)
+        return pa.RecordBatch.from_arrays([pa.array(asked[a]), pa.array(near[b]), pa.array(s[a, b])], names=["query", "neighbour", "similarity"])
+
+    return met.mapInArrow(run, f"query {kind}, neighbour {kind}, similarity double")
 
 
 def pairs(sample: DataFrame, key: str, left: Column | None = None) -> DataFrame:

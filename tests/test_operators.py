@@ -303,3 +303,20 @@ def test_trainer_learns_and_model_is_evaluated(spark):
     assert out["top1"] > 0.7 and out["top5"] >= out["top1"]
     assert train.train(df, train.Trainer(config, masker, epochs=1), max_rows=30).keys() == weights.keys()
     assert train.Trainer(config, masker, epochs=1).fit([])["token"].shape == w["token"].shape
+
+
+def test_similarities_go_out_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIRS", 64)
+    monkeypatch.setattr(similarity, "CELL_PAIRS", 400)
+    rows = [(i, [float(i % 7) - 3, float(i % 5), 1.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    out = similarity.against(df, df.where("vec_id % 20 = 0"), block=16)
+    assert out.rdd.getNumPartitions() == 5  # 10 queries on 200 rows, 400 to a cell
+    got = {(r["query"], r["neighbour"]): r["similarity"] for r in out.collect()}
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert len(got) == 10 * 199 and all(abs(s - m[a] @ m[b]) < 1e-12 for (a, b), s in got.items())
+    best = {(r["query"], r["rank"]): r["neighbour"] for r in similarity.search(df, df.where("vec_id % 20 = 0"), 4, block=16).collect()}
+    for a in range(0, 200, 20):
+        order = sorted((i for i in range(200) if i != a), key=lambda i: (-got[a, i], i))[:4]
+        assert [got[a, best[a, k + 1]] for k in range(4)] == [got[a, i] for i in order]
