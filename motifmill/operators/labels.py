@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motifmill.functions.ec import primary_ec
 from motifmill.functions.text import is_true
 from motifmill.operators.clean import keep_first
+from motifmill.scratch import written
 
 
 def label_map(raw: DataFrame, depth: int = 1) -> DataFrame:
@@ -19,6 +20,20 @@ def label_map(raw: DataFrame, depth: int = 1) -> DataFrame:
     return keep_first(rows.where("label is not null and smarts is not null"), "smarts").select("smarts", "label")
 
 
+def contenders(raw: DataFrame, prefix: str) -> DataFrame:
+    """The rows that may be the first valid or the first labelled one of their template, and few others.
+
+    ``prefix`` names a number by which ``ord`` is sorted first.  Its minima are found by hashing, without
+    sorting the rows; groups and labels of the rows kept are those of all rows.
+    """
+    rows = raw.where(is_true(F.col("VALID")) & F.col("TEMPLATE").isNotNull()).withColumn("_p", F.col(prefix))
+    labelled = primary_ec(F.col("ECS")).isNotNull()
+    least = rows.groupBy("TEMPLATE").agg(F.min("_p").alias("_first"), F.min(F.when(labelled, F.col("_p"))).alias("_label"))
+    least = written(least, "least")  # its size is known then, and a small one is broadcast
+    may = F.col("_p").isNull() | (F.col("_p") == F.col("_first")) | F.coalesce(F.col("_p") == F.col("_label"), F.lit(False))
+    return written(rows.join(least, "TEMPLATE").where(may).select(raw.columns), "contenders")
+
+
 def join_labels(validated: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with a label (repeated rows stay), and their group (their own text if none)."""
     group = F.coalesce("reaction_group", "smarts") if "reaction_group" in validated.columns else F.col("smarts")
@@ -79,7 +94,7 @@ def stratified_sample(df: DataFrame, n_samples: int, seed: int = 42, label: str
 
 def load_labelled(raw: DataFrame, validated: DataFrame, depth: int = 1, n_samples: int | None = None, seed: int = 42) -> tuple[DataFrame, int]:
     """Labelled rows of frequent classes, sampled if asked for, and how many there were before."""
-    rows = join_labels(validated, label_map(raw, depth))
+    rows = written(join_labels(validated, label_map(raw, depth)), "labelled")  # counted three times below
     rows = drop_rare(rows, min_class_count(rows.count() if n_samples else 0, n_samples))
     available = rows.count()
     if n_samples and n_samples < available:

@@ -237,9 +237,13 @@ _LABELLED = f"""{_LABELS}, f AS (SELECT * FROM (SELECT TEMPLATE AS smarts, REACT
   l AS (SELECT f.smarts, m.label, CASE WHEN REACTIONS IS NOT NULL AND {_BLANK.format('REACTIONS')} <> '' THEN REACTIONS ELSE f.smarts END AS grp FROM f JOIN m USING (smarts))"""
 
 
+def _contenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.contenders(templates(spark, sf_dir), "ord.o1")
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = templates(spark, sf_dir)
-    return labels.join_labels(clean.reaction_groups(raw), labels.label_map(raw))
+    raw = _contenders(spark, sf_dir)
+    return written(labels.join_labels(clean.reaction_groups(raw), labels.label_map(raw)), "labelled")
 
 
 @query(f"{_LABELLED} SELECT smarts, label, grp AS group_id FROM l")
@@ -583,8 +587,8 @@ _EC3 = _LABELLED.replace(", 1, 1), '.') AS label FROM t", ", 1, 3), '.') AS labe
 
 
 def _labelled3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = templates(spark, sf_dir)
-    return labels.join_labels(clean.reaction_groups(raw), labels.label_map(raw, 3))
+    raw = _contenders(spark, sf_dir)
+    return written(labels.join_labels(clean.reaction_groups(raw), labels.label_map(raw, 3)), "labelled")
 
 
 @query(f"{_EC3} SELECT label, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1 HAVING count(*) < 10")
@@ -603,14 +607,14 @@ def label_whitelist(spark, sf_dir):
 SELECT smarts, k.label, grp AS group_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || smarts), smarts) AS rn FROM k) k JOIN q ON k.label = q.label
 WHERE rn <= quota OR 500 >= (SELECT count(*) FROM k)""")
 def label_loader(spark, sf_dir):
-    raw = templates(spark, sf_dir)
+    raw = _contenders(spark, sf_dir)
     rows, _ = labels.load_labelled(raw, clean.reaction_groups(raw), n_samples=500)
     return rows.select("smarts", "label", F.col("group").alias("group_id"))
 
 
 @query(f"""{_LABELLED}, b AS (SELECT smarts, label FROM l) SELECT smarts, label, smarts AS group_id FROM b""")
 def labelled_without_groups(spark, sf_dir):
-    raw = templates(spark, sf_dir)
+    raw = _contenders(spark, sf_dir)
     validated = clean.reaction_groups(raw).drop("reaction_group")
     return labels.join_labels(validated, labels.label_map(raw)).select("smarts", "label", F.col("group").alias("group_id"))
 

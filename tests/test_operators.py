@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifmill import cli
-from motifmill.operators import classify, encoder, labels, masking, metrics, similarity, splits, stats, subword, train
+from motifmill.operators import classify, clean, encoder, labels, masking, metrics, similarity, splits, stats, subword, train
 from motifmill.streaming import templates as streams
 
 KNOWN = {t: k for k, t in enumerate(["[PAD]", "[UNK]", "[BOS]", "[EOS]", "C", "N", "O", ">>", "(", ")", "=", "."])}
@@ -320,3 +320,14 @@ def test_similarities_go_out_in_bounded_batches(spark, monkeypatch):
     for a in range(0, 200, 20):
         order = sorted((i for i in range(200) if i != a), key=lambda i: (-got[a, i], i))[:4]
         assert [got[a, best[a, k + 1]] for k in range(4)] == [got[a, i] for i in order]
+
+
+def test_contenders_keep_groups_and_labels(spark):
+    """Few rows of a template are left; its first valid and first labelled row are among them, blanks, nulls and ties too."""
+    kinds = ["C", " C", "N ", "N", "  ", None, "O"]
+    rows = [((None if i == 5 else i // 3, i), kinds[i % 7], ["TRUE", "False", "true"][i % 3], [None, " ", f"R{i}"][i % 5 % 3], [None, " ;1.1", "1.2.3;4.5", f"{i % 6}.1"][i % 4 if i > 40 else 0]) for i in range(400)]
+    raw = spark.createDataFrame(rows, "ord struct<o1: bigint, o2: bigint>, TEMPLATE string, VALID string, REACTIONS string, ECS string").repartition(3)
+    few = labels.contenders(raw, "ord.o1")
+    assert 0 < few.count() < 30
+    for f in (clean.reaction_groups, labels.label_map):
+        assert sorted(map(tuple, f(few).collect())) == sorted(map(tuple, f(raw).collect()))
