@@ -3,7 +3,8 @@
 The first row is kept by a keyed state with a timer (``transformWithState``): a key's row goes out
 once, when the key is first seen; of rows that arrive together the one with the least order is
 taken.  With ``forget`` a key's state is dropped that long after it was last seen, so state stays
-bounded on endless streams.  Counts are a streaming aggregation whose updates are folded into a
+bounded on endless streams.  Files that are read to their end need no such state: the rows that went
+out before are joined with each batch.  Counts are a streaming aggregation whose updates are folded into a
 table, so that a restart repeats no batch.
 """
 
@@ -16,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
+from motifmill.operators.clean import keep_first
 from motifmill.scratch import shared_folder
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -86,10 +89,29 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def first_rows_of_files(spark: SparkSession, folder: str, schema, key: str, order: str, path: str, partitions: int = 8, files: int = 4) -> None:
-    """The first row of each key of Parquet files, taken ``files`` to a batch as they arrived."""
+    """The first row of each key of Parquet files, taken ``files`` to a batch as they arrived.
+
+    What went out before is the state: a batch is reduced to one row a key, in its tasks first, and the
+    keys of earlier batches leave.  No key is called for by itself, as a keyed state in Python would.
+    """
+    seen = spark.read.schema(StructType([*stream_schema(schema).fields, StructField("batch", LongType())]))
+
+    def put(batch: DataFrame, number: int) -> None:
+        first = keep_first(batch, key, order)
+        if number:
+            # Only earlier batches count, so that one repeated after a failure gives the same rows.
+            earlier = seen.parquet(path).where(F.col("batch") < number).select(F.col(key).alias("_seen"))
+            first = first.join(earlier, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     with state_store(spark, partitions):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-        run_to_end(first_rows(stream, key, order), path)
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", shared_folder(spark, "stream")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+
+def stream_schema(schema: str | StructType) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
 
 def running_counts(spark: SparkSession, stream: DataFrame, token: str, path: str, partitions: int = 8) -> DataFrame:

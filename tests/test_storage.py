@@ -161,3 +161,15 @@ def test_scratch_folders_of_a_step_are_removed(spark):
     assert before.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(inner).count()
+
+
+def test_first_rows_of_files_call_for_no_single_key(spark, tmp_path, monkeypatch):
+    """Null keys too go out once; the keyed Python state, a call for each key and batch, is not used."""
+    monkeypatch.setattr(state, "first_rows", None)
+    parts = [[("a", "3"), ("a", "1"), (None, "2")], [("a", "0"), (None, "4"), ("b", "6"), ("b", "5")], [("b", "7"), ("c", "8")]]
+    for part in parts:
+        spark.createDataFrame(part, "smarts string, ord string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "first")
+    state.first_rows_of_files(spark, str(tmp_path / "in"), "smarts string, ord string", "smarts", "ord", out, partitions=2, files=1)
+    got = spark.read.schema("smarts string, ord string, batch int").parquet(out).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", "1", 0), (None, "2", 0), ("b", "5", 1), ("c", "8", 2)], key=str)
