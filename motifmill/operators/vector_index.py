@@ -66,9 +66,11 @@ class VectorIndex:
             raise ValueError(f"{centres.nbytes} bytes of centres: take fewer lists")
         index = cls(shared_folder(df.sparkSession, "vectors"), centres, key, col)
         placed = index._nearest(rows, 1).select(key, col, F.get("lists", F.lit(0)).alias("list"))
-        # Rows of a list are dealt to as many tasks as its files; no task gets a whole hot list.
-        salt = F.pmod(F.xxhash64(key), F.lit(16))
-        placed.repartition(F.col("list"), salt).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("list").parquet(index.path)
+        placed = written(placed, "placed")
+        # Rows of a list are dealt to as many tasks as it needs files; no task gets a whole hot list, a short list is one file.
+        sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("files"))  # one row a centre
+        salted = placed.join(F.broadcast(sizes), "list").withColumn("salt", F.pmod(F.xxhash64(key), F.col("files")))
+        salted.repartition("list", "salt").select(key, col, "list").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("list").parquet(index.path)
         return index
 
     def _nearest(self, rows: DataFrame, probes: int) -> DataFrame:
@@ -135,11 +137,17 @@ class VectorIndex:
         return exact.join(found, ["query", "neighbour"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] or 0.0
 
     def tuned(self, queries: DataFrame, k: int = 10, target: float = 0.9, seed: int = 7, sample: int = 256) -> int:
-        """The least number of probes that reaches the recall on a sample of ``sample`` queries, by halving."""
+        """The least number of probes that reaches the recall on a sample of ``sample`` queries, from one exact search."""
         some = written(queries.where(F.col(self.col).isNotNull()).orderBy(draw(seed, F.col(self.key)), self.key).limit(sample).select(self.key, self.col), "queries")
         exact = written(self.search(some, k), "exact")
-        low, high = 1, len(self.centres)
-        while low < high:
-            middle = (low + high) // 2
-            low, high = (low, middle) if self.recall(some, k, middle, exact) >= target else (middle + 1, high)
-        return low
+        # An exact neighbour is found as soon as its list is probed: its place among the query's lists tells the recall of any number of probes.
+        asked = self._nearest(some, len(self.centres)).select(F.col(self.key).alias("query"), "lists")
+        places = self.table(queries).select(F.col(self.key).alias("neighbour"), "list")
+        found = exact.join(places, "neighbour").join(asked, "query").groupBy(F.array_position("lists", F.col("list")).alias("probes")).agg(F.count(F.lit(1)).alias("n"))
+        counts = sorted((r["probes"], r["n"]) for r in found.collect())  # at most as many as centres
+        total, so_far = sum(n for _, n in counts), 0
+        for probes, n in counts:
+            so_far += n
+            if so_far / total >= target:
+                return int(probes)
+        return len(self.centres)

@@ -120,3 +120,18 @@ def test_stratified_folds_differ_by_one(spark):
         assert max(n.values()) - min(n[f] for f in range(5)) <= 1
     n = Counter(r["fold"] for r in got)
     assert len(got) == 503 and max(n.values()) - min(n.values()) <= 1
+
+
+def test_probes_are_told_by_one_exact_search(spark, monkeypatch, tmp_path):
+    """The least number of probes that reaches the recall, without a search for each trial; a short list is one file."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, rng.normal(size=6).tolist()) for k in range(600)], "vec_id bigint, embedding array<double>").repartition(3)
+    index = vector_index.VectorIndex.build(df, 9)
+    table = index.table(df)
+    assert len(table.inputFiles()) == len(index.centres)
+    asked = df.where("vec_id % 20 = 0")
+    searches, search = [], vector_index.VectorIndex.search
+    monkeypatch.setattr(vector_index.VectorIndex, "search", lambda self, *a, **k: searches.append(1) or search(self, *a, **k))
+    probes = index.tuned(asked, 5)
+    assert len(searches) == 1
+    assert index.recall(asked, 5, probes) >= 0.9 and (probes == 1 or index.recall(asked, 5, probes - 1) < 0.9)
