@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,10 @@ from motifmill.scratch import written
 
 #: Bytes of vectors of a block.
 BLOCK_BYTES = 64 << 20
-#: Similarities of one product, and of a cell whose similarities are all returned, at most.
-PAIRS, CELL_PAIRS = 1 << 20, 1 << 26
+#: Similarities of one product, of a cell whose similarities are all returned, and of those sorted at once, at most.
+PAIRS, CELL_PAIRS, SORTED = 1 << 20, 1 << 26, 1 << 24
+#: Similarities that stay in a core's cache while they are rounded.
+CACHED = 1 << 16
 #: Token sets that are sent to all tasks at most.
 MOST_QUERIES = 10_000
 
@@ -46,14 +49,20 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str = "vec_id", col: str = "embedding", block: int = 512, exclude_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str = "vec_id", col: str = "embedding", block: int = 512, exclude_self: bool = True, block_bytes: int = BLOCK_BYTES, digits: int | None = None) -> DataFrame:
     """The similarity of every query and every row of the index, by blocked matrix products; with ``k`` at least the best ``k``.
 
     Queries and index are dealt to blocks of about ``block_bytes`` of vectors, which meet in a
     grid.  A cell holds its block of queries; the rows of the index go past them batch by batch, and what
     ``block`` queries at most and a batch give, no more than ``PAIRS`` similarities, goes out at once,
     so that no task holds a cell's results.  Only three counts come to the driver.
+
+    With ``digits`` (9 at most, without ``k``) similarities are rounded, halves away from zero, and leave sorted,
+    ``SORTED`` at a time: equal ones stand together and keys come from a square of few queries and few
+    rows, so that the result takes less than half the bytes where columns are stored.
     """
+    if digits is not None and (k is not None or not 0 <= digits <= 9):
+        raise ValueError("digits are 0 to 9 and go without k")
     kind, spark = index.schema[key].dataType.simpleString(), index.sparkSession
     known = lambda df: df.where(F.col(col).isNotNull()).select(key, col)
     index, queries = known(index), known(queries)
@@ -68,10 +77,10 @@ def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     q = queries.select(place(down).alias("x"), every(across).alias("y"), F.lit(False).alias("late"), F.col(key).alias("key"), F.col(col).alias("v"))
     r = index.select(every(down).alias("x"), place(across).alias("y"), F.lit(True).alias("late"), F.col(key).alias("key"), F.col(col).alias("v"))
-    met = q.unionByName(r).repartition(down * across, "x", "y").sortWithinPartitions("x", "y", "late")
+    met = q.unionByName(r).repartitionById(down * across, (F.col("x") * across + F.col("y")).cast("int")).sortWithinPartitions("x", "y", "late")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, keys, parts, own, best = None, [], [], None, None
+        cell, keys, parts, own, best, waiting = None, [], [], None, None, []
         for batch in batches:
             x, y, late, names = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(4))
             m = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
@@ -79,6 +88,9 @@ def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str
             cuts = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (late[1:] != late[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(x)]):
                 if cell != (x[lo], y[lo]):
+                    if waiting:
+                        yield from ordered(own, asked, waiting)
+                    waiting = []
                     cell, keys, parts, own, best = (x[lo], y[lo]), [], [], None, None
                 if not late[lo]:
                     keys.append(names[lo:hi])
@@ -89,6 +101,16 @@ def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str
                 if own is None:
                     own, asked, parts = np.concatenate(parts), np.concatenate(keys), []
                     best = np.full((len(own), k), -np.inf) if k is not None else None
+                    high = min(most, max(1, SORTED // min(len(own), side)))
+                if digits is not None:
+                    while lo < hi:
+                        right = min(hi, lo + high - sum(len(n) for _, n in waiting))
+                        waiting.append((m[lo:right].copy(), names[lo:right]))
+                        lo = right
+                        if sum(len(n) for _, n in waiting) == high:
+                            yield from ordered(own, asked, waiting)
+                            waiting = []
+                    continue
                 wide = max(1, PAIRS // min(block, len(own)))
                 for left in range(lo, hi, wide):
                     right = min(hi, left + wide)
@@ -96,6 +118,33 @@ def against(index: DataFrame, queries: DataFrame, k: int | None = None, key: str
                         out = product(own[at : at + block], asked[at : at + block], m[left:right], names[left:right], None if best is None else best[at : at + block])
                         if out.num_rows:
                             yield out
+        if waiting:
+            yield from ordered(own, asked, waiting)
+
+    side = max(1, math.isqrt(SORTED))
+
+    def ordered(own: np.ndarray, asked: np.ndarray, waiting: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Rounded similarities from the least, each with its place in the square as one number."""
+        rows, near = (np.concatenate(x) for x in zip(*waiting))
+        for top in range(0, len(own), side):
+            left, names = own[top : top + side], asked[top : top + side]
+            both, n = np.empty(len(left) * len(near), np.int64), 0
+            few = max(1, CACHED // len(near))
+            for at in range(0, len(left), few):
+                s = left[at : at + few] @ rows.T
+                if exclude_self:
+                    s[names[at : at + few, None] == near[None, :]] = -np.inf
+                places = np.flatnonzero(np.isfinite(s))
+                v = s.ravel()[places] * 10.0**digits
+                whole = np.trunc(v)
+                whole += np.copysign(np.abs(v - whole) >= 0.5, v)
+                both[n : n + len(v)] = (whole.astype(np.int64) << 32) | (places + at * len(near))
+                n += len(v)
+            both = both[:n]
+            both.sort()
+            for at in range(0, n, PAIRS):
+                a, b = np.divmod(both[at : at + PAIRS] & 0xFFFFFFFF, len(near))
+                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(near[b]), pa.array((both[at : at + PAIRS] >> 32) / 10.0**digits)], names=["query", "neighbour", "similarity"])
 
     def product(own: np.ndarray, asked: np.ndarray, rows: np.ndarray, near: np.ndarray, best: np.ndarray | None) -> pa.RecordBatch:
         s = own @ rows.T

@@ -352,8 +352,8 @@ def pairwise_cosine(spark, sf_dir):
 @query(f"{_V}, q AS (SELECT vec_id AS a, e AS ea FROM v WHERE vec_id % 50 = 0) SELECT a, vec_id AS b, round(list_cosine_similarity(e, ea), 6) AS similarity FROM v, q WHERE vec_id <> a")
 def cosine_against_all(spark, sf_dir):
     index = table(spark, sf_dir, "embeddings")
-    out = similarity.against(index, index.where("vec_id % 50 = 0"))
-    return out.select(F.col("query").alias("a"), F.col("neighbour").alias("b"), F.round("similarity", 6).alias("similarity"))
+    out = similarity.against(index, index.where("vec_id % 50 = 0"), digits=6)
+    return out.select(F.col("query").alias("a"), F.col("neighbour").alias("b"), "similarity")
 
 
 _PAIRS = f"""{_TOKENS}, p AS (SELECT smarts, list_distinct(tokens) AS s FROM (SELECT * FROM k WHERE ok ORDER BY md5('42:' || smarts), smarts LIMIT 60)),

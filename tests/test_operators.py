@@ -4,11 +4,14 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from motifmill import cli
 from motifmill.operators import classify, clean, encoder, labels, masking, metrics, similarity, splits, stats, subword, train
+from motifmill.plans.catalog import QUERIES
 from motifmill.streaming import templates as streams
 
 KNOWN = {t: k for k, t in enumerate(["[PAD]", "[UNK]", "[BOS]", "[EOS]", "C", "N", "O", ">>", "(", ")", "=", "."])}
@@ -331,3 +334,35 @@ def test_contenders_keep_groups_and_labels(spark):
     assert 0 < few.count() < 30
     for f in (clean.reaction_groups, labels.label_map):
         assert sorted(map(tuple, f(few).collect())) == sorted(map(tuple, f(raw).collect()))
+
+
+def test_rounded_similarities_leave_sorted(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIRS", 64)
+    monkeypatch.setattr(similarity, "CACHED", 48)
+    monkeypatch.setattr(similarity, "SORTED", 400)
+    rows = [(i, [float(i % 7) - 3, float(i % 5) - 2, float(i % 3) - 1]) for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    out = similarity.against(df, df.where("vec_id % 9 = 0"), digits=2, block_bytes=1200)
+    got = {(r["query"], r["neighbour"]): r["similarity"] for r in out.collect()}
+    exact = {(r["query"], r["neighbour"]): r["similarity"] for r in similarity.against(df, df.where("vec_id % 9 = 0")).collect()}
+    assert out.count() == len(got) == 33 * 298 and got.keys() == exact.keys()
+    assert all(abs(s - exact[p]) <= 0.005 + 1e-12 and s == round(s, 2) for p, s in got.items())
+    assert similarity.against(df, df, digits=2, exclude_self=False).count() == 299**2
+    assert similarity.against(df, df.limit(0), digits=2).count() == 0
+    half = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [1.0] * 4), (2, [-1.0] * 4), (3, [-0.01, 1.0, 0.0, 0.0])], "vec_id bigint, embedding array<double>")
+    assert {r["neighbour"]: str(r["similarity"]) for r in similarity.against(half, half.where("vec_id = 0"), digits=0).collect()} == {1: "1.0", 2: "-1.0", 3: "0.0"}
+    with pytest.raises(ValueError):
+        similarity.against(df, df, 3, digits=2)
+
+
+def test_all_similarities_take_few_bytes_when_stored(spark, tmp_path):
+    m = 1 + 0.6 * np.random.default_rng(0).standard_normal((16_384, 16))
+    pq.write_table(pa.table({"vec_id": np.arange(len(m)), "embedding": list(m), "label": np.zeros(len(m), np.int32)}), tmp_path / "embeddings.parquet")
+    QUERIES["cosine_against_all"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    out = pq.read_table(tmp_path / "out")
+    assert out.num_rows == 328 * (len(m) - 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6.5 * out.num_rows
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    a, b, s = (out[c].to_numpy() for c in ("a", "b", "similarity"))
+    assert len(np.unique(a * len(m) + b)) == len(a) and (a != b).all() and (a % 50 == 0).all()
+    assert all(np.abs(s[a == q] - unit[b[a == q]] @ unit[q]).max() < 5.001e-7 for q in range(0, len(m), 2_000))
